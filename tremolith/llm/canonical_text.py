@@ -8,6 +8,7 @@ Case, accents, raised digits, fractions, numbered signs and the number of blanks
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -121,14 +122,24 @@ def _transduce(text: str, pattern) -> str:
     return pattern.sub(lambda m: _SELECTED.sub("", m[0]) if m.lastgroup == "picture" else _form(m[0]), text)
 
 
-_PLAIN = regex.compile(r"[\t\n -~]*")
+@lru_cache(maxsize=1)
+def _single() -> tuple[re.Pattern, re.Pattern]:
+    """What tells of a cluster of several characters, and what changes in texts that have none of these.
+
+    Classes within the basic plane, where matching is a table look-up; other planes take the full pattern."""
+    starts = [chr(i) for i in range(0x20, 0x10000) if not _settled(i) and (unicodedata.category(chr(i)).startswith("M") or regex.match(f"[{_EXTEND}\u1100-\u11ff]", chr(i)))]
+    singles = [re.escape(c) for c in mapping() if c < "\U00010000"]
+    return re.compile("[" + "".join(starts) + "\U00010000-\U0010ffff]"), re.compile("[" + "".join(singles) + "]|\r\n")
 
 
 def canonical(text: str | None) -> str | None:
     """The consistent form of a text; null stays null. Idempotent."""
-    if text is None or _PLAIN.fullmatch(text):
-        return text
-    return _transduce(text, _compiled())
+    if text is None:
+        return None
+    clusters, singles = _single()
+    if clusters.search(text):
+        return _transduce(text, _compiled())
+    return singles.sub(lambda m: _form(m[0]), text)
 
 
 def canonical_documents(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
