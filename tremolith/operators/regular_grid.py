@@ -72,7 +72,7 @@ def regular_grid(
         .where("x >= 0 and x < n")
     )
     near = lambda d: F.floor((F.floor("x") + d) / shard_periods)
-    placed = usable.select("k", F.explode(F.array_distinct(F.array(near(-halo), near(0), near(halo)))).alias("shard"), "x", "y").where("shard >= 0")
+    placed = usable.select("k", F.explode(F.sequence(near(-halo), near(halo))).alias("shard"), "x", "y").where("shard >= 0")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("g0", "double"), ("g1", "double"), ("n", "bigint"))]
     # the grid's own row sorts first (null x) and carries what the shard needs
     rows = placed.select("k", "shard", "x", "y", *nothing).unionByName(marks).repartition("k", "shard")

@@ -29,11 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir. Only a local session that has none gets a temporary one; a cluster
+    without a shared folder is an error, as its executors could not read each other's files."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "tremolith-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tremolith-scratch"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
