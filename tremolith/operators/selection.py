@@ -39,13 +39,17 @@ def case_maxima(occurrences: DataFrame, candidates: DataFrame, kind: str | None
     import numpy as np
     import pandas as pd
 
-    def packed(df: DataFrame, id: str, prefix: str) -> DataFrame:  # noqa: A002
+    def packed(df: DataFrame, id: str, name: str) -> tuple[DataFrame, int]:  # noqa: A002
+        blocks = max(1, -(-df.count() // block))
         kinds = F.col(kind).cast("string") if kind else F.lit("")
         rows = df.select(F.col(id).cast("string").alias("i"), F.col("case_id").alias("c"), F.col("vec").cast("array<double>").alias("v"), kinds.alias("kind"))
-        rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("kind", F.pmod(F.xxhash64("i"), F.lit(64))).orderBy("i")) - 1) / block)).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(64)))
-        return rows.groupBy("kind", "salt", "block").agg(F.collect_list(F.struct("i", "c", "v")).alias(prefix)).drop("salt", "block")
+        rows = rows.withColumn(f"{name}_block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+        return rows.groupBy("kind", f"{name}_block").agg(F.collect_list(F.struct("i", "c", "v")).alias(name)), blocks
 
-    pairs = packed(occurrences, "occurrence", "o").join(packed(candidates, "token", "t"), "kind")
+    left, _ = packed(occurrences, "occurrence", "o")
+    right, blocks = packed(candidates, "token", "t")
+    # every occurrence block meets every candidate block of its kind, one task per candidate block
+    pairs = left.withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(right, ["kind", "t_block"])
 
     def products(batches):
         for frame in batches:

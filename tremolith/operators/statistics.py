@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolith.runtime import materialize
+
 #: Buckets per doubling of a value; a bucket's width is 0.004 % of its values.
 PER_OCTAVE = 16_384
 
@@ -17,14 +19,23 @@ def _bucket(v: Column) -> Column:
     return F.when(v > 0, steps).when(v < 0, -steps).otherwise(0).cast("bigint")
 
 
+def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """``groups``, ``v``, ``c``: how often each value that isn't null occurs; combined before the shuffle."""
+    return df.select(*groups, F.col(value).alias("v")).where(F.col("v").isNotNull()).groupBy(*groups, "v").agg(F.count("*").alias("c"))
+
+
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """``groups``, ``n`` and one column per share: exact percentiles, interpolated between ranks.
+    """``groups``, ``n`` and one column per share: exact percentiles, interpolated between ranks."""
+    return counted_percentiles(value_counts(df, groups, value), groups, shares)
 
-    Values are first reduced to counts; a histogram of fine buckets locates the ranks; only the values of the buckets
-    that hold one are sorted. No task sorts a whole group, and repeated values travel once.
+
+def counted_percentiles(counts: DataFrame, groups: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """:func:`exact_percentiles` of ``groups``, ``v``, ``c``.
+
+    A histogram of fine buckets locates the ranks; only the values of the buckets that hold one are sorted. No task
+    sorts a whole group, and repeated values travel once.
     """
     groups = list(groups)
-    counts = df.select(*groups, F.col(value).alias("v")).where(F.col("v").isNotNull()).groupBy(*groups, "v").agg(F.count("*").alias("c"))
     counts = counts.withColumn("b", _bucket(F.col("v")))
     every = Window.partitionBy(*groups)
     buckets = counts.groupBy(*groups, "b").agg(F.sum("c").alias("m")).withColumns({
@@ -54,17 +65,20 @@ def robust_scale(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     one, so that it can't overflow), 1. A scale that isn't finite is an error.
     """
     groups = list(groups)
-    quartiles = exact_percentiles(df, groups, value, {"q25": 0.25, "center": 0.5, "q75": 0.75})
-    off = df.join(quartiles.select(*groups, "center"), groups).select(*groups, (F.col(value) - F.col("center")).alias("r"))
-    deviation = exact_percentiles(off.select(*groups, F.abs("r").alias("r")), groups, "r", {"mad": 0.5}).select(*groups, "mad")
-    largest = off.groupBy(*groups).agg(F.max(F.abs("r")).alias("amplitude"))
-    spread = off.join(largest, groups).groupBy(*groups).agg(
-        F.max("amplitude").alias("amplitude"), (F.stddev_pop(F.when(F.col("amplitude") > 0, F.col("r") / F.col("amplitude")).otherwise(0.0)) * F.max("amplitude")).alias("deviation")
-    )
+    # written once for three passes; counts per value are far fewer than the readings of most channels
+    counts = materialize(value_counts(df, groups, value), "counts")
+    shares = {"least": 0.0, "q25": 0.25, "center": 0.5, "q75": 0.75, "most": 1.0}
+    quartiles = materialize(counted_percentiles(counts, groups, shares), "quartiles")
+    amplitude = F.greatest(F.col("most") - F.col("center"), F.col("center") - F.col("least"))
+    off = counts.join(quartiles.select(*groups, "center", amplitude.alias("amplitude")), groups).withColumn("r", F.col("v") - F.col("center"))
+    deviation = counted_percentiles(off.select(*groups, F.abs("r").alias("v"), "c").groupBy(*groups, "v").agg(F.sum("c").alias("c")), groups, {"mad": 0.5})
+    part = F.when(F.col("amplitude") > 0, F.col("r") / F.col("amplitude")).otherwise(0.0)
+    mean, square = F.sum(part * F.col("c")) / F.sum("c"), F.sum(part * part * F.col("c")) / F.sum("c")
+    spread = off.groupBy(*groups).agg(F.max("amplitude").alias("amplitude"), (F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) * F.max("amplitude")).alias("deviation"))
     mad, iqr = F.col("mad") * 1.4826, (F.col("q75") - F.col("q25")) / 1.349
     scale = F.when(mad != 0, mad).when(iqr != 0, iqr).when(F.col("amplitude") != 0, F.col("deviation")).otherwise(1.0)
     checked = F.when(F.isnan(scale) | (F.abs(scale) == float("inf")), F.raise_error(F.lit("a scale is not finite")).cast("double")).otherwise(scale)
-    return quartiles.join(deviation, groups).join(spread, groups).select(*groups, "center", checked.alias("scale"), F.col("n").alias("observations"))
+    return quartiles.join(deviation.select(*groups, "mad"), groups).join(spread, groups).select(*groups, "center", checked.alias("scale"), F.col("n").alias("observations"))
 
 
 def grid_interval(df: DataFrame, series: str, time: str, order: str, least: int = 3) -> DataFrame:
