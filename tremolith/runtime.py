@@ -51,3 +51,13 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{scratch_dir(spark)}/tremolith/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores.
+
+    A table in fewer files than cores would leave cores idle through the costly part of a scan; larger tables have
+    partitions enough and stay as they are. Only the layout changes, never the rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
