@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolith.llm import canonical_text, mixing, quantiles, runs, tokens
-from tremolith.runtime import materialize, table
+from tremolith.runtime import materialize, spread, table
 
 USABLE = "(observed is null or observed) and value is not null and not isnan(value) and abs(value) < double('infinity')"
 KEY = ("dataset_id", "day", "category", "channel")
@@ -67,7 +67,7 @@ def p1_merged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf: str, least: int) -> DataFrame:
-    logs = table(spark, sf, "log_record").withColumn("said", runs.message(F.col("text")))
+    logs = spread(table(spark, sf, "log_record").select("case_id", "owner", "log_id", "time", "text", "frequency")).withColumn("said", runs.message(F.col("text")))
     return runs.collapse_runs(logs, ["case_id", "owner"], id="log_id", time="time", said="said", frequency="frequency", least=least)
 
 
@@ -82,9 +82,13 @@ def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnsRenamed({"first_id": "first_log_id", "last_id": "last_log_id"})
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode_documents(table(spark, sf, "documents"))
+    return tokens.encode_documents(_texts(spark, sf))
 
 
 def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,8 +101,8 @@ def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf, "documents")
-    sizes = tokens.token_counts(documents).join(documents.select("doc_id", "source"), "doc_id")
+    sources = table(spark, sf, "documents").select("doc_id", "source")
+    sizes = tokens.token_counts(_texts(spark, sf)).join(sources, "doc_id")
     return mixing.mix(sizes, table(spark, sf, "mix_target"))
 
 
@@ -114,12 +118,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that look the same but aren't equal."""
-    return canonical_text.look_alike_pairs(table(spark, sf, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return canonical_text.look_alike_pairs(_texts(spark, sf)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
     """The consistent form of every document."""
-    return canonical_text.canonical_documents(table(spark, sf, "documents"))
+    return canonical_text.canonical_documents(_texts(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_merged, p4_found, p4_runs, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_forms)}
