@@ -1,0 +1,189 @@
+"""Rules on incident annotations, each a query for its violations; the report is their union.
+
+An annotation is one row with nested arrays, read with an explicit schema. Rules explode the collection they concern and
+join it within its document, so any number of documents is checked at once.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_SPAN = "struct<start:timestamp,end:timestamp>"
+SCHEMA = (
+    "doc string, status string, window_start timestamp, window_end timestamp, time_origin timestamp, "
+    "availability string, root_source string, confirmation string, confirmed_by string, "
+    "entities array<struct<id:string,candidate:boolean,root_role:string,observation_state:string,evidence_refs:array<string>>>, "
+    f"evidence array<struct<id:string,modality:string,entity_ids:array<string>,path:string,interval:{_SPAN}>>, "
+    f"events array<struct<id:string,entity_id:string,symptom_ids:array<string>,evidence_refs:array<string>,interval:{_SPAN}>>, "
+    f"symptoms array<struct<id:string,entity_id:string,modality:string,evidence_refs:array<string>,interval:{_SPAN}>>, "
+    "relations array<struct<id:string,type:string,source_entity:string,target_entity:string,call_source:string,call_target:string,impact_status:string,impact_source:string,impact_target:string>>, "
+    "fragments array<struct<id:string,event_ids:array<string>,ordered_paths:array<array<string>>,"
+    "edges:array<struct<id:string,relation_id:string,source_event:string,target_event:string,temporal_order:string,lower:double,upper:double>>>>"
+)
+COLLECTIONS = ("entities", "evidence", "events", "symptoms", "relations", "fragments")
+CLOSE = 1e-9
+
+
+def _rows(a: DataFrame, collection: str) -> DataFrame:
+    return a.select("doc", "status", "window_start", "window_end", "availability", F.explode(collection).alias("x"))
+
+
+def _bad(df: DataFrame, where: Column, path: Column, text: str) -> DataFrame:
+    return df.where(where).select("doc", path.alias("path"), F.lit(text).alias("message"))
+
+
+def _path(collection: str) -> Column:
+    return F.concat(F.lit(f"{collection}/"), F.col("x.id"))
+
+
+def windows(a: DataFrame) -> DataFrame:
+    """Order of the case window, and the origin within it."""
+    outside = (F.col("time_origin") < F.col("window_start")) | (F.col("time_origin") > F.col("window_end"))
+    return _bad(a, F.col("window_end") < F.col("window_start"), F.lit("case"), "the window ends before it starts").unionByName(
+        _bad(a, outside, F.lit("case/time_origin"), "the origin lies outside the window")
+    )
+
+
+def intervals(a: DataFrame) -> DataFrame:
+    """Intervals end after they start and lie within the window."""
+    out = []
+    for c in ("evidence", "events", "symptoms"):
+        r = _rows(a, c)
+        out.append(_bad(r, F.col("x.interval.end") < F.col("x.interval.start"), _path(c), "an interval ends before it starts"))
+        out.append(_bad(r, (F.col("x.interval.start") < F.col("window_start")) | (F.col("x.interval.end") > F.col("window_end")), _path(c), "an interval lies outside the window"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def duplicates(a: DataFrame) -> DataFrame:
+    """Ids are unique in their collection."""
+    out = []
+    for c in COLLECTIONS:
+        twice = _rows(a, c).groupBy("doc", F.col("x.id").alias("id")).count().where("count > 1")
+        out.append(twice.select("doc", F.concat(F.lit(f"{c}/"), "id").alias("path"), F.lit("an id occurs twice").alias("message")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def dangling(a: DataFrame) -> DataFrame:
+    """References lead to an item of the same document."""
+    out = []
+    for c, field, target in (
+        ("entities", "evidence_refs", "evidence"), ("evidence", "entity_ids", "entities"), ("events", "symptom_ids", "symptoms"), ("events", "evidence_refs", "evidence"),
+        ("symptoms", "evidence_refs", "evidence"), ("fragments", "event_ids", "events"), ("events", "entity_id", "entities"), ("symptoms", "entity_id", "entities"),
+        ("relations", "source_entity", "entities"), ("relations", "target_entity", "entities"),
+    ):
+        many = field.endswith(("_refs", "_ids"))
+        refs = _rows(a, c).select("doc", _path(c).alias("path"), (F.explode(f"x.{field}") if many else F.col(f"x.{field}")).alias("ref"))
+        known = _rows(a, target).select("doc", F.col("x.id").alias("ref"))
+        out.append(refs.where("ref is not null").join(known, ["doc", "ref"], "left_anti").select("doc", F.concat("path", F.lit(f"/{field}")).alias("path"), F.lit(f"an unknown reference to {target}").alias("message")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def unsupported(a: DataFrame) -> DataFrame:
+    """Events and symptoms that cite evidence have some of their entity that overlaps them, symptoms some of their modality."""
+    out = []
+    evidence = _rows(a, "evidence").select("doc", F.col("x").alias("e"))
+    for c in ("events", "symptoms"):
+        item = _rows(a, c).where(F.size("x.evidence_refs") > 0)
+        cited = item.select("doc", "x", F.explode("x.evidence_refs").alias("ref")).join(evidence.select("doc", "e", F.col("e.id").alias("ref")), ["doc", "ref"])
+        meets = F.array_contains(F.col("e.entity_ids"), F.col("x.entity_id")) & (F.col("x.interval.start") <= F.col("e.interval.end")) & (F.col("e.interval.start") <= F.col("x.interval.end"))
+        good = cited.where(meets)
+        without = item.withColumn("id", F.col("x.id")).join(good.select("doc", F.col("x.id").alias("id")).distinct(), ["doc", "id"], "left_anti")
+        out.append(without.select("doc", _path(c).alias("path"), F.lit("no cited evidence covers this entity and time").alias("message")))
+        if c == "symptoms":
+            kinds = good.groupBy("doc", F.col("x.id").alias("id")).agg(F.max(F.col("e.modality") == F.col("x.modality")).alias("ok")).where("not ok")
+            out.append(kinds.select("doc", F.concat(F.lit("symptoms/"), "id").alias("path"), F.lit("no supporting evidence has this modality").alias("message")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def supervision(a: DataFrame) -> DataFrame:
+    """Confirmation and root facts agree with their sources."""
+    e = _rows(a, "entities")
+    return reduce(DataFrame.unionByName, [
+        _bad(a, (F.col("confirmation") == "confirmed") & F.col("confirmed_by").isNull(), F.lit("provenance"), "a confirmation without a name"),
+        _bad(a, (F.col("confirmation") != "confirmed") & F.col("confirmed_by").isNotNull(), F.lit("provenance"), "a name without a confirmation"),
+        _bad(a, (F.col("availability") == "complete_set") & (F.coalesce("root_source", F.lit("")) == ""), F.lit("root_supervision"), "complete roots without a source"),
+        _bad(e, (F.col("availability") == "unavailable") & (F.col("x.root_role") != "unknown"), _path("entities"), "a root fact without supervision"),
+        _bad(e, ~F.col("x.candidate") & (F.col("x.root_role") == "root"), _path("entities"), "a root outside the candidates"),
+        _bad(e, (F.col("x.observation_state") != "unknown") & (F.size("x.evidence_refs") == 0), _path("entities"), "an observed state without evidence"),
+    ])
+
+
+def paths(a: DataFrame) -> DataFrame:
+    """Evidence paths stay inside the package."""
+    bad = F.col("x.path").rlike(r"^\s*$|^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)")
+    return _bad(_rows(a, "evidence"), bad, _path("evidence"), "an unsafe path")
+
+
+def directions(a: DataFrame) -> DataFrame:
+    """Directions of relations fit their type, endpoints and impact."""
+    r, p = _rows(a, "relations"), _path("relations")
+    ends = F.array_sort(F.array(F.col("x.source_entity"), F.col("x.target_entity")))
+    off = lambda k: F.col(f"x.{k}_source").isNotNull() & (F.array_sort(F.array(F.col(f"x.{k}_source"), F.col(f"x.{k}_target"))) != ends)
+    call, impact = F.col("x.call_source").isNotNull(), F.col("x.impact_source").isNotNull()
+    return reduce(DataFrame.unionByName, [
+        _bad(r, off("call") | off("impact"), p, "a direction has other endpoints than its relation"),
+        _bad(r, (F.col("x.type") == "call") & ~call, p, "a call without a direction"),
+        _bad(r, (F.col("x.type") != "call") & call, p, "a call direction on another relation"),
+        _bad(r, (F.col("x.type") == "same_entity") & (F.col("x.source_entity") != F.col("x.target_entity")), p, "one entity with two identities"),
+        _bad(r, (F.col("x.impact_status") == "unknown") & impact, p, "a direction of unknown impact"),
+        _bad(r, (F.col("x.impact_status") != "unknown") & ~impact, p, "an impact without a direction"),
+    ])
+
+
+def edges(a: DataFrame) -> DataFrame:
+    """Edges join member events, fit their relation, and have the delay bounds that the events' intervals give."""
+    f = _rows(a, "fragments").select("doc", F.col("x.id").alias("fragment"), F.col("x.event_ids").alias("members"), F.explode("x.edges").alias("g"))
+    ev = _rows(a, "events").select("doc", F.col("x").alias("v"))
+    side = lambda n: ev.select("doc", F.col("v").alias(n), F.col("v.id").alias(f"{n}_id"))
+    rel = _rows(a, "relations").select("doc", F.col("x").alias("r"), F.col("x.id").alias("r_id"))
+    j = f.withColumns({"s_id": F.col("g.source_event"), "t_id": F.col("g.target_event"), "r_id": F.col("g.relation_id")})
+    j = j.join(side("s"), ["doc", "s_id"], "left").join(side("t"), ["doc", "t_id"], "left").join(rel, ["doc", "r_id"], "left")
+    seconds = lambda x, y: (F.unix_micros(x) - F.unix_micros(y)) / 1e6
+    least, most = seconds(F.col("t.interval.start"), F.col("s.interval.end")), seconds(F.col("t.interval.end"), F.col("s.interval.start"))
+    p = F.concat(F.lit("fragments/"), "fragment", F.lit("/edges/"), "g.id")
+    known, unknown = F.col("g.temporal_order") != "unknown", F.col("g.temporal_order") == "unknown"
+    lower, upper = F.col("g.lower"), F.col("g.upper")
+    wide = lambda x, y: F.abs(x - y) > F.greatest(F.lit(CLOSE), CLOSE * F.greatest(F.abs(x), F.abs(y)))
+    ends = lambda x, y: F.array_sort(F.array_distinct(F.array(x, y)))
+    return reduce(DataFrame.unionByName, [
+        _bad(j, ~F.array_contains("members", F.col("g.source_event")) | ~F.array_contains("members", F.col("g.target_event")), p, "an event is no member"),
+        _bad(j, F.col("g.source_event") == F.col("g.target_event"), p, "an edge from an event to itself"),
+        _bad(j, F.col("r").isNull(), p, "an unknown relation"),
+        _bad(j, ends(F.col("s.entity_id"), F.col("t.entity_id")) != ends(F.col("r.source_entity"), F.col("r.target_entity")), p, "the events are not of the relation's entities"),
+        _bad(j, unknown & (lower.isNotNull() | upper.isNotNull()), p, "bounds of an unknown order"),
+        _bad(j, known & (lower.isNull() | upper.isNull()), p, "an order without bounds"),
+        _bad(j, known & (lower > upper), p, "bounds in the wrong order"),
+        _bad(j, known & (F.col("s.interval.end") >= F.col("t.interval.start")), p, "an order of overlapping events"),
+        _bad(j, known & (wide(lower, least) | wide(upper, most)), p, "bounds that the intervals don't give"),
+    ])
+
+
+def ordered_paths(a: DataFrame, longest: int = 16) -> DataFrame:
+    """A fragment lists exactly its maximal paths along ordered edges; a cycle, or a path of more than ``longest`` edges, is a violation.
+
+    Paths grow from events without a predecessor, one edge per level, as long as any does.
+    """
+    f = _rows(a, "fragments").select("doc", F.col("x.id").alias("fragment"), F.col("x.event_ids").alias("members"), F.col("x.ordered_paths").alias("listed"),
+                                     F.filter("x.edges", lambda g: g["temporal_order"] != "unknown").alias("es"))
+    ending = lambda path: F.element_at(path, -1)
+    starts = F.filter("members", lambda m: F.exists("es", lambda g: g["source_event"] == m) & ~F.exists("es", lambda g: g["target_event"] == m))
+    grown = f.withColumns({"open": F.transform(starts, lambda m: F.array(m)), "whole": F.array().cast("array<array<string>>")})
+    for _ in range(longest):
+        more = F.flatten(F.transform("open", lambda q: F.transform(F.filter("es", lambda g: g["source_event"] == ending(q)), lambda g: F.concat(q, F.array(g["target_event"])))))
+        done = F.filter("open", lambda q: ~F.exists("es", lambda g: g["source_event"] == ending(q)))
+        grown = grown.withColumns({"whole": F.concat("whole", done), "open": F.array_distinct(more)})
+    p = F.concat(F.lit("fragments/"), "fragment", F.lit("/ordered_paths"))
+    wrong = F.array_sort(F.array_distinct("whole")) != F.array_sort(F.array_distinct("listed"))
+    cyclic = (F.size("open") > 0) | ((F.size("es") > 0) & (F.size("whole") == 0))
+    return _bad(grown, cyclic, p, "the order has a cycle").unionByName(_bad(grown, ~cyclic & wrong, p, "not all maximal paths, or others"))
+
+
+RULES = (windows, intervals, duplicates, dangling, unsupported, supervision, paths, directions, edges, ordered_paths)
+
+
+def violations(annotations: DataFrame) -> DataFrame:
+    """``doc``, ``path``, ``message`` of everything that is wrong."""
+    return reduce(DataFrame.unionByName, (rule(annotations) for rule in RULES)).distinct()

@@ -1,0 +1 @@
+"""Readers with guards, and sinks."""

@@ -1,0 +1 @@
+"""Incremental forms of the ingest operators on Structured Streaming."""
