@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremolith.operators.observations import reject_label_columns
+from tremolith.runtime import materialize
 
 CORRUPT = "_corrupt_record"
 #: The columns of a trace export, in order, and what each kind of Parquet export must have.
@@ -58,9 +59,10 @@ def trace_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     other malformed row fails.
     """
     names = _header(spark, path, TRACE_COLUMNS)
-    rows = _csv(spark, path, names, "PERMISSIVE")
+    # parsed once and written, as Spark gives malformed rows of a file no plan of their own
+    rows = materialize(_csv(spark, path, names, "PERMISSIVE"), "trace-rows")
     bad = rows.where(F.col(CORRUPT).isNotNull())
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("all"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("all"))
     tail = F.element_at(F.split("all", "\n"), -1)
     plain = F.lit(r'^(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")(?:,(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")){7}$')
     is_tail = (F.col(CORRUPT) == F.col("tail")) & F.regexp_like("tail", plain) & F.lit(tuple(names) == TRACE_COLUMNS)

@@ -22,22 +22,27 @@ def deduplicated(stream: DataFrame, key: Sequence[str], time: str, delay: str) -
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def tumbling(stream: DataFrame, keys: Sequence[str], time: str, value: str, width: str, delay: str, start: str = "0 seconds") -> DataFrame:
-    """Count, mean, least and most per key and bin; late data within ``delay`` still counts."""
+def _watermarked(stream: DataFrame, time: str, delay: str | None) -> DataFrame:
+    return stream if delay is None else stream.withWatermark(time, delay)
+
+
+def tumbling(stream: DataFrame, keys: Sequence[str], time: str, value: str, width: str, delay: str | None, start: str = "0 seconds") -> DataFrame:
+    """Count, mean, least and most per key and bin; late data within ``delay`` still counts (None: the stream has
+    its watermark already)."""
     w = F.window(time, width, width, start)
-    grouped = stream.withWatermark(time, delay).groupBy(w, *keys)
+    grouped = _watermarked(stream, time, delay).groupBy(w, *keys)
     return grouped.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most")).select("window.start", "window.end", *keys, "n", "mean", "least", "most")
 
 
-def sliding(stream: DataFrame, keys: Sequence[str], time: str, value: str, width: str, slide: str, delay: str) -> DataFrame:
+def sliding(stream: DataFrame, keys: Sequence[str], time: str, value: str, width: str, slide: str, delay: str | None) -> DataFrame:
     """Count and mean per key over overlapping windows, the context around every bin."""
-    grouped = stream.withWatermark(time, delay).groupBy(F.window(time, width, slide), *keys)
+    grouped = _watermarked(stream, time, delay).groupBy(F.window(time, width, slide), *keys)
     return grouped.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).select("window.start", "window.end", *keys, "n", "mean")
 
 
-def sessions(stream: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str) -> DataFrame:
+def sessions(stream: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str | None) -> DataFrame:
     """Number of events per key and stretch without a gap."""
-    grouped = stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys)
+    grouped = _watermarked(stream, time, delay).groupBy(F.session_window(time, gap), *keys)
     return grouped.agg(F.count("*").alias("n")).select("session_window.start", "session_window.end", *keys, "n")
 
 
