@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremolith.operators import cases as case_tables
 from tremolith.operators import fragments, protocol, selection
 from tremolith.operators import observations as obs
 from tremolith.plans.reference import _BASE, EVENT_DELTA, _scaled, cases, entities, logs, samples
@@ -371,3 +372,85 @@ def ledger_cumulative_hits(spark, sf):
     hits = selection.case_hits(_marked(spark, sf)).join(cases(spark, sf).select("case_id", "dataset_id"), "case_id")
     rows = hits.select("dataset_id", F.col("case_id").alias("attempt"), "case_id", (F.col("first") <= 3).alias("hit"))
     return protocol.cumulative_hits(rows, "dataset_id", "attempt", "case_id", "hit").select("dataset_id", "case_id", "scored", "hits")
+
+
+# --- cases, labels, attempts -----------------------------------------------------------------------------------------
+
+
+def _labels(spark, sf):
+    """Stand-in labels: kind by the day's last digit, roots by the loudest owners."""
+    roots = _marked(spark, sf).where("is_root").groupBy("case_id").agg(F.collect_list("entity").alias("roots"))
+    return cases(spark, sf).join(roots, "case_id").select("case_id", "dataset_id", F.substring("day", 10, 1).alias("kind"), "roots")
+
+
+_LABELS = _RANKED + """, lab AS (SELECT q.case_id, c.dataset_id, substr(c.day, 10, 1) AS kind, count(DISTINCT q.owner) AS cardinality FROM roots q JOIN cases c USING (case_id) GROUP BY ALL)
+"""
+
+
+@query(_LABELS + "SELECT CASE WHEN grouping(kind) = 1 THEN NULL ELSE kind END AS kind, cardinality, count(*) AS cases FROM lab GROUP BY GROUPING SETS ((cardinality), (kind, cardinality))")
+def root_cardinality(spark, sf):
+    return case_tables.root_cardinality(_labels(spark, sf), "kind", "roots").withColumn("cardinality", F.col("cardinality").cast("bigint"))
+
+
+def _attempts(spark, sf):
+    """Attempts in order of time of log records of the gateway: the case is the owner's record's, failed by text."""
+    rows = logs(spark, sf).where("owner = 'service:gateway'")
+    return rows.select("case_id", F.col("log_id").alias("attempt"), F.pmod("log_id", F.lit(7)).alias("item"), (F.pmod("log_id", F.lit(3)) == 0).alias("failed"), (F.pmod("log_id", F.lit(11)) == 0).alias("hit"))
+
+
+_ATTEMPTS = _BASE + """, att AS (SELECT case_id, log_id AS attempt, log_id % 7 AS item, log_id % 3 = 0 AS failed, log_id % 11 = 0 AS hit FROM logs WHERE owner = 'service:gateway'),
+ret AS (SELECT *, max(CASE WHEN failed THEN attempt END) OVER (PARTITION BY case_id, item ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS retry_of FROM att)
+"""
+
+
+@query(_ATTEMPTS + "SELECT case_id, attempt, coalesce(retry_of, -1) AS retry_of FROM ret")
+def retry_links(spark, sf):
+    found = case_tables.retry_links(_attempts(spark, sf), "case_id", "attempt", "item", "failed")
+    return found.select("case_id", "attempt", F.coalesce("retry_of", F.lit(-1)).cast("bigint").alias("retry_of"))
+
+
+@query(_ATTEMPTS + """SELECT case_id, count(*) AS attempts, count(DISTINCT item) AS cases, count(*) FILTER (failed) AS errors, count(retry_of) AS retries,
+coalesce(min(CASE WHEN hit THEN attempt END), -1) AS first_hit FROM ret GROUP BY case_id""")
+def ledger_summary(spark, sf):
+    found = case_tables.ledger_summary(_attempts(spark, sf), "case_id", "attempt", "item", "failed", "hit")
+    return found.withColumn("first_hit", F.coalesce("first_hit", F.lit(-1)).cast("bigint"))
+
+
+@query(_BASE + """, p AS (SELECT DISTINCT case_id FROM cases), l AS (SELECT DISTINCT case_id FROM logs WHERE log_id % 2 = 0 AND frequency > 1), u AS (SELECT case_id FROM p WHERE right(case_id, 1) < '5')
+SELECT case_id, CASE WHEN l.case_id IS NOT NULL THEN 'both' ELSE 'neither' END AS fault FROM p LEFT JOIN l USING (case_id) LEFT JOIN u USING (case_id)
+WHERE (l.case_id IS NOT NULL AND u.case_id IS NOT NULL) OR (l.case_id IS NULL AND u.case_id IS NULL)""")
+def partition_faults(spark, sf):
+    pool = cases(spark, sf)
+    loud = logs(spark, sf).where("log_id % 2 = 0 and frequency > 1")
+    return case_tables.partition_faults(pool, loud, pool.where(F.substring("case_id", -1, 1) < "5"))
+
+
+@query(f"SELECT case_id FROM (SELECT DISTINCT case_id FROM incident_case WHERE right(case_id, 1) <> '3') ORDER BY {_ORDERED % (_STREAM % 'reserve')}, case_id LIMIT 5")
+def random_select(spark, sf):
+    pool = cases(spark, sf).select("case_id").withColumn("priority", protocol.hash_priority(F.col("case_id"), protocol.substream("incidents", "reserve", 7)))
+    return case_tables.first_by_priority(pool, pool.where(F.substring("case_id", -1, 1) == "3"), 5).select("case_id")
+
+
+_BLOCK_Z = """, b AS (SELECT case_id, owner, channel, max(z) AS z, sha256('0|' || case_id || '|' || owner || '|' || channel) AS o, count(*) OVER (PARTITION BY case_id) AS n FROM z WHERE supported AND time >= incident_start AND time < incident_end GROUP BY case_id, owner, channel),
+t AS (SELECT *, CAST(ceil(n * 0.2) AS BIGINT) AS take, row_number() OVER (PARTITION BY case_id ORDER BY o) AS r FROM b WHERE n >= 2),
+q AS (SELECT *, r <= take // 2 AS uni FROM t), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY uni DESC, (abs(z) > 1) DESC, o) AS rest FROM q)
+"""
+
+
+@query(_BASE + _BLOCK_Z + "SELECT case_id, owner, channel, CASE WHEN uni THEN 'uniform' WHEN abs(z) > 1 THEN 'response' ELSE 'fill' END AS reason FROM w WHERE rest <= take")
+def mask_block_sample(spark, sf):
+    blocks = _scaled(spark, sf).where("supported and time >= incident_start and time < incident_end").groupBy("case_id", "owner", "channel").agg(F.max("z").alias("z"))
+    return case_tables.mask_blocks(blocks, "case_id", ["owner", "channel"], "z")
+
+
+@query(_RANKED + """, top AS (SELECT case_id, list(entity ORDER BY rank) AS o FROM ranked WHERE rank <= 9 GROUP BY case_id),
+one AS (SELECT case_id, [unnest(o[1:8])] AS s FROM top), pre AS (SELECT case_id, list_sort(o[1:k.k]) AS s FROM top, unnest(range(2, 10)) AS k(k) WHERE k.k <= len(o))
+SELECT DISTINCT case_id, array_to_string(s, ',') AS sources FROM (SELECT * FROM one UNION ALL SELECT * FROM pre)""")
+def source_library(spark, sf):
+    return case_tables.source_sets(_ranked(spark, sf)[0]).select("case_id", F.concat_ws(",", "sources").alias("sources"))
+
+
+@query()
+def motif_codes(spark, sf):
+    found = case_tables.motif_codes(fragments.fragments(_eligible(spark, sf)))
+    return found.groupBy("case_id", "code").agg(F.count("*").alias("fragments"))
