@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,13 @@ def source_sets(ranked: DataFrame, longest: int = 9, singles: int = 8) -> DataFr
 
 
 def motif_code(nodes: Sequence[Sequence], edges: Sequence[Sequence], same: Sequence[Sequence[bool]], before: Sequence[Sequence[str]]) -> str:
+    """Canonical text of a small attributed graph; see :func:`_motif_code`. Graphs recur, so codes are kept."""
+    fixed = lambda rows: tuple(tuple(r) for r in rows)
+    return _motif_code(fixed(nodes), fixed(edges), fixed(same), fixed(before))
+
+
+@lru_cache(maxsize=1 << 16)
+def _motif_code(nodes: tuple, edges: tuple, same: tuple, before: tuple) -> str:
     """Canonical text of a small attributed graph: the least over all orders of its (at most four) vertices.
 
     ``nodes`` are attribute tuples, ``edges`` (source, target, attributes...) by position, ``same`` and ``before``

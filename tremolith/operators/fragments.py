@@ -51,25 +51,30 @@ def family(edges: Column) -> Column:
 
 
 def fragments(links: DataFrame, largest: int = 3) -> DataFrame:
-    """All connected sets of one to ``largest`` (at most 3) edges of each case: ``case_id``, ``edges`` (sorted array), ``size``, ``family``.
+    """All connected sets of one to ``largest`` (at most 3) edges of each case: ``case_id``, ``edges`` (sorted array), ``size``, ``family``, ``members``.
 
-    ``links`` has a unique ``edge`` (bigint). A set of three edges is a connected pair and an edge that shares an event
-    with it, kept once by its sorted ids. Self-joins run on (case, event), so a case is spread over its events.
+    ``links`` has a unique ``edge`` (bigint) per case. Self-joins run on (case, event), so a case is spread over its
+    events. Every set is met once, without a distinct: a pair at the least event that its edges share; a triple from the
+    least pair of it that is connected, at the least event that the third edge shares with that pair.
     """
-    link = links.select("case_id", "edge", "source", "target", F.struct("edge", "source", "target", "source_entity", "target_entity").alias("e"))
-    ends = link.select("case_id", "edge", "e", F.explode(F.array_distinct(F.array("source", "target"))).alias("event"))
-    single = link.select("case_id", F.array("e").alias("es"))
-    levels = [single]
+    link = links.select("case_id", F.struct("edge", "source", "target", "source_entity", "target_entity").alias("e"))
+    events = lambda e: F.array(e["source"], e["target"])
+    # the joins multiply their rows, so their partitions must not be merged for being small before
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = link.select("case_id", "e", F.explode(F.array_distinct(events(F.col("e")))).alias("event")).repartition(parts, "case_id", "event")
+    levels = [link.select("case_id", F.array("e").alias("es"))]
+    x, y, z = F.col("ex"), F.col("ey"), F.col("ez")
+    least_shared = lambda p, q: F.array_min(F.array_intersect(p, q))
     if largest >= 2:
-        a, b = ends.select("case_id", "event", F.col("edge").alias("x"), F.col("e").alias("ex")), ends.select("case_id", "event", F.col("edge").alias("y"), F.col("e").alias("ey"))
-        pairs = a.join(b, ["case_id", "event"]).where("x < y").groupBy("case_id", "x", "y").agg(F.first("ex").alias("ex"), F.first("ey").alias("ey")).select("case_id", F.array("ex", "ey").alias("es"))
-        levels.append(pairs)
+        side = lambda name: ends.select("case_id", "event", F.col("e").alias(name))
+        pairs = side("ex").join(side("ey"), ["case_id", "event"]).where((x["edge"] < y["edge"]) & (F.col("event") == least_shared(events(x), events(y)))).select("case_id", "ex", "ey")
+        levels.append(pairs.select("case_id", F.array("ex", "ey").alias("es")))
     if largest >= 3:
-        touched = F.array_distinct(F.flatten(F.transform("es", lambda e: F.array(e["source"], e["target"]))))
-        grown = pairs.select("case_id", "es", F.explode(touched).alias("event")).join(ends.select("case_id", "event", F.col("e").alias("more")), ["case_id", "event"])
-        sets = F.array_sort(F.array_distinct(F.concat("es", F.array("more"))))
-        triples = grown.select("case_id", sets.alias("es")).where(F.size("es") == 3).groupBy("case_id", F.transform("es", lambda e: e["edge"]).alias("ids")).agg(F.first("es").alias("es")).select("case_id", "es")
-        levels.append(triples)
+        touched = F.array_distinct(F.concat(events(x), events(y)))
+        grown = pairs.withColumn("touched", touched).select("*", F.explode("touched").alias("event")).repartition(parts, "case_id", "event").join(side("ez"), ["case_id", "event"])
+        apart = F.size(F.array_intersect(events(x), events(z))) == 0
+        first = (z["edge"] > x["edge"]) & (z["edge"] != y["edge"]) & ((z["edge"] > y["edge"]) | apart) & (F.col("event") == least_shared(F.col("touched"), events(z)))
+        levels.append(grown.where(first).select("case_id", F.array_sort(F.array("ex", "ey", "ez")).alias("es")))
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
