@@ -90,12 +90,14 @@ def collapse_runs(events: DataFrame, keys: Sequence[str], *, id: str, time: str,
     keys = list(keys)
     amount = F.coalesce(F.col(frequency), F.lit(1)).cast("bigint") if frequency else F.lit(1).cast("bigint")
     columns = [*keys, "time", "said", "amount"]
+    # the text is read once and travels as its digest, which is null where the text is
     records = (
-        events.select(*keys, F.col(id).alias("id"), F.col(time).cast("double").alias("time"), F.xxhash64(F.col(said)).alias("said"), amount.alias("amount"), F.col(said).isNull().alias("mute"))
-        .where("id is not null and time is not null and not isnan(time) and not mute")
+        events.select(*keys, F.col(id).alias("id"), F.col(time).cast("double").alias("time"), F.unhex(F.md5(F.col(said))).alias("said"), amount.alias("amount"))
+        .where("id is not null and time is not null and not isnan(time)")
         .dropna(subset=keys)
         .groupBy("id")
-        .agg(F.min(F.struct(*columns)).alias("r"))
+        .agg(F.min(F.when(F.col("said").isNotNull(), F.struct(*columns))).alias("r"))
+        .where("r is not null")
         .select("id", "r.*")
     )
     linked = materialize(_predecessors(records, keys), "linked")
