@@ -191,11 +191,29 @@ def sanitize(text: Column, names: Sequence[str]) -> Column:
     out = text
     for name in sorted((n for n in names if n), key=lambda n: (-len(n), n)):
         out = F.when(F.contains(out, F.lit(name)), F.regexp_replace(out, rf"(?U)(?<!\w){literal(name)}(?!\w)", "<ENTITY>")).otherwise(out)
+    return _without_ids(out)
+
+
+def _without_ids(out: Column) -> Column:
     out = F.regexp_replace(out, r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP>")
     out = F.regexp_replace(out, r"(?U)\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", "<UUID>")
     return F.regexp_replace(out, r"(?iU)\b(request[_-]?id|trace[_-]?id|span[_-]?id)\s*[=:]\s*[\w-]+", "$1=<REQUEST>")
 
 
+def sanitize_by_catalog(records: DataFrame, catalog: DataFrame, key: Sequence[str] = ("case_id",), text: str = "text", id: str = "id") -> DataFrame:  # noqa: A002
+    """``records`` with ``text`` as :func:`sanitize` leaves it, the names being all ids of ``catalog`` with the record's ``key``.
+
+    The ids come as one array per key, longest first; they are replaced one after the other, each in the text that the
+    ones before left. Records whose key has no ids keep their names.
+    """
+    order = F.struct((-F.length(id)).alias("l"), F.col(id).alias("n"), F.concat(F.lit(r"(?U)(?<!\w)"), F.regexp_replace(id, r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"(?!\w)")).alias("p"))
+    names = catalog.where(F.length(id) > 0).groupBy(*key).agg(F.array_sort(F.collect_set(order)).alias("__names"))
+    masked = lambda t, n: F.when(F.contains(t, n["n"]), F.regexp_replace(t, n["p"], F.lit("<ENTITY>"))).otherwise(t)
+    joined = records.join(names, list(key), "left")
+    out = F.when(F.col("__names").isNull(), F.col(text)).otherwise(F.aggregate("__names", F.col(text), masked))
+    return joined.withColumn(text, _without_ids(out)).drop("__names")
+
+
 def apply_mask(samples: DataFrame, blocks: DataFrame, unit: Sequence[str] = ("modality", "owner", "bin")) -> tuple[DataFrame, DataFrame]:
     """Samples with those of the blocks unobserved and 0, and the hidden values as targets. Blocks are distinct ``unit`` rows."""
     marked = samples.join(blocks.select(*unit).distinct().withColumn("__hit", F.lit(True)), list(unit), "left")
