@@ -1,11 +1,12 @@
 """Queries and operators that did less than the whole job, against brute force."""
 
+import itertools
 import re
 
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tremolith.operators import observations
+from tremolith.operators import cases, observations
 
 
 def test_all_catalog_ids_of_a_case_are_masked(spark):
@@ -32,3 +33,26 @@ def test_sanitized_logs_mask_names_outside_the_fixed_five(spark):
     texts = dict(sanitized_logs(spark, sf).collect())
     assert ids
     assert not [i for n, i in ids if re.search(r"(?<!\w)" + re.escape(i) + r"(?!\w)", texts[n])]
+
+
+def test_source_sets_hold_every_single_candidate_prefixes_and_seeded_extras(spark):
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 13}
+    ranked = [(c, f"e{(5 * i) % n:02d}" if n == 13 else f"e{i:02d}", i + 1) for c, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(ranked, "case_id string, entity string, rank int")
+    found = rows(cases.source_sets(df))
+    assert found == rows(cases.source_sets(df.repartition(3))) and len(set(map(repr, found))) == len(found)
+    for c, n in sizes.items():
+        order = [e for k, e, _ in ranked if k == c]
+        sets = [frozenset(s) for k, s in found if k == c]
+        assert {s for s in sets if len(s) == 1} == {frozenset([e]) for e in order}
+        assert {frozenset(order[:k]) for k in range(2, min(9, n) + 1)} <= set(sets)
+        assert len(sets) == n + min(16, 2**n - 1 - n)
+    assert set(map(frozenset, cases.unlabeled_sources([2, 0, 1]))) == {frozenset(s) for k in (1, 2, 3) for s in itertools.combinations(range(3), k)}
+
+
+def test_labeled_source_sets_hold_the_truth_and_others_of_its_size(spark):
+    rows_ = [(c, f"e{i:02d}", i < 2) for c, n in (("x", 3), ("y", 12)) for i in range(n)]
+    found = rows(cases.labeled_source_sets(spark.createDataFrame(rows_, "case_id string, entity string, is_root boolean")))
+    for c, n in (("x", 3), ("y", 17)):
+        sets = {frozenset(s) for k, s in found if k == c}
+        assert len(sets) == n and frozenset(["e00", "e01"]) in sets and {len(s) for s in sets} == {2}

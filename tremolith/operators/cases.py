@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
+import math
+import random
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -74,12 +77,83 @@ def mask_blocks(blocks: DataFrame, case: str, block: Sequence[str], z: str, shar
     return later.where(F.col("__rest") <= F.col("__take")).select(case, *block, F.when(F.col("__u"), "uniform").when(F.abs(z) > 1, "response").otherwise("fill").alias("reason"))
 
 
-def source_sets(ranked: DataFrame, longest: int = 9, singles: int = 8) -> DataFrame:
-    """``case_id``, ``sources``: candidate root sets of a case, its best single entities and the prefixes of its ranking."""
-    top = ranked.where(F.col("rank") <= longest).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda s: s["entity"]).alias("order"))
-    one = F.transform(F.slice("order", 1, singles), lambda e: F.array(e))
-    prefixes = F.when(F.size("order") >= 2, F.transform(F.sequence(F.lit(2), F.least(F.size("order"), F.lit(longest))), lambda k: F.array_sort(F.slice("order", F.lit(1), k)))).otherwise(F.array().cast("array<array<string>>"))
-    return top.select("case_id", F.explode(F.array_distinct(F.concat(one, prefixes))).alias("sources"))
+def _unused_subset(n: int, k: int, used: set[frozenset[int]], rng: random.Random) -> frozenset[int]:
+    """A uniform subset of ``k`` of ``n`` that is not in ``used``: from the list where that is short, else by rejection."""
+    if math.comb(n, k) <= 32:
+        return rng.choice([s for s in map(frozenset, itertools.combinations(range(n), k)) if s not in used])
+    while (s := frozenset(rng.sample(range(n), k))) in used:
+        pass
+    return s
+
+
+def unlabeled_sources(ranking: Sequence[int], seed: int = 0, extras: int = 16, prefixes: int = 8, largest: int | None = None) -> list[frozenset[int]]:
+    """Candidate root sets of a case without labels, as sets of positions: every single candidate, the prefixes of 2 to 9 of
+    ``ranking`` (at most ``prefixes``), and random sets of a uniform size until there are ``extras`` besides the singles."""
+    n = len(ranking)
+    cap = n if largest is None else min(n, largest)
+    used: dict[int, set] = {k: set() for k in range(2, cap + 1)}
+    more = [frozenset(ranking[:k]) for k in range(2, min(9, cap) + 1)][: min(prefixes, extras)]
+    for s in more:
+        used[len(s)].add(s)
+    open_ = [k for k in used if len(used[k]) < math.comb(n, k)]
+    rng = random.Random(seed)
+    while open_ and len(more) < extras:
+        k = rng.choice(open_)
+        more.append(_unused_subset(n, k, used[k], rng))
+        used[k].add(more[-1])
+        if len(used[k]) == math.comb(n, k):
+            open_.remove(k)
+    return [frozenset([i]) for i in range(n)] + more
+
+
+def labeled_sources(count: int, truth: Sequence[int], seed: int = 0, wrong: int = 16, largest: int | None = None) -> list[frozenset[int]]:
+    """The true root set, then at most ``wrong`` other sets of its size; a true set that is empty, unknown or too large is an error."""
+    true = frozenset(truth)
+    if not true or not true <= set(range(count)) or len(true) > (count if largest is None else largest):
+        raise ValueError("true roots must be some of the candidates, and no more than the largest set allowed")
+    used, rng = {true}, random.Random(seed)
+    out = [true]
+    for _ in range(min(wrong, math.comb(count, len(true)) - 1)):
+        out.append(_unused_subset(count, len(true), used, rng))
+        used.add(out[-1])
+    return out
+
+
+def _keyed_seed(*parts) -> int:
+    return int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "big")
+
+
+def _sets(cases: DataFrame, columns: Sequence[str], found) -> DataFrame:
+    def run(batches):
+        for frame in batches:
+            out = [(row[0], sorted(s)) for row in frame.itertuples(index=False) for s in found(*row)]
+            yield pd.DataFrame(out, columns=["case_id", "sources"])
+
+    return cases.select("case_id", *columns).mapInPandas(run, "case_id string, sources array<string>")
+
+
+def source_sets(ranked: DataFrame, seed: int = 42, epoch: int = 0, largest: int | None = None) -> DataFrame:
+    """``case_id``, ``sources``: :func:`unlabeled_sources` of each case's ranking, its candidates numbered by name and its
+    random sets fixed by seed, case and epoch."""
+
+    def found(case, order):
+        names = sorted(order)
+        at = {e: i for i, e in enumerate(names)}
+        return [[names[i] for i in s] for s in unlabeled_sources([at[e] for e in order], _keyed_seed(seed, case, epoch, "U"), largest=largest)]
+
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda s: s["entity"])
+    return _sets(ranked.groupBy("case_id").agg(order.alias("order")), ["order"], found)
+
+
+def labeled_source_sets(candidates: DataFrame, seed: int = 42, epoch: int = 0, largest: int | None = None) -> DataFrame:
+    """``case_id``, ``sources``: :func:`labeled_sources` of each case of ``candidates`` (case_id, entity, is_root), the true set among them."""
+
+    def found(case, entities, roots):
+        names = sorted(entities)
+        return [[names[i] for i in s] for s in labeled_sources(len(names), [names.index(r) for r in roots], _keyed_seed(seed, case, epoch, "L"), largest=largest)]
+
+    roots = F.collect_set(F.when(F.col("is_root"), F.col("entity")))
+    return _sets(candidates.groupBy("case_id").agg(F.collect_set("entity").alias("entities"), roots.alias("roots")), ["entities", "roots"], found)
 
 
 def motif_code(nodes: Sequence[Sequence], edges: Sequence[Sequence], same: Sequence[Sequence[bool]], before: Sequence[Sequence[str]]) -> str:
