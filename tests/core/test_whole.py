@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tremolith.operators import cases, observations
+from tremolith.operators import cases, fragments, observations
 
 
 def test_all_catalog_ids_of_a_case_are_masked(spark):
@@ -56,3 +56,31 @@ def test_labeled_source_sets_hold_the_truth_and_others_of_its_size(spark):
     for c, n in (("x", 3), ("y", 17)):
         sets = {frozenset(s) for k, s in found if k == c}
         assert len(sets) == n and frozenset(["e00", "e01"]) in sets and {len(s) for s in sets} == {2}
+
+
+def test_motifs_differ_by_order_state_and_edge_and_not_by_names(spark):
+    link = {"edge": 1, "source": "a/1", "target": "b/4", "source_entity": "a", "target_entity": "b", "source_bin": 1, "target_bin": 4, "source_state": "service|l|u", "target_state": "host|h|u", "state": "call|false|[2,4)|r;u"}
+    variants = [
+        {}, {"source": "x/1", "target": "c/4", "source_entity": "x", "target_entity": "c"}, {"target_bin": 2}, {"source_bin": 9}, {"source_state": "service|r|u"}, {"source_state": "service|l|h"},
+        {"state": "call|true|[2,4)|r;u"}, {"state": "call|false|unknown|r;u"}, {"state": "hosted_on|false|[2,4)|r;u"}, {"state": "call|false|[2,4)|h;u"},
+    ]
+    df = spark.createDataFrame([{**link, **v, "case_id": str(i)} for i, v in enumerate(variants)])
+    codes = dict(cases.motif_codes(fragments.fragments(df, carry=cases.MOTIF)).collect())
+    assert codes["0"] == codes["1"] and len(set(codes.values())) == len(variants) - 1
+
+
+def test_motif_code_is_the_least_over_all_orders():
+    import json
+    import random
+
+    rng = random.Random(1)
+    for _ in range(50):
+        n = rng.randint(2, 4)
+        nodes, cell = [(rng.choice(["s", "s|l", "h"]),) for _ in range(n)], [[rng.choice(["before", "unknown"]) for _ in range(n)] for _ in range(n)]
+        same, edges = [[rng.random() < 0.5 for _ in range(n)] for _ in range(n)], [(rng.randrange(n), rng.randrange(n), rng.choice("xy")) for _ in range(3)]
+        texts = []
+        for o in itertools.permutations(range(n)):
+            at = {v: i for i, v in enumerate(o)}
+            full = [[list(nodes[v]) for v in o], [[same[a][b] for b in o] for a in o], [[cell[a][b] for b in o] for a in o], sorted([at[a], at[b], x] for a, b, x in edges)]
+            texts.append(json.dumps(full, separators=(",", ":")))
+        assert cases.motif_code(nodes, edges, same, cell) == min(texts)

@@ -167,18 +167,26 @@ def _motif_code(nodes: tuple, edges: tuple, same: tuple, before: tuple) -> str:
     """Canonical text of a small attributed graph: the least over all orders of its (at most four) vertices.
 
     ``nodes`` are attribute tuples, ``edges`` (source, target, attributes...) by position, ``same`` and ``before``
-    matrices of equality of entities and of order in time.
+    matrices of equality of entities and of order in time. The nodes come first in the text, so only the orders whose
+    nodes' text is least are written out.
     """
     n = len(nodes)
-    best = None
+    if not n:
+        return "[]"
+    one = [json.dumps(list(v), separators=(",", ":")) for v in nodes]
+    heads: dict[str, list] = {}
     for order in itertools.permutations(range(n)):
+        heads.setdefault("[" + ",".join(one[v] for v in order) + "]", []).append(order)
+    head = min(heads, key=lambda h: h + ",")
+    best = None
+    for order in heads[head]:
         place = {v: i for i, v in enumerate(order)}
         text = json.dumps([
-            [list(nodes[v]) for v in order], [[bool(same[a][b]) for b in order] for a in order], [[before[a][b] for b in order] for a in order],
+            [[bool(same[a][b]) for b in order] for a in order], [[before[a][b] for b in order] for a in order],
             sorted([place[e[0]], place[e[1]], *e[2:]] for e in edges),
         ], separators=(",", ":"))
         best = text if best is None or text < best else best
-    return best or "[]"
+    return f"[{head},{best[1:]}"
 
 
 def medoids(distance: np.ndarray, count: int, locked: Sequence[int] = (), rounds: int = 100) -> tuple[list[int], float]:
@@ -214,22 +222,32 @@ def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return {r.name: np.array(r.cells).reshape(r.shape) for r in spark.read.parquet(path).collect()}
 
 
+#: What the members of fragments need for :func:`motif_codes`, besides ends and entities.
+MOTIF = ("source_bin", "target_bin", "source_state", "target_state", "state")
+
+
 def motif_codes(fragments: DataFrame, schema: str = "case_id string, code string") -> DataFrame:
-    """``case_id``, ``code`` of fragments with ``members`` (struct of source, target and their entities); batches in Arrow."""
+    """``case_id``, ``code`` of fragments whose ``members`` have source, target, their entities and the columns of ``MOTIF``;
+    batches in Arrow.
+
+    A node is its state (category, bands); an edge its ends and state (relation, response, delay, bands); the order of two
+    events is that of their bins: before or after with a bin between them, else unknown, as adjacent events touch.
+    """
 
     def run(batches):
         for frame in batches:
             out = []
             for members in frame["members"]:
-                entity = {}
+                node = {}
                 for e in members:
-                    entity[e["source"]], entity[e["target"]] = e["source_entity"], e["target_entity"]
-                vertices = sorted(entity)
+                    for side in ("source", "target"):
+                        node[e[side]] = (e[f"{side}_entity"], e[f"{side}_bin"], e[f"{side}_state"])
+                vertices = sorted(node)
                 at = {v: i for i, v in enumerate(vertices)}
-                kinds = [(entity[v].split(":")[0],) for v in vertices]
-                same = [[entity[a] == entity[b] for b in vertices] for a in vertices]
-                order = [["" for _ in vertices] for _ in vertices]
-                out.append(motif_code(kinds, [(at[e["source"]], at[e["target"]]) for e in members], same, order))
+                entity, bins, state = zip(*(node[v] for v in vertices))
+                same = [[a == b for b in entity] for a in entity]
+                order = [["before" if a + 1 < b else "after" if b + 1 < a else "unknown" for b in bins] for a in bins]
+                out.append(motif_code([(x,) for x in state], [(at[e["source"]], at[e["target"]], e["state"]) for e in members], same, order))
             yield pd.DataFrame({"case_id": frame["case_id"], "code": out})
 
     return fragments.select("case_id", "members").mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,15 @@ def family(edges: Column) -> Column:
     return F.when(again, FAMILIES[0]).when(out & back, FAMILIES[1]).when(out, FAMILIES[2]).when(back, FAMILIES[3]).otherwise(FAMILIES[4])
 
 
-def fragments(links: DataFrame, largest: int = 3) -> DataFrame:
+def fragments(links: DataFrame, largest: int = 3, carry: Sequence[str] = ()) -> DataFrame:
     """All connected sets of one to ``largest`` (at most 3) edges of each case: ``case_id``, ``edges`` (sorted array), ``size``, ``family``, ``members``.
 
     ``links`` has a unique ``edge`` (bigint) per case. Self-joins run on (case, event), so a case is spread over its
     events. Every set is met once, without a distinct: a pair at the least event that its edges share; a triple from the
-    least pair of it that is connected, at the least event that the third edge shares with that pair.
+    least pair of it that is connected, at the least event that the third edge shares with that pair. ``carry`` names
+    further columns of the links that the members keep.
     """
-    link = links.select("case_id", F.struct("edge", "source", "target", "source_entity", "target_entity").alias("e"))
+    link = links.select("case_id", F.struct("edge", "source", "target", "source_entity", "target_entity", *carry).alias("e"))
     events = lambda e: F.array(e["source"], e["target"])
     # the joins multiply their rows, so their partitions must not be merged for being small before
     parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))

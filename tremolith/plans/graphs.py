@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremolith.operators import cases as case_tables
-from tremolith.operators import fragments, protocol, selection
+from tremolith.operators import fragments, protocol, selection, statistics
 from tremolith.operators import observations as obs
 from tremolith.plans.reference import _BASE, EVENT_DELTA, _scaled, cases, entities, logs, samples
 from tremolith.runtime import materialize, table
@@ -203,7 +203,7 @@ def time_spread(spark, sf):
 
 @query()
 def motif_cover(spark, sf):
-    codes = _scaled(spark, sf).where("time >= incident_start").select("case_id", F.concat_ws("|", "category", "channel", obs.band(F.col("z"), F.col("supported"))).alias("code"))
+    codes = materialize(_motif_counts(spark, sf).select("case_id", "code"), "codes")
     order = cases(spark, sf).select("case_id", F.conv(F.substring(F.sha2(F.col("case_id"), 256), 1, 12), 16, 10).cast("double").alias("priority"))
     return selection.motif_cover(spark, codes, order, 3)
 
@@ -450,7 +450,57 @@ def source_library(spark, sf):
     return case_tables.source_sets(_ranked(spark, sf)[0]).select("case_id", F.concat_ws(",", "sources").alias("sources"))
 
 
+def _letters(bands, vocabulary, keys):
+    """Per key one text with the first letter of each channel's band (low, high, reference-band, unknown), in the order of all channels."""
+    maps = bands.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("channel", F.substring("band", 1, 1)))).alias("m"))
+    return maps.crossJoin(vocabulary).select(*keys, F.concat_ws("", F.transform("channels", lambda c: F.coalesce(F.col("m")[c], F.lit("u")))).alias("bands"))
+
+
+def _motif_fragments(spark, sf):
+    """All fragments, their events with category, bands of each metric channel and of the log count in their bin, their
+    edges with relation, response, delay class and the bands of their call's channels in both ends' bins."""
+    at = obs.bin_index(F.col("time"), F.col("reference_start"), F.lit(EVENT_DELTA)).cast("bigint").alias("bin")
+    s = materialize(samples(spark, sf).where("observed and time >= reference_start and time < incident_end"), "readings")
+    stats = statistics.robust_scale(s.where("time < incident_start"), ["category", "channel"], "value")
+
+    def banded(means, stats, keys):
+        z, ok = obs.standardised(F.col("value"), F.col("center"), F.col("scale"))
+        return means.join(stats, keys, "left").withColumn("band", obs.band(z, ok))
+
+    means = s.groupBy("case_id", "modality", "owner", "category", "channel", at).agg(F.avg("value").alias("value"))
+    bands = materialize(banded(means, stats, ["category", "channel"]).select("case_id", "modality", "owner", "channel", "bin", "band"), "bands")
+    kinds = entities(spark, sf).select("case_id", F.col("id").alias("owner"), "category")
+    window = cases(spark, sf).select("case_id", "reference_start", "incident_start", "incident_end")
+    visible = logs(spark, sf).join(window, "case_id").where("time >= reference_start and time < incident_end")
+    count = lambda df: df.groupBy("case_id", "owner", at).agg(F.log1p(F.sum("frequency")).alias("value")).join(kinds, ["case_id", "owner"])
+    usual = statistics.robust_scale(count(visible.where("time < incident_start")), ["category"], "value")
+    loud = banded(count(visible), usual, ["category"]).select("case_id", "owner", "bin", F.substring("band", 1, 1).alias("loud"))
+
+    of = lambda m: (bands.where(F.col("modality") == m), bands.where(F.col("modality") == m).agg(F.array_sort(F.collect_set("channel")).alias("channels")))
+    keys = ["case_id", "owner", "bin"]
+    metric, metrics = of("metric")
+    trace, traces = of("trace")
+    states = _events(spark, sf).select("case_id", "event", F.col("entity").alias("owner"), F.col("bin").cast("bigint").alias("bin"))
+    states = states.join(kinds, ["case_id", "owner"], "left").join(_letters(metric, metrics, keys), keys, "left").join(loud, keys, "left")
+    state = F.concat_ws("|", F.coalesce("category", F.lit("")), F.coalesce("bands", F.lit("")), F.coalesce("loud", F.lit("u")))
+    states = materialize(states.select("case_id", "event", "bin", state.alias("state")), "states")
+    calls = materialize(_letters(trace, traces, keys), "calls")
+
+    kind = table(spark, sf, "topology_relation").select("case_id", F.col("id").alias("relation"), "kind").dropDuplicates(["case_id", "relation"])
+    links = _eligible(spark, sf).join(kind, ["case_id", "relation"], "left").crossJoin(traces.select(F.repeat(F.lit("u"), F.size("channels")).alias("none")))
+    for end in ("source", "target"):
+        links = links.join(states.select("case_id", F.col("event").alias(end), F.col("bin").alias(f"{end}_bin"), F.col("state").alias(f"{end}_state")), ["case_id", end])
+        links = links.join(calls.select("case_id", "owner", F.col("bin").alias(f"{end}_bin"), F.col("bands").alias(f"{end}_calls")), ["case_id", "owner", f"{end}_bin"], "left")
+    delay = obs.delay_class(*(F.col(c) for c in ("source_start", "source_end", "target_start", "target_end")), F.lit(EVENT_DELTA))
+    both = F.when(F.col("source_bin") == F.col("target_bin"), F.coalesce("source_calls", "none")).otherwise(F.concat_ws(";", F.coalesce("source_calls", "none"), F.coalesce("target_calls", "none")))
+    edge = F.concat_ws("|", "kind", F.coalesce("response", F.lit(False)).cast("string"), delay, both)
+    return fragments.fragments(materialize(links.withColumn("state", edge), "motif-links"), carry=case_tables.MOTIF)
+
+
+def _motif_counts(spark, sf):
+    return case_tables.motif_codes(_motif_fragments(spark, sf)).groupBy("case_id", "code").agg(F.count("*").alias("fragments"))
+
+
 @query()
 def motif_codes(spark, sf):
-    found = case_tables.motif_codes(fragments.fragments(_eligible(spark, sf)))
-    return found.groupBy("case_id", "code").agg(F.count("*").alias("fragments"))
+    return _motif_counts(spark, sf)
