@@ -84,3 +84,27 @@ def test_motif_code_is_the_least_over_all_orders():
             full = [[list(nodes[v]) for v in o], [[same[a][b] for b in o] for a in o], [[cell[a][b] for b in o] for a in o], sorted([at[a], at[b], x] for a, b, x in edges)]
             texts.append(json.dumps(full, separators=(",", ":")))
         assert cases.motif_code(nodes, edges, same, cell) == min(texts)
+
+
+def test_mask_blocks_are_of_the_whole_case_with_logs(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    from tremolith.plans import graphs, reference
+
+    sf = "/root/testdata/sf0.001"
+    delta = reference.statistics.grid_interval(reference._pool(reference.samples(spark, sf)), "series_id", "time", "seq").first().delta
+    window = {r.case_id: r for r in reference.cases(spark, sf).collect()}
+    z = defaultdict(float)
+    inside = lambda r: window[r.case_id].reference_start <= r.time < window[r.case_id].incident_end
+    at = lambda r: math.floor((r.time - window[r.case_id].reference_start) / delta)
+    for r in reference._scaled(spark, sf).where("supported").select("case_id", "modality", "owner", "time", "z").collect():
+        if inside(r):
+            k = (r.case_id, "node" if r.modality == "metric" else "edge", r.owner, at(r))
+            z[k] = max(z[k], abs(r.z))
+    for r in reference.logs(spark, sf).select("case_id", "owner", "time").collect():
+        if r.case_id in window and inside(r):
+            z[r.case_id, "node", r.owner, at(r)] += 0.0
+    found = graphs.mask_block_sample(spark, sf).collect()
+    assert Counter(r.case_id for r in found) == {c: math.ceil(0.2 * n) for c, n in Counter(k[0] for k in z).items() if n > 1}
+    assert all((z[r.case_id, r.unit, r.owner, r.bin] > 1) >= (r.reason == "response") and (r.case_id, r.unit, r.owner, r.bin) in set(z) for r in found)

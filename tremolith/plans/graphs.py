@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tremolith.operators import cases as case_tables
 from tremolith.operators import fragments, protocol, selection, statistics
 from tremolith.operators import observations as obs
-from tremolith.plans.reference import _BASE, EVENT_DELTA, _scaled, cases, entities, logs, samples
+from tremolith.plans.reference import _BASE, EVENT_DELTA, _pool, _scaled, cases, entities, logs, samples
 from tremolith.runtime import materialize, table
 
 QUERIES: dict = {}
@@ -439,8 +439,16 @@ q AS (SELECT *, r <= take // 2 AS uni FROM t), w AS (SELECT *, row_number() OVER
 
 @query(_BASE + _BLOCK_Z + "SELECT case_id, owner, channel, CASE WHEN uni THEN 'uniform' WHEN abs(z) > 1 THEN 'response' ELSE 'fill' END AS reason FROM w WHERE rest <= take")
 def mask_block_sample(spark, sf):
-    blocks = _scaled(spark, sf).where("supported and time >= incident_start and time < incident_end").groupBy("case_id", "owner", "channel").agg(F.max("z").alias("z"))
-    return case_tables.mask_blocks(blocks, "case_id", ["owner", "channel"], "z")
+    """Blocks are (unit, owner, bin of the grid interval) over the whole case, with those of logs; the SQL has other, fewer blocks."""
+    grid = statistics.grid_interval(_pool(samples(spark, sf)), "series_id", "time", "seq").select("delta")
+    at = obs.bin_index(F.col("time"), F.col("reference_start"), F.col("delta")).cast("bigint").alias("bin")
+    visible = "time >= reference_start and time < incident_end"
+    unit = F.when(F.col("modality") == "metric", "node").otherwise("edge").alias("unit")
+    read = _scaled(spark, sf).where("supported").where(visible).crossJoin(grid).select("case_id", unit, "owner", at, F.abs("z").alias("z"))
+    window = cases(spark, sf).select("case_id", "reference_start", "incident_end")
+    said = logs(spark, sf).join(window, "case_id").where(visible).crossJoin(grid).select("case_id", F.lit("node").alias("unit"), "owner", at, F.lit(0.0).alias("z"))
+    blocks = read.unionByName(said).groupBy("case_id", "unit", "owner", "bin").agg(F.max("z").alias("z"))
+    return case_tables.mask_blocks(blocks, "case_id", ["unit", "owner", "bin"], "z")
 
 
 @query(_RANKED + """, top AS (SELECT case_id, list(entity ORDER BY rank) AS o FROM ranked WHERE rank <= 9 GROUP BY case_id),
