@@ -108,3 +108,15 @@ def test_mask_blocks_are_of_the_whole_case_with_logs(spark):
     found = graphs.mask_block_sample(spark, sf).collect()
     assert Counter(r.case_id for r in found) == {c: math.ceil(0.2 * n) for c, n in Counter(k[0] for k in z).items() if n > 1}
     assert all((z[r.case_id, r.unit, r.owner, r.bin] > 1) >= (r.reason == "response") and (r.case_id, r.unit, r.owner, r.bin) in set(z) for r in found)
+
+
+def test_every_anchor_keeps_its_share_of_fragments(spark):
+    ends = [("h", f"x{i}") for i in range(12)] + [("r", "q"), ("q", "p")]
+    links = [("c", i, f"{a}/0", f"{b}/0", a, b) for i, (a, b) in enumerate(ends)]
+    found = fragments.fragments(spark.createDataFrame(links, "case_id string, edge bigint, source string, target string, source_entity string, target_entity string"))
+    kept = rows(fragments.anchor_sample(found))
+    assert len({tuple(e) for _, e, _ in kept}) == len(kept)
+    of = lambda sets: {a: sum(any(a in ends[i] for i in e) for e in sets) for a in "hrqp"}
+    every, mine = of([r.edges for r in found.collect()]), of([e for _, e, _ in kept])
+    assert all(mine[a] >= min(8, every[a]) for a in mine) and (mine["r"], mine["q"], mine["p"]) == (2, 3, 2)
+    assert len(kept) <= 8 * 16 < found.count()

@@ -90,6 +90,18 @@ def anchor_counts(found: DataFrame) -> DataFrame:
     return found.select("case_id", "family", F.explode(entities).alias("anchor")).groupBy("case_id", "anchor", "family").agg(F.count("*").alias("fragments"))
 
 
+def anchor_sample(found: DataFrame, cap: int = 8, seed: int = 0) -> DataFrame:
+    """``case_id``, ``edges``, ``family`` of the fragments that any of their entities keeps: each entity of a case at most
+    ``cap``, from the families in turn, in an order fixed by SHA-256 of the seed, the entity and the edges."""
+    anchors = F.array_distinct(F.flatten(F.transform("members", lambda e: F.array(e["source_entity"], e["target_entity"]))))
+    rows = found.select("case_id", "edges", "family", F.concat_ws(",", F.transform("edges", lambda e: e.cast("string"))).alias("key"), F.explode(anchors).alias("anchor"))
+    order = lambda *cs: F.sha2(F.concat_ws("|", F.lit(str(seed)), "case_id", "anchor", *cs), 256)
+    turn = F.row_number().over(Window.partitionBy("case_id", "anchor", "family").orderBy("order", "key"))
+    ranked = rows.withColumn("order", order("key")).withColumn("turn", turn).where(F.col("turn") <= cap)
+    place = F.row_number().over(Window.partitionBy("case_id", "anchor").orderBy("turn", order(F.col("turn").cast("string"), "family"), "family"))
+    return ranked.withColumn("place", place).where(F.col("place") <= cap).select("case_id", "edges", "family").distinct()
+
+
 def balanced_sample(found: DataFrame, cap: int, seed: int = 0) -> DataFrame:
     """At most ``cap`` fragments per case, taken from the families in turn, in an order fixed by SHA-256 of the seed and
     the edges. Ranks within a family come first, so the second window sees at most ``cap`` of each of five families."""

@@ -105,7 +105,7 @@ def anchor_family_counts(spark, sf):
 
 @query()
 def fragment_balanced_sample(spark, sf):
-    return fragments.balanced_sample(fragments.fragments(_eligible(spark, sf)), cap=128)
+    return fragments.balanced_sample(fragments.anchor_sample(fragments.fragments(_eligible(spark, sf))), cap=128)
 
 
 # --- vectors and selection -------------------------------------------------------------------------------------------
