@@ -120,3 +120,20 @@ def test_every_anchor_keeps_its_share_of_fragments(spark):
     every, mine = of([r.edges for r in found.collect()]), of([e for _, e, _ in kept])
     assert all(mine[a] >= min(8, every[a]) for a in mine) and (mine["r"], mine["q"], mine["p"]) == (2, 3, 2)
     assert len(kept) <= 8 * 16 < found.count()
+
+
+def test_long_paths_are_sound_and_cycles_of_any_component_are_found(spark):
+    from tremolith.operators import annotations
+
+    def doc(name, pairs, paths):
+        edges = [{"id": str(i), "source_event": a, "target_event": b, "temporal_order": "before"} for i, (a, b) in enumerate(pairs)]
+        return {"doc": name, "fragments": [{"id": "g", "event_ids": sorted({v for p in pairs for v in p}), "ordered_paths": paths, "edges": edges}]}
+
+    long = [f"v{i:02d}" for i in range(41)]
+    docs = [
+        doc("long", list(zip(long, long[1:])), [long]), doc("short", list(zip(long, long[1:])), [long[:17]]),
+        doc("apart", [("a", "b"), ("x", "y"), ("y", "x")], [["a", "b"]]), doc("fork", [("a", "b"), ("a", "c"), ("a", "b")], [["a", "c"], ["a", "b"]]), doc("none", [], []),
+    ]
+    full = [{f: d.get(f) for f in spark.createDataFrame([], annotations.SCHEMA).columns} for d in docs]
+    found = {r.doc: r.message for r in annotations.ordered_paths(spark.createDataFrame(full, annotations.SCHEMA)).collect()}
+    assert found == {"short": "not all maximal paths, or others", "apart": "the order has a cycle"}
