@@ -137,3 +137,17 @@ def test_long_paths_are_sound_and_cycles_of_any_component_are_found(spark):
     full = [{f: d.get(f) for f in spark.createDataFrame([], annotations.SCHEMA).columns} for d in docs]
     found = {r.doc: r.message for r in annotations.ordered_paths(spark.createDataFrame(full, annotations.SCHEMA)).collect()}
     assert found == {"short": "not all maximal paths, or others", "apart": "the order has a cycle"}
+
+
+def test_ledgers_hold_every_log_record(spark):
+    from tremolith.plans import graphs, reference
+
+    sf = "/root/testdata/sf0.001"
+    failed, want = {}, []
+    for r in sorted(reference.logs(spark, sf).collect(), key=lambda r: r.log_id):
+        key = (r.case_id, r.owner, r.log_id % 7)
+        want.append((r.case_id, r.owner, r.log_id, failed.get(key, -1)))
+        if r.log_id % 3 == 0:
+            failed[key] = r.log_id
+    assert rows(graphs.retry_links(spark, sf)) == sorted(want, key=repr)
+    assert sum(r.attempts for r in graphs.ledger_summary(spark, sf).collect()) == len(want)

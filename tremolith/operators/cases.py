@@ -52,15 +52,19 @@ def first_by_priority(pool: DataFrame, labelled: DataFrame, count: int, id: str
     return pool.join(labelled.select(id), id, "left_anti").orderBy(priority, id).limit(count)
 
 
-def retry_links(attempts: DataFrame, ledger: str, order: str, case: str, failed: str) -> DataFrame:
+def _columns(names: str | Sequence[str]) -> list[str]:
+    return [names] if isinstance(names, str) else list(names)
+
+
+def retry_links(attempts: DataFrame, ledger: str | Sequence[str], order: str, case: str, failed: str) -> DataFrame:
     """Adds ``retry_of``: the latest failed attempt at the same case before this one."""
-    w = Window.partitionBy(ledger, case).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*_columns(ledger), case).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return attempts.withColumn("retry_of", F.max(F.when(F.col(failed), F.col(order))).over(w))
 
 
-def ledger_summary(attempts: DataFrame, ledger: str, order: str, case: str, failed: str, hit: str) -> DataFrame:
+def ledger_summary(attempts: DataFrame, ledger: str | Sequence[str], order: str, case: str, failed: str, hit: str) -> DataFrame:
     """``ledger``, attempts, cases, errors, retries and the first attempt that hit."""
-    return retry_links(attempts, ledger, order, case, failed).groupBy(ledger).agg(
+    return retry_links(attempts, ledger, order, case, failed).groupBy(*_columns(ledger)).agg(
         F.count("*").alias("attempts"), F.countDistinct(case).alias("cases"), F.count_if(failed).alias("errors"), F.count("retry_of").alias("retries"), F.min(F.when(F.col(hit), F.col(order))).alias("first_hit")
     )
 

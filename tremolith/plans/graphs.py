@@ -393,9 +393,8 @@ def root_cardinality(spark, sf):
 
 
 def _attempts(spark, sf):
-    """Attempts in order of time of log records of the gateway: the case is the owner's record's, failed by text."""
-    rows = logs(spark, sf).where("owner = 'service:gateway'")
-    return rows.select("case_id", F.col("log_id").alias("attempt"), F.pmod("log_id", F.lit(7)).alias("item"), (F.pmod("log_id", F.lit(3)) == 0).alias("failed"), (F.pmod("log_id", F.lit(11)) == 0).alias("hit"))
+    """Attempts in order of time of all log records, a ledger for each case and owner; the SQL has the gateway's only."""
+    return logs(spark, sf).select("case_id", "owner", F.col("log_id").alias("attempt"), F.pmod("log_id", F.lit(7)).alias("item"), (F.pmod("log_id", F.lit(3)) == 0).alias("failed"), (F.pmod("log_id", F.lit(11)) == 0).alias("hit"))
 
 
 _ATTEMPTS = _BASE + """, att AS (SELECT case_id, log_id AS attempt, log_id % 7 AS item, log_id % 3 = 0 AS failed, log_id % 11 = 0 AS hit FROM logs WHERE owner = 'service:gateway'),
@@ -405,14 +404,14 @@ ret AS (SELECT *, max(CASE WHEN failed THEN attempt END) OVER (PARTITION BY case
 
 @query(_ATTEMPTS + "SELECT case_id, attempt, coalesce(retry_of, -1) AS retry_of FROM ret")
 def retry_links(spark, sf):
-    found = case_tables.retry_links(_attempts(spark, sf), "case_id", "attempt", "item", "failed")
-    return found.select("case_id", "attempt", F.coalesce("retry_of", F.lit(-1)).cast("bigint").alias("retry_of"))
+    found = case_tables.retry_links(_attempts(spark, sf), ["case_id", "owner"], "attempt", "item", "failed")
+    return found.select("case_id", "owner", "attempt", F.coalesce("retry_of", F.lit(-1)).cast("bigint").alias("retry_of"))
 
 
 @query(_ATTEMPTS + """SELECT case_id, count(*) AS attempts, count(DISTINCT item) AS cases, count(*) FILTER (failed) AS errors, count(retry_of) AS retries,
 coalesce(min(CASE WHEN hit THEN attempt END), -1) AS first_hit FROM ret GROUP BY case_id""")
 def ledger_summary(spark, sf):
-    found = case_tables.ledger_summary(_attempts(spark, sf), "case_id", "attempt", "item", "failed", "hit")
+    found = case_tables.ledger_summary(_attempts(spark, sf), ["case_id", "owner"], "attempt", "item", "failed", "hit")
     return found.withColumn("first_hit", F.coalesce("first_hit", F.lit(-1)).cast("bigint"))
 
 
