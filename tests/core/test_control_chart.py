@@ -84,3 +84,29 @@ def test_lockstep_equals_one_by_one():
     together = control_chart.judge(group, value, np.zeros(len(value), bool))[0]
     alone = np.concatenate([control_chart.judge(np.zeros(len(r), int), np.array(r), np.zeros(len(r), bool))[0] for r in rows])
     assert (together == alone).all() and together.sum() == 1
+
+
+def test_a_stuck_stretch_longer_than_a_shard_is_flagged_whole(spark):
+    v = noise(20_000, 12)
+    v[3_000:15_000] = [v[3_000]] * 12_000
+    v[16_000:16_012] = [v[16_000]] * 12
+    v[18_500] = 95.0
+    got = found(spark, series(1, v) + series(2, [5.0] * 9_000) + series(3, noise(60, 13)))
+    stuck = {(1, i) for i in (*range(3_000, 15_000), *range(16_000, 16_012))}
+    assert {k for k, f in got.items() if f[2]} == stuck and set(got) - stuck == {(1, 18_500)}
+
+
+def test_stretches_over_shards_match_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(control_chart, "SHARD", 5)
+    r = random.Random(14)
+    data = [(k, q, float(r.choice([1, 1, 1, 2, 3]))) for k in range(4) for q in sorted(r.sample(range(120), 70))] + [(9, q, 1.0) for q in range(40)]
+    df = spark.createDataFrame(data, "k bigint, seq bigint, value double")
+    expected = []
+    for k in {d[0] for d in data}:
+        mine = sorted((q, v) for kk, q, v in data if kk == k)
+        begin = 0
+        for i in range(1, len(mine) + 1):
+            if i == len(mine) or mine[i][1] != mine[begin][1]:
+                expected.append((k, mine[begin][0], mine[i - 1][0], i - begin))
+                begin = i
+    assert sorted(map(tuple, control_chart._equal_stretches(df).collect())) == sorted(expected)

@@ -62,3 +62,16 @@ def test_one_interval_over_all_shards_of_a_huge_entity(spark):
     periods, gaps = brute(data)
     assert rows(interval_periods(df, ["e"], "a", "b", 9)) == periods
     assert rows(interval_gaps(df, ["e"], "a", "b", 9)) == gaps
+
+
+def test_an_outlier_leaves_the_shards_of_a_huge_entity_even(spark):
+    from tremolith.operators import intervals
+
+    data = [("e", 0, 1)] + [("e", 10**12 + 7 * i, 10**12 + 7 * i + 5 + (i % 3 == 0) * 4) for i in range(60_000)]
+    df = spark.createDataFrame(data, SCHEMA)
+    spans = intervals._spans(df, ["e"], "a", "b")
+    ordinary, shards = intervals._split(spans, ["e"], 1_000)
+    assert ordinary.count() == 0 and max(r["count"] for r in shards.groupBy("part").count().collect()) < 3_000
+    periods, gaps = brute(data)
+    assert rows(interval_gaps(df, ["e"], "a", "b", 1_000)) == gaps
+    assert rows(interval_periods(df, ["e"], "a", "b", 1_000)) == periods

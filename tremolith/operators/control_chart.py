@@ -6,8 +6,9 @@ suspected readings on one side re-anchors the chart when a new level lasts. A re
 chart of the readings before it and from that of the readings after it, so a lasting change of level is none. Another
 run-length counter finds stretches of equal values.
 
-Sources are cut into shards of ``shard`` positions with ``halo`` positions of warm-up from both neighbours (by then the
-charts have forgotten their start), so no task holds a whole source. In a task, all shards of a batch advance in
+Sources are cut into shards of ``SHARD`` positions with ``HALO`` positions of warm-up from both neighbours (by then the
+charts have forgotten their start), so no task holds a whole source. Whether a source varies, and how long a stretch of
+equal values is, is known of the whole source before its shards are judged. In a task, all shards of a batch advance in
 lockstep: one numpy step per position for thousands of sources.
 """
 
@@ -17,9 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolith.runtime import few, materialize
+
 SHARD, HALO = 4_096, 256
 #: Weights of a reading in the charts' mean and squared scale.
 MEAN_WEIGHT, SCALE_WEIGHT = 0.2, 0.02
@@ -111,8 +114,9 @@ def _grain(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
     return np.where(whole, 1.0, np.minimum(np.where(np.isfinite(least), least, 0.0), 0.1 * middle))
 
 
-def judge(group: np.ndarray, value: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spike and stuck flags of readings that are sorted by source and position; ``group`` numbers the sources."""
+def judge(group: np.ndarray, value: np.ndarray, outside: np.ndarray, known: np.ndarray | None = None, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spike and stuck flags of readings that are sorted by source and position; ``group`` numbers the sources. Where
+    ``known``, the stuck flag is ``given``, as the readings are but a part of their source."""
     n = len(value)
     spike = np.zeros(n, bool)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -125,6 +129,8 @@ def judge(group: np.ndarray, value: np.ndarray, outside: np.ndarray) -> tuple[np
     pairs = ~first & ~(same & (run >= STUCK))
     repeats = np.bincount(which, same & pairs, len(starts)) / np.maximum(np.bincount(which, pairs, len(starts)), 1)
     stuck = (run >= STUCK) & ((repeats < REPEATS) & (np.bincount(which, pairs, len(starts)) >= STUCK))[which]
+    if known is not None:
+        stuck = np.where(known, given, stuck)
 
     # rows of similar length together, so that padding stays small
     order = np.argsort(lengths, kind="stable")
@@ -159,13 +165,23 @@ def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     count = 0
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
+        is_mark = frame["mark"].notna().to_numpy()
+        marks, frame = frame[is_mark], frame[~is_mark]
         k, sh, q = (frame[c].to_numpy() for c in ("k", "shard", "seq"))
-        keep = np.r_[True, (k[1:] != k[:-1]) | (sh[1:] != sh[:-1]) | (q[1:] != q[:-1])]
+        keep = np.r_[True, (k[1:] != k[:-1]) | (sh[1:] != sh[:-1]) | (q[1:] != q[:-1])] if len(q) else np.zeros(0, bool)
         frame = frame[keep]
         k, sh, q = k[keep], sh[keep], q[keep]
-        group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (sh[1:] != sh[:-1])]) - 1
+        group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (sh[1:] != sh[:-1])][: len(q)]) - 1
         outside = frame["outside"].to_numpy(dtype=bool)
-        spike, stuck = judge(group, frame["value"].to_numpy(dtype=float), outside)
+        known, given = np.zeros(len(q), bool), np.zeros(len(q), bool)
+        if len(marks):
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(q)])
+            bounds = {(k[i], sh[i]): (i, j) for i, j in zip(starts, np.r_[starts[1:], len(q)])}
+            for mk, ms, begin, end in zip(marks["k"], marks["shard"], marks["seq"], marks["mark"]):
+                i, j = bounds.get((mk, ms), (0, 0))
+                known[i:j] = True
+                given[i + np.searchsorted(q[i:j], begin) : i + np.searchsorted(q[i:j], end, side="right")] |= begin >= 0
+        spike, stuck = judge(group, frame["value"].to_numpy(dtype=float), outside, known, given)
         hit = (outside | spike | stuck) & (q // SHARD == sh)
         return pd.DataFrame({"k": k[hit], "seq": q[hit], "value": frame["value"].to_numpy()[hit], "outside": outside[hit], "spike": spike[hit], "stuck": stuck[hit]})
 
@@ -186,6 +202,42 @@ def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield work(pd.concat(held, ignore_index=True))
 
 
+def _equal_stretches(readings: DataFrame) -> DataFrame:
+    """``k``, ``begin``, ``end``, ``length`` of all stretches of equal values of the sources in ``readings`` (k, seq, value).
+
+    Stretches are numbered within shards of positions; one that goes on from the shard before is found among one summary
+    row per shard, so neither a long source nor a long stretch is one task.
+    """
+    once = readings.groupBy("k", "seq").agg(F.min("value").alias("value")).withColumn("shard", F.floor(F.col("seq") / SHARD))
+    within = Window.partitionBy("k", "shard").orderBy("seq")
+    begins = F.lag("value").over(within).isNull() | (F.lag("value").over(within) != F.col("value"))
+    cells = materialize(once.withColumn("begins", begins.cast("int")).withColumn("n", F.sum("begins").over(within)), "stretches")
+    mine = Window.partitionBy("k").orderBy("shard")
+    shards = cells.groupBy("k", "shard").agg(F.min_by("value", "seq").alias("first"), F.max_by("value", "seq").alias("last"), F.max("n").alias("m"))
+    shards = shards.withColumn("goes_on", F.coalesce(F.lag("last").over(mine) == F.col("first"), F.lit(False)))
+    # the stretch that a shard's first one belongs to begins in the latest shard with a stretch of its own
+    own = F.when(~F.col("goes_on") | (F.col("m") > 1), F.struct("shard", "m"))
+    origin = F.last(own, ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    origins = shards.withColumn("origin", F.when(F.col("goes_on"), origin)).where("origin is not null").select("k", "shard", F.col("origin.shard").alias("o"), F.col("origin.m").alias("om"), F.lit(1).alias("n"))
+    local = cells.groupBy("k", "shard", "n").agg(F.min("seq").alias("begin"), F.max("seq").alias("end"), F.count("*").alias("length"))
+    whole = local.join(origins, ["k", "shard", "n"], "left").select("k", F.coalesce("o", "shard").alias("shard"), F.coalesce("om", "n").alias("n"), "begin", "end", "length")
+    return whole.groupBy("k", "shard", "n").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("length").alias("length")).drop("shard", "n")
+
+
+def _marks(long: DataFrame, readings: DataFrame) -> DataFrame:
+    """Rows for the shards of long sources: one with seq -1 that says that the source is known, and one per stuck stretch
+    (``seq`` to ``mark``) that reaches into the shard."""
+    mine = readings.join(few(long), "k", "left_semi").select("k", "seq", "value")
+    found = materialize(_equal_stretches(mine), "stretch-list")
+    short = F.when(F.col("length") < STUCK, F.col("length") - 1).otherwise(0)
+    sources = found.groupBy("k").agg((F.sum(short + 1) - 1).alias("pairs"), F.sum(short).alias("repeats"), F.max("end").alias("last"))
+    varies = (F.col("repeats") < REPEATS * F.greatest("pairs", F.lit(1))) & (F.col("pairs") >= STUCK)
+    shards = lambda a, b: F.explode(F.sequence(F.greatest(F.floor((a - HALO) / SHARD), F.lit(0).cast("bigint")), F.floor((b + HALO) / SHARD)))
+    known = sources.select("k", shards(F.lit(0), F.col("last")).alias("shard"), F.lit(-1).cast("bigint").alias("seq"), F.lit(-1).cast("bigint").alias("mark"))
+    stuck = found.where(F.col("length") >= STUCK).join(sources.where(varies).select("k"), "k").select("k", shards(F.col("begin"), F.col("end")).alias("shard"), F.col("begin").alias("seq"), F.col("end").alias("mark"))
+    return known.unionByName(stuck)
+
+
 def implausible_readings(
     readings: DataFrame, key: str, seq: str = "seq", value: str = "value", lowest: str = "lowest", highest: str = "highest"
 ) -> DataFrame:
@@ -197,8 +249,9 @@ def implausible_readings(
     NaN or infinite, are ignored. Constant sources and sources whose neighbours are often equal have no stuck
     stretches. An empty input gives no rows; further columns are ignored.
 
-    At a shard bound, a run of equal values is judged by what lies within ``HALO`` positions, which is exact unless
-    nearly all of those are unusable.
+    Sources of more than ``SHARD`` positions are read twice: their stretches of equal values, and whether they vary, are
+    found over the whole source, so a stuck stretch may be longer than a shard. The charts of a shard begin ``HALO``
+    positions before it.
     """
     v = F.col(value).cast("double")
     s = F.col(seq).cast("bigint")
@@ -214,7 +267,11 @@ def implausible_readings(
         .where(~F.isnan("value") & (F.abs("value") < float("inf")))
     )
     near = F.array_distinct(F.array(F.floor((F.col("seq") - HALO) / SHARD), shard, F.floor((F.col("seq") + HALO) / SHARD)))
-    placed = rows.select("k", F.explode(near).alias("shard"), "seq", "value", "outside").where("shard >= 0")
+    placed = rows.select("k", F.explode(near).alias("shard"), "seq", "value", "outside", F.lit(None).cast("bigint").alias("mark")).where("shard >= 0")
+    # pruned by the columns' statistics where no source is long
+    long = materialize(rows.where(F.col("seq") >= SHARD).select("k").distinct(), "long-sources")
+    if not long.isEmpty():
+        placed = placed.unionByName(_marks(long, rows).withColumns({"value": F.lit(0.0), "outside": F.lit(False)}))
     return (
         placed.repartition("k", "shard")
         .sortWithinPartitions("k", "shard", "seq", "value")

@@ -1,79 +1,68 @@
 """Continuous periods and gaps of overlapping intervals, per entity.
 
-Two-level merge. An entity with many intervals is cut into time shards; intervals are clipped at shard bounds, merged
-within each shard, and the coverage that reaches over a shard bound is stitched by a running maximum over one summary
-row per shard. No task ever holds more than one shard of an entity, and the second level sees only shard summaries.
+Two-level merge. The intervals of huge entities are cut into time shards whose bounds are quantiles of the intervals'
+starts, so that a shard holds about as many intervals as any other, wherever they lie. Intervals are clipped at the end
+of the shard that they start in and merged there; what reached over is stitched by a running maximum over one summary
+row per shard, and coalesces with the periods that it touches. Entities of ordinary size are a shard by themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolith.runtime import few, heavy_keys, materialize, ranges
+
+#: An entity with more intervals is huge, and a shard of one has about as many.
 SHARD_ROWS = 20_000
 
 
-def _pieces(lo: Column, hi: Column, base: Column, width: Column) -> Column:
-    """Clip [lo, hi] at the bounds of its entity's shards: head, tail, and one piece for all whole shards between."""
-    first, last = F.floor((lo - base) / width), F.floor((hi - base) / width)
-    start = lambda k: base + k * width
-    piece = lambda shard, a, b: F.struct(shard.alias("shard"), a.alias("lo"), b.alias("hi"))
-    none = F.array().cast("array<struct<shard:bigint,lo:bigint,hi:bigint>>")
-    return F.when(first == last, F.array(piece(first, lo, hi))).otherwise(
-        F.concat(
-            F.array(piece(first, lo, start(first + 1)), piece(last, start(last), hi)),
-            F.when(last > first + 1, F.array(piece(first + 1, start(first + 1), start(last)))).otherwise(none),
-        )
-    )
+def _spans(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    spans = intervals.select(*keys, F.col(start).cast("bigint").alias("lo"), F.col(end).cast("bigint").alias("hi"))
+    return spans.where("lo is not null and hi is not null and lo <= hi").dropna(subset=list(keys))
+
+
+def _split(spans: DataFrame, keys: Sequence[str], shard_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The intervals of ordinary entities, and those of huge ones in time shards (``part``), if there are any."""
+    huge = heavy_keys(spans, keys, shard_rows)
+    if huge is None:
+        return spans, None
+    huge = few(huge)
+    # repeated starts keep their longest interval, so that no start is heavier than a row
+    longest = spans.join(huge, list(keys), "left_semi").groupBy(*keys, "lo").agg(F.max("hi").alias("hi"))
+    return spans.join(huge, list(keys), "left_anti"), ranges(materialize(longest, "huge-intervals"), [*keys, "lo"], shard_rows, "time-shards")
+
 
+def _islands(spans: DataFrame, unit: Sequence[str]) -> DataFrame:
+    """Merged coverage within each unit: ``lo``, ``hi``, and ``seen``, where the coverage before it ends (null for none)."""
+    ordered = Window.partitionBy(*unit).orderBy("lo", "hi")
+    seen = F.max("hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("seen", seen).withColumn("island", F.sum(F.when(F.col("lo") > F.col("seen"), 1).otherwise(0)).over(ordered))
+    return marked.groupBy(*unit, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.when(F.col("lo") > F.col("seen"), F.col("seen"))).alias("seen"))
 
-def _located(intervals: DataFrame, keys: Sequence[str], start: str, end: str, shard_rows: int) -> DataFrame:
-    """Merged coverage of each (entity, shard), each period with the coverage that precedes it (``before``)."""
+
+def _stitched(shards: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Merged coverage of every (entity, shard) with the coverage ``before`` it, and one summary row per shard.
+
+    A shard's ``reach`` is the last bound of what starts in it, and ``carry`` the greatest reach of the shards before.
+    """
     keys = list(keys)
-    spans = (
-        intervals.select(*keys, F.col(start).cast("bigint").alias("lo"), F.col(end).cast("bigint").alias("hi"))
-        .where("lo is not null and hi is not null and lo <= hi")
-        .dropna(subset=keys)
-    )
-    huge = (
-        spans.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.min("lo").alias("base"), F.max("hi").alias("top"))
-        .where(F.col("n") > shard_rows)
-        .select(
-            *keys,
-            "base",
-            # at least one tick wide, and as many shards as there are blocks of shard_rows intervals
-            F.greatest(F.ceil((F.col("top") - F.col("base") + 1) / F.ceil(F.col("n") / shard_rows)), F.lit(1)).alias("width"),
-        )
-    )
-    one = F.array(F.struct(F.lit(0).cast("bigint").alias("shard"), F.col("lo"), F.col("hi")))
-    pieces = (
-        spans.join(huge, keys, "left")
-        .select(*keys, F.explode(F.when(F.col("width").isNull(), one).otherwise(_pieces(F.col("lo"), F.col("hi"), F.col("base"), F.col("width")))).alias("p"))
-        .select(*keys, "p.*")
-        # repeated starts keep their longest interval; combined before the shuffle
-        .groupBy(*keys, "shard", "lo")
-        .agg(F.max("hi").alias("hi"))
-    )
-    shard = Window.partitionBy(*keys, "shard")
-    ordered = shard.orderBy("lo", "hi")
-    local = (
-        pieces.withColumn("seen", F.max("hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("island", F.sum(F.when(F.col("lo") > F.col("seen"), 1).otherwise(0)).over(ordered))
-        .groupBy(*keys, "shard", "island")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.when(F.col("lo") > F.col("seen"), F.col("seen"))).alias("seen"))
-    )
-    carry = (
-        local.groupBy(*keys, "shard")
-        .agg(F.max("hi").alias("reach"))
-        .withColumn("carry", F.max("reach").over(Window.partitionBy(*keys).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-        .where("carry is not null")
-        .select(*keys, "shard", "carry")
-    )
+    every = Window.partitionBy(*keys)
+    summary = shards.groupBy(*keys, "part").agg(F.min("lo").alias("first"), F.max("hi").alias("reach"))
+    summary = materialize(
+        summary.withColumns({
+            "carry": F.max("reach").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
+            "stop": F.lead("first").over(every.orderBy("part")),
+            "top": F.max("reach").over(every),
+        }),
+        "shards",
+    )
+    clipped = shards.join(summary.select(*keys, "part", "stop", "carry"), [*keys, "part"]).withColumn("hi", F.least("hi", "stop"))
+    local = _islands(clipped, [*keys, "part", "carry"])
     # greatest() skips nulls: the first period of an entity has nothing before it
-    return local.join(carry, [*keys, "shard"], "left").select(*keys, "shard", "lo", "hi", F.greatest("seen", "carry").alias("before"))
+    return local.select(*keys, "part", "lo", "hi", F.greatest("seen", "carry").alias("before")), summary
 
 
 def interval_gaps(intervals: DataFrame, keys: Sequence[str], start: str, end: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -82,37 +71,32 @@ def interval_gaps(intervals: DataFrame, keys: Sequence[str], start: str, end: st
     ``start`` and ``end`` are integers of one unit. Intervals that overlap or touch form one period; one with
     start = end is a period of no length that splits the gap it lies in. Rows with a null key or bound, or whose end
     lies before their start, are ignored; repeated rows count once; an empty input gives no rows; other columns are
-    ignored, whatever their names.
+    ignored, whatever their names. ``shard_rows`` doesn't change the result.
     """
-    return (
-        _located(intervals, keys, start, end, shard_rows)
-        .where(F.col("lo") > F.col("before"))
-        .select(*keys, F.col("before").alias("gap_start"), F.col("lo").alias("gap_end"))
-    )
+    ordinary, shards = _split(_spans(intervals, keys, start, end), keys, shard_rows)
+    w = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = ordinary.withColumn("before", F.max("hi").over(w)).select(*keys, "lo", "before")
+    if shards is not None:
+        gaps = gaps.unionByName(_stitched(shards, keys)[0].select(*keys, "lo", "before"))
+    return gaps.where(F.col("lo") > F.col("before")).select(*keys, F.col("before").alias("gap_start"), F.col("lo").alias("gap_end"))
 
 
 def interval_periods(intervals: DataFrame, keys: Sequence[str], start: str, end: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Continuous periods: ``keys``, ``period_start``, ``period_end``. Same rules as :func:`interval_gaps`.
 
-    A period ends where the coverage before the next period's start ends; the last one ends at the entity's last bound.
-    The successor is found among one summary row per shard, so no task sorts a whole entity.
+    In a huge entity a period ends where the coverage before the next period's start ends, and the last one at the
+    entity's last bound; the successor is found among one summary row per shard, so no task sorts a whole entity.
     """
     keys = list(keys)
-    located = _located(intervals, keys, start, end, shard_rows)
-    begins = located.where(F.col("before").isNull() | (F.col("lo") > F.col("before"))).select(*keys, "shard", "lo", "before")
-    shards = (
-        located.groupBy(*keys, "shard")
-        .agg(
-            F.max("hi").alias("reach"),
-            F.min_by(F.col("before"), F.when(F.col("before").isNull() | (F.col("lo") > F.col("before")), F.col("lo"))).alias("first_end"),
-        )
-        .withColumn("top", F.max("reach").over(Window.partitionBy(*keys)))
-        .withColumn("later", F.first("first_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("shard").rowsBetween(1, Window.unboundedFollowing)))
-        .select(*keys, "shard", F.coalesce("later", "top").alias("fallback"))
-    )
-    following = F.lead("before").over(Window.partitionBy(*keys, "shard").orderBy("lo"))
-    return (
-        begins.withColumn("next_end", following)
-        .join(shards, [*keys, "shard"])
-        .select(*keys, F.col("lo").alias("period_start"), F.coalesce("next_end", "fallback").alias("period_end"))
-    )
+    ordinary, shards = _split(_spans(intervals, keys, start, end), keys, shard_rows)
+    periods = _islands(ordinary, keys).select(*keys, F.col("lo").alias("period_start"), F.col("hi").alias("period_end"))
+    if shards is None:
+        return periods
+    located, summary = _stitched(shards, keys)
+    begins = materialize(located.where(F.col("before").isNull() | (F.col("lo") > F.col("before"))).select(*keys, "part", "lo", "before"), "begins")
+    first = begins.groupBy(*keys, "part").agg(F.min_by("before", "lo").alias("first_end"))
+    later = F.first("first_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("part").rowsBetween(1, Window.unboundedFollowing))
+    ends = summary.select(*keys, "part", "top").join(first, [*keys, "part"], "left").select(*keys, "part", F.coalesce(later, "top").alias("fallback"))
+    following = F.lead("before").over(Window.partitionBy(*keys, "part").orderBy("lo"))
+    long = begins.withColumn("next_end", following).join(ends, [*keys, "part"])
+    return periods.unionByName(long.select(*keys, F.col("lo").alias("period_start"), F.coalesce("next_end", "fallback").alias("period_end")))

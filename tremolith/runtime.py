@@ -1,12 +1,18 @@
-"""Session helpers: table access and lineage cuts in the shared scratch folder."""
+"""Session helpers: table access, lineage cuts in the shared scratch folder, and ranges of bounded size."""
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a key list that may be broadcast (the keys and two numbers each, some tens of MB).
+BROADCAST_ROWS = 200_000
 
 
 def session(app: str = "tremolith", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -41,16 +47,49 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The application's own part of the shared folder, which its file system removes when the application ends."""
+    path = f"{scratch_dir(spark)}/tremolith/{spark.sparkContext.applicationId}"
+    fs, target = _filesystem(spark, path)
+    if not fs.exists(target):
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+    return path
+
+
+def materialize(df: DataFrame, label: str = "cut", by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back; ``by`` names columns that lay out its folders.
 
     Cuts the lineage as a checkpoint does: a lost executor re-reads files, it re-runs nothing. Parquet is several
     times smaller than checkpoint()'s serialised rows, keeps column statistics, and lets later stages prune columns.
+    Tables live until :func:`discard`, :func:`release` or the end of the application.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tremolith/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialize` that nothing will read any more, such as the rounds of a loop."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            fs, target = _filesystem(df.sparkSession, path)
+            fs.delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything that this application wrote to the scratch folder; results not yet read are lost."""
+    fs, target = _filesystem(spark, _scratch(spark))
+    fs.delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,3 +100,40 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ranges(written: DataFrame, order: Sequence[str], rows: int, label: str = "ranges") -> DataFrame:
+    """A written table once more, in ranges of about ``rows`` rows in the order of the columns ``order``.
+
+    ``part`` numbers the ranges, so all rows of one part precede those of the next. Bounds are quantiles of a sample of
+    the rows, so neither a hot key nor an outlier gives a large range; only rows that agree in all of ``order`` stay
+    together. ``written`` must read the same rows each time (a table of :func:`materialize`).
+    """
+    parts = max(1, math.ceil(written.count() / rows))
+    return materialize(written.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), label)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "place", rows: int = 1_000_000) -> DataFrame:
+    """Adds the 1-based position of every row in the order of the columns ``order``, without a window over all rows.
+
+    Rows are ranged, numbered within their range, and moved by the rows of the ranges before, of which there is one
+    summary row each. ``order`` should tell all rows apart.
+    """
+    from pyspark.sql import Window
+
+    ranged = ranges(materialize(df, "unnumbered"), order, rows)
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("__n"))
+    before = sizes.select("part", F.coalesce(F.sum("__n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranged.withColumn("__local", local).join(before, "part").withColumn(name, F.col("__before") + F.col("__local")).drop("part", "__before", "__local")
+
+
+def few(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written list of keys, marked for broadcast if counting shows that it is short; beyond that Spark joins it as it likes."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+    """The keys that have more than ``rows`` rows, written, or None if there are none."""
+    found = materialize(df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > rows).select(*keys), "heavy")
+    return None if found.isEmpty() else found
