@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 
 from tests.conftest import rows
-from tremolith.llm.canonical_text import DISTINCT, canonical, canonical_documents, look_alike_pairs, mapping
+from tremolith.llm.canonical_text import DISTINCT, SHAPES, canonical, canonical_documents, look_alike_classes, look_alike_pairs, look_alikes, mapping
 
 SAME = [
     ("Ｋelvin ２５", "Kelvin 25"), ("ﾃﾞｰﾀ", "データ"), ("ﾃ゙", "デ"), ("café", "café"), ("саfе́", "café"), ("ё", "ë"), ("й", "й"),
@@ -47,3 +47,32 @@ def test_empty_and_very_long(spark):
     assert look_alike_pairs(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     df = spark.createDataFrame([(1, "а" * 200_000), (2, "a" * 200_000)], "doc_id bigint, text string")
     assert rows(look_alike_pairs(df)) == [(1, 2)]
+
+
+MISSED_ONCE = [
+    ("5 \u2212 3", "5 - 3"), ("\u03c1ort", "port"), ("\u03c5ser", "user"), ("\u13aa\u13da", "AS"), ("\u2c9e\u2ca2", "OP"), ("\u050cateway", "Gateway"), ("\u1d04\u1d0f\ua731t", "cost"),
+    ("a\u115fb", "ab"), ("a\u3164b", "ab"), ("a\uffa0b", "ab"), ("a\u2800b", "a b"), ("\u216fL", "ML"), ("a\u17b4b\u180bc", "abc"),
+]
+
+
+@pytest.mark.parametrize("a,b", MISSED_ONCE)
+def test_shapes_fillers_and_signs_of_other_blocks(a, b):
+    assert canonical(a) == canonical(b)
+
+
+def test_every_generated_look_alike_is_found_inside_words():
+    table = look_alikes()
+    assert len(table) > sum(len(v.split()) for v in SHAPES.values())
+    for source, target in table.items():
+        assert canonical(f"x{source}y z{source}") == canonical(f"x{target}y z{target}")
+
+
+def test_classes_count_links_without_pairs(spark):
+    texts = ["pad", "раd", "pad", "pad\u200b", "pads", "", " ", None, "x y", "x\xa0y", "раd", "alone"]
+    data = [(i, t) for i, t in enumerate(texts)] + [(0, "pad"), (None, "pad")]
+    got = {r.doc_id: r for r in look_alike_classes(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert set(got) == {i for i, t in enumerate(texts) if t and t.strip()}
+    for i, r in got.items():
+        others = [j for j in got if canonical(texts[j]) == canonical(texts[i]) and texts[j] != texts[i]]
+        assert r.links == len(others) and r.texts == len({texts[j] for j in got if canonical(texts[j]) == canonical(texts[i])})
+        assert all(got[j]["class"] == r["class"] for j in others)

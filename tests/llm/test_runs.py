@@ -27,25 +27,32 @@ def brute(data, least):
     return sorted(out, key=repr)
 
 
-def collapse(spark, data, least=1):
-    got = collapse_runs(spark.createDataFrame(data, SCHEMA), ["case", "owner"], id="id", time="t", said="said", frequency="n", least=least)
+def collapse(spark, data, least=1, shard=runs.SHARD_ROWS):
+    got = collapse_runs(spark.createDataFrame(data, SCHEMA), ["case", "owner"], id="id", time="t", said="said", frequency="n", least=least, shard_rows=shard)
     return rows(got.select("first_id", "last_id", "records", "occurrences", F.round("duration", 6)))
 
 
 @pytest.mark.parametrize("least", [1, 2])
-@pytest.mark.parametrize("shard", [10.0, 1e9])
-def test_random_sequences(spark, monkeypatch, least, shard):
-    monkeypatch.setattr(runs, "SHARD_SECONDS", shard)
+@pytest.mark.parametrize("shard", [10, 1_000])
+def test_random_sequences(spark, least, shard):
     r = random.Random(3)
     data = [(r.choice("cd"), r.choice(["x", "x", "y", None]), i, float(r.randrange(0, 60)), r.choice(["p", "p", "p", "q", None]), r.choice([None, 1, 5])) for i in range(300)]
     data += data[:40]
-    assert collapse(spark, data, least) == brute(data, least)
+    assert collapse(spark, data, least, shard) == brute(data, least)
 
 
-def test_one_long_run_over_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(runs, "SHARD_SECONDS", 7.0)
+def test_one_long_run_over_many_shards(spark):
     data = [("c", "x", 1000 - i, float(i), "same", 1) for i in range(300)]
-    assert collapse(spark, data) == [(1000, 701, 300, 300, 299.0)]
+    assert collapse(spark, data, shard=40) == [(1000, 701, 300, 300, 299.0)]
+
+
+def test_a_burst_of_one_owner_is_split(spark):
+    from tremolith.runtime import materialize, ranges
+
+    data = [("c", "x", i, 5.0, "same" if i % 50 else "other", 1) for i in range(20_000)] + [("c", "y", 30_000, 5.0, "same", 1)]
+    burst = materialize(spark.createDataFrame(data, SCHEMA))
+    assert max(r["count"] for r in ranges(burst, ["case", "owner", "t", "id"], 1_000).groupBy("part").count().collect()) < 3_000
+    assert collapse(spark, data, least=2, shard=1_000) == brute(data, 2)
 
 
 def test_equal_times_are_ordered_by_id_and_empty(spark):

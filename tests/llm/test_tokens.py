@@ -52,3 +52,25 @@ def test_documents(spark, segment):
 
 def test_empty_table(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_counts_keep_columns_and_take_segments(spark):
+    df = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, tokens string")
+    got = token_counts(df.withColumnRenamed("tokens", "source"), keep=["source"], segment=16)
+    assert rows(got) == sorted(((i, f"s{i % 3}", len(plain(t)) if t else 0) for i, t in enumerate(TEXTS)), key=repr)
+
+
+def test_ranks_give_the_same_ids_as_merges():
+    encoder = tokens._by_rank(PATH)
+    assert encoder is not None
+    for text in TEXTS:
+        assert encoder.encode_ordinary(text) == plain(text)
+
+
+def test_a_tokenizer_with_a_normalizer_encodes_texts_whole(spark):
+    path = f"{tokens.TOKENIZERS}/word_bpe_49k.json"
+    texts = [t for t in TEXTS if t] + ["Some WORDS " * 900]
+    assert not tokens.byte_level(load(path)) and tokens._by_rank(path) is None
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(map(tuple, encode_documents(df, tokenizer="word_bpe_49k.json", leaf_chars=16, segment=64).collect()))
+    assert got == {i: load(path).encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}

@@ -1,8 +1,8 @@
 """One consistent form for texts that look the same.
 
 A transducer over grapheme clusters: a table of clusters and their canonical forms is precomputed from rules on the
-character database (widths, blanks, characters without visible width, canonical accents) and a short list of look-alike
-letters, checked for conflicts, and compiled to one pattern whose longest match at each place is replaced in one pass.
+character database (widths, blanks, characters without visible width, canonical accents) and from the names of letters
+of one shape in other alphabets, checked for conflicts, and compiled to one pattern whose longest match at each place is replaced in one pass.
 Case, accents, raised digits, fractions, numbered signs and the number of blanks can be seen and stay.
 """
 
@@ -19,18 +19,32 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolith.runtime import materialize
-
-#: Letters and signs of the same shape, after the sign that they are written as.
-LOOK_ALIKES = {
-    "A": "ΑА", "B": "ΒВ", "C": "СⅭϹ", "D": "Ⅾ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀⅠ", "J": "ЈͿ", "K": "ΚК", "L": "Ⅼ", "M": "ΜМⅯ", "N": "Ν",
-    "O": "ΟОՕ", "P": "ΡР", "Q": "Ԛ", "S": "ЅՏ", "T": "ΤТ", "U": "Ս", "V": "Ⅴ", "W": "Ԝ", "X": "ΧХⅩ", "Y": "ΥҮУ", "Z": "Ζ",
-    "a": "аɑ", "c": "сⅽϲ", "d": "ԁⅾ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іⅰ", "j": "јϳ", "l": "ӏⅼ", "m": "ⅿ", "n": "ո", "o": "оοօ",
-    "p": "р", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "νⅴѵ", "w": "ԝ", "x": "хⅹ", "y": "уү",
-    "μ": "µ", "-": "‐‑﹣", ":": "∶꞉", "/": "∕⁄", "!": "ǃ", "’": "ʼ",
-}
+from tremolith.runtime import few, materialize
+
+#: For the names of each alphabet's letters, the letter of the same shape where there is one. The characters
+#: follow from their names in the character database.
+SHAPES = {
+    "GREEK CAPITAL LETTER": "ALPHA=A BETA=B EPSILON=E ZETA=Z ETA=H IOTA=I KAPPA=K MU=M NU=N OMICRON=O RHO=P TAU=T UPSILON=Y CHI=X YOT=J",
+    "GREEK SMALL LETTER": "OMICRON=o NU=v RHO=p UPSILON=u",
+    "CYRILLIC CAPITAL LETTER": "A=A VE=B ES=C IE=E EN=H BYELORUSSIAN-UKRAINIAN_I=I JE=J KA=K EM=M O=O ER=P QA=Q DZE=S TE=T WE=W HA=X U=Y STRAIGHT_U=Y KOMI_SJE=G",
+    "CYRILLIC SMALL LETTER": "A=a ES=c IE=e O=o ER=p HA=x U=y STRAIGHT_U=y BYELORUSSIAN-UKRAINIAN_I=i JE=j DZE=s KOMI_DE=d QA=q WE=w SHHA=h IZHITSA=v PALOCHKA=l",
+    "CYRILLIC LETTER": "PALOCHKA=I",
+    "ARMENIAN CAPITAL LETTER": "OH=O TIWN=S SEH=U LIWN=L",
+    "ARMENIAN SMALL LETTER": "CO=g HO=h VO=n OH=o ZA=q SEH=u",
+    "COPTIC CAPITAL LETTER": "VIDA=B HATE=H IAUDA=I KAPA=K MI=M NI=N O=O RO=P SIMA=C TAU=T UA=Y KHI=X ZATA=Z",
+    "COPTIC SMALL LETTER": "O=o SIMA=c",
+    "CHEROKEE LETTER": "A=D E=R I=T GO=A GU=J GV=E LA=W LU=M MI=H MU=Y NAH=G NO=Z SI=b DO=V DU=S TLE=L TLI=C TLV=P TSO=K YV=B",
+    "LISU LETTER": "A=A BA=B CA=C DA=D E=E FA=F GA=G HA=H I=I JA=J KA=K LA=L MA=M NA=N O=O PA=P ZHA=R SA=S TA=T U=U NGA=V WA=W XA=X YA=Y DZA=Z",
+    # letters whose small form has the shape of the capital
+    "LATIN LETTER SMALL CAPITAL": "C=c O=o S=s U=u V=v W=w Z=z K=к M=м T=т B=в H=н",
+    "LATIN SMALL LETTER": "ALPHA=a SCRIPT_G=g",
+    "LATIN LETTER": "RETROFLEX_CLICK=!",
+}
+#: Signs of the same shape, after the sign that they are written as.
+SIGNS = {"-": "‐‑﹣−", ":": "∶꞉", "/": "∕⁄", "’": "ʼ", "μ": "µ", "C": "Ϲ", "c": "ϲ", "j": "ϳ", " ": "⠀"}
 #: Pairs that can be told apart by eye, which no rule may merge.
 DISTINCT = (("2", "²"), ("6", "⁶"), ("e", "é"), ("e", "E"), ("и", "й"), ("ss", "ß"), ("No", "№"), ("1", "①"), ("½", "1/2"), ("-", "–"), ("l", "I"), ("0", "O"), ("  ", " "), ("", " "), ("'", "’"))
+_IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}")
 #: Format characters that have a visible effect of their own and are kept: Arabic number signs and the like.
 _VISIBLE_FORMAT = ("؀", "؁", "؂", "؃", "؄", "؅", "۝", "܏", "࣢")
 #: Picture sequences, in which joiners, selectors and modifiers show.
@@ -39,11 +53,35 @@ _SELECTED = regex.compile(r"(?<=\p{Emoji_Presentation})️")
 
 
 def _invisible(c: str) -> bool:
-    """Characters without visible width."""
+    """Characters without visible width: those that are ignorable by default (fillers and selectors among them), format
+    characters without an effect of their own, and controls but for tabs and line ends."""
     kind = unicodedata.category(c)
     if kind == "Cf":
         return c not in _VISIBLE_FORMAT
-    return kind == "Cc" and c not in "\t\n\r" or c == "͏" or "︀" <= c <= "️" or 0xE0100 <= ord(c) <= 0xE01EF
+    return kind == "Cc" and c not in "\t\n\r" or bool(_IGNORABLE.match(c))
+
+
+def look_alikes() -> dict[str, str]:
+    """Letters and signs after the one of the same shape that they are written as, generated from the names above; numerals
+    of one letter are that letter."""
+    table: dict[str, str] = {}
+
+    def add(source: str, target: str) -> None:
+        if source != target and table.setdefault(source, target) != target:
+            raise ValueError(f"{source!r} has two shapes: {table[source]!r} and {target!r}")
+
+    for alphabet, pairs in SHAPES.items():
+        for pair in pairs.split():
+            name, target = pair.split("=")
+            add(unicodedata.lookup(f"{alphabet} {name.replace('_', ' ')}"), target)
+    for target, sources in SIGNS.items():
+        for source in sources:
+            add(source, target)
+    for code in range(0x2160, 0x2180):
+        letter = unicodedata.normalize("NFKC", chr(code))
+        if len(letter) == 1:
+            add(chr(code), letter)
+    return table
 
 
 def _settled(code: int) -> bool:
@@ -60,10 +98,9 @@ def mapping() -> dict[str, str]:
         if table.setdefault(source, target) != target:
             raise ValueError(f"{source!r} has two canonical forms: {table[source]!r} and {target!r}")
 
-    for target, sources in LOOK_ALIKES.items():
-        for source in sources:
-            add(source, target)
-    singles = dict(table)
+    singles = look_alikes()
+    for source, target in singles.items():
+        add(source, target)
     for code in range(sys.maxunicode + 1):
         c = chr(code)
         if _settled(code):
@@ -158,13 +195,8 @@ def canonical_documents(documents: DataFrame, id: str = "doc_id", text: str = "t
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, form string").withColumnRenamed("id", id)
 
 
-def look_alike_pairs(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
-    """Pairs ``a`` < ``b`` of ids whose texts look the same but aren't equal.
-
-    Texts are compared by SHA-256 of their canonical form and of themselves. Forms are first reduced to their different
-    texts; only pairs of different texts of one form are joined, and then spread to their documents, so exact copies
-    never meet each other. Empty and blank texts, null texts and null ids make no pairs; rows of one id and text are one.
-    """
+def _keyed(documents: DataFrame, id: str, text: str) -> DataFrame:  # noqa: A002
+    """``id`` and the SHA-256 of ``form`` and ``text`` of every different (id, text) that isn't blank, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,16 +205,42 @@ def look_alike_pairs(documents: DataFrame, id: str = "doc_id", text: str = "text
 
     rows = documents.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
     formed = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, form string")
-    keyed = materialize(
-        formed.where(F.regexp_replace("form", r"(?U)\s+", "") != "").select("id", F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2("text", 256)).alias("text")),
-        "forms",
-    )
-    texts = keyed.select("form", "text").distinct()
-    several = texts.groupBy("form").count().where("count > 1").select("form")
-    texts = texts.join(several, "form", "left_semi")
-    other = texts.select("form", F.col("text").alias("text_b"))
-    pairs = texts.withColumnRenamed("text", "text_a").join(other, "form").where(F.col("text_a") < F.col("text_b")).select("text_a", "text_b")
-    members = keyed.select("id", "text").distinct()
+    digests = formed.where(F.regexp_replace("form", r"(?U)\s+", "") != "").select("id", F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2("text", 256)).alias("text"))
+    return materialize(digests.distinct(), "forms")
+
+
+def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per form and text its ``copies``; and the forms of several texts (written) with their ``texts`` and ``members``."""
+    texts = keyed.groupBy("form", "text").agg(F.count("*").alias("copies"))
+    forms = texts.groupBy("form").agg(F.count("*").alias("texts"), F.sum("copies").alias("members")).where("texts > 1")
+    return texts, materialize(forms, "classes")
+
+
+def look_alike_classes(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
+    """One row per document: ``id``, ``class`` (SHA-256 of its form), ``texts`` (different texts of the class) and ``links``
+    (documents of the class whose text is another one).
+
+    Nothing is paired: links are the members of a class less the copies of the text. Empty and blank texts, null texts and
+    null ids have no row; rows of one id and text are one.
+    """
+    keyed = _keyed(documents, id, text)
+    texts, several = _classes(keyed)
+    linked = texts.join(few(several), "form").select("text", "texts", (F.col("members") - F.col("copies")).alias("links"))
+    rows = keyed.join(linked, "text", "left")
+    return rows.select(F.col("id").alias(id), F.lower(F.hex("form")).alias("class"), F.coalesce("texts", F.lit(1)).alias("texts"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def look_alike_pairs(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
+    """Pairs ``a`` < ``b`` of ids whose texts look the same but aren't equal: the classes of several texts, spelled out.
+
+    Only different texts of one class are joined, and then spread to their documents, so exact copies never meet each
+    other. Empty and blank texts, null texts and null ids make no pairs; rows of one id and text are one.
+    """
+    keyed = _keyed(documents, id, text)
+    several = few(_classes(keyed)[1].select("form"))
+    members = materialize(keyed.join(several, "form", "left_semi"), "members")
+    texts = members.select("form", "text").distinct()
+    pairs = texts.withColumnRenamed("text", "text_a").join(texts.withColumnRenamed("text", "text_b"), "form").where(F.col("text_a") < F.col("text_b")).select("text_a", "text_b")
     spread = (
         pairs.join(members.select(F.col("text").alias("text_a"), F.col("id").alias("x")), "text_a")
         .join(members.select(F.col("text").alias("text_b"), F.col("id").alias("y")), "text_b")

@@ -1,7 +1,7 @@
 """Mixing sources to target weights, by pivotal dependent rounding.
 
-The largest mix that meets all weights within the sources' caps gives every document of a source the same expected
-number of copies. Its whole part is certain; the fractions are rounded together: two documents at a time exchange
+A mix of a stated size gives every source its weight of it. A source that its cap keeps below that is used up, and what
+it lacks is spread over the others by weight. Every document of a source has the same expected number of copies. Its whole part is certain; the fractions are rounded together: two documents at a time exchange
 tokens, in a random direction whose odds keep both expectations, until one fraction is 0 or 1. Only one fraction is
 left at the end, so a source's tokens differ from its target by less than one document. Buckets of documents round by
 themselves, and the one fraction that each leaves goes up a tree of further rounds.
@@ -24,11 +24,14 @@ EPSILON = 1e-9
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """One row per target source: ``source``, ``weight``, ``max_repeats``, ``documents``, ``size``, ``goal``, ``rate``.
-
-    ``sizes``: ``source``, ``tokens`` per document. Without ``total`` the mix is the largest in which every source that
-    has tokens gets its weight exactly (weights of sources without tokens are spread over the others in proportion).
-    With ``total``, each gets its weight of it or, if less, all that its cap allows. ``rate`` is the expected number of
+    """One row per target source: ``source``, ``weight``, ``max_repeats``, ``documents``, ``size``, ``goal``, ``rate``,
+    ``shortfall``, ``full``.
+
+    ``sizes``: ``source``, ``tokens`` per document. ``total`` is the size of the mix in tokens, that of all documents of
+    the target sources if not given. Each source gets its weight of it. Where that is more than its documents give within
+    ``max_repeats`` the source is ``full``, and what it lacks goes to the other sources in proportion to their weights; so
+    does the share of a source without documents. The goals sum to ``total`` unless all sources are full. ``shortfall``
+    says by how many tokens a goal lies below the source's own weight of the total; ``rate`` is the expected number of
     copies of a document. There is a row per source, so the windows over all rows are small.
     """
     have = sizes.where("tokens > 0").groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("size"))
@@ -40,17 +43,24 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
         .fillna(0, ["documents", "size"])
     )
     everything = Window.partitionBy(F.lit(0))
-    share = F.when(F.col("size") > 0, F.col("weight") / F.sum(F.when(F.col("size") > 0, F.col("weight"))).over(everything))
-    room = F.col("max_repeats") * F.col("size")
-    whole = F.lit(float(total)) if total is not None else F.min(room / F.col("share")).over(everything)
-    goal = F.coalesce(F.least(F.col("share") * F.col("whole"), room), F.lit(0.0))
-    return (
-        joined.withColumn("share", share)
-        .withColumn("whole", whole)
-        .withColumn("goal", goal)
-        .withColumn("rate", F.when(F.col("size") > 0, F.col("goal") / F.col("size")).otherwise(0.0))
-        .select("source", "weight", "max_repeats", "documents", "size", "goal", "rate")
-    )
+    size, weight = F.col("size"), F.col("weight")
+    whole = F.lit(float(total)) if total is not None else F.sum("size").over(everything).cast("double")
+    rows = joined.withColumns({"room": (F.col("max_repeats") * size).cast("double"), "whole": whole, "weights": F.sum("weight").over(everything)})
+    # tokens per weight at which a source is full; sources fill up in this order
+    rows = rows.withColumn("level", F.when(size > 0, F.col("room") / weight))
+    order = everything.orderBy(F.col("level").asc_nulls_last(), "source")
+    used = F.coalesce(F.sum(F.when(size > 0, F.col("room"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum(F.when(size > 0, weight)).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("offer", (F.col("whole") - used) / left)
+    # the first source that its offer doesn't fill settles the level of all that aren't full
+    reached = F.min(F.when(F.col("offer") <= F.col("level"), F.struct("level", "offer"))).over(everything)["offer"]
+    goal = F.when(size <= 0, 0.0).otherwise(F.least(F.col("room"), F.coalesce(weight * reached, F.col("room"))))
+    return rows.withColumn("goal", goal).select(
+        "source", "weight", "max_repeats", "documents", "size", "goal",
+        F.when(size > 0, F.col("goal") / size).otherwise(0.0).alias("rate"),
+        F.greatest(weight / F.col("weights") * F.col("whole") - F.col("goal"), F.lit(0.0)).alias("shortfall"),
+        ((size > 0) & (F.col("goal") >= F.col("room"))).alias("full"),
+    )
 
 
 def pivot(share: np.ndarray, size: np.ndarray, coin: np.ndarray) -> np.ndarray:
@@ -94,7 +104,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
 
     ``documents``: ``doc_id``, ``source``, ``tokens``. The mix has ``doc_id``, ``source``, ``tokens``, ``copies`` (1 or
     more, at most the source's ``max_repeats``); the shares have ``source``, ``weight``, ``goal`` (tokens), ``tokens``,
-    ``share``, ``documents``, ``drawn`` (documents in the mix), ``most_copies`` for every target source.
+    ``share``, ``documents``, ``drawn`` (documents in the mix), ``most_copies``, ``shortfall`` and ``full`` for every target
+    source. ``total`` is the mix's size in tokens; see :func:`plan`.
 
     Documents without tokens, with a null id, and of null or unlisted sources aren't drawn. Repeated rows of one id
     count as one document (its least source and size). A target row with null or non-positive weight or cap is ignored.
@@ -129,7 +140,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
         rounded = rounded.unionByName(more)
     drawn = rounded.select("doc_id", "source", "tokens", (F.col("sure") + F.col("share")).cast("bigint").alias("copies")).where("copies > 0")
     reached = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("drawn"), F.max("copies").alias("most_copies"))
-    reached = goals.select("source", "weight", "goal", "documents").join(reached, "source", "left").fillna(0, ["tokens", "drawn", "most_copies"])
+    reached = goals.select("source", "weight", "goal", "documents", "shortfall", "full").join(reached, "source", "left").fillna(0, ["tokens", "drawn", "most_copies"])
     total_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    shares = reached.select("source", "weight", "goal", "tokens", F.when(total_tokens > 0, F.col("tokens") / total_tokens).otherwise(0.0).alias("share"), "documents", "drawn", "most_copies")
+    shares = reached.select("source", "weight", "goal", "tokens", F.when(total_tokens > 0, F.col("tokens") / total_tokens).otherwise(0.0).alias("share"), "documents", "drawn", "most_copies", "shortfall", "full")
     return drawn, shares

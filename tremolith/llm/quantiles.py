@@ -2,8 +2,8 @@
 
 Values are reduced to counts per group and value, range-sorted, and numbered: the total of every (range partition,
 group) gives the offset of the next, a window sums within one of them, and a percentile is the first value whose
-cumulative count reaches the target rank. A window never spans more than one range partition of one group, and only
-the partitions that hold a target rank are summed. Frequency tables are the mergeable state: those of days, data sets
+cumulative count reaches the target rank. A window never spans more than one range partition of one group. The sorted
+table has a folder per range partition, so only those that hold a target rank are read. Frequency tables are the mergeable state: those of days, data sets
 or shards combine by adding counts, and the percentiles of the whole follow from the combined table.
 """
 
@@ -21,7 +21,7 @@ from tremolith.runtime import materialize
 SALTS = 32
 
 
-def _rounded(v: Column, relative_error: float) -> Column:
+def rounded(v: Column, relative_error: float) -> Column:
     """The representative of v's logarithmic bucket: off by at most ``relative_error`` times |v|."""
     ratio = (1 + relative_error) / (1 - relative_error)
     step = F.ceil(F.log(F.abs(v)) / F.log(F.lit(ratio)))
@@ -44,7 +44,7 @@ def frequencies(df: DataFrame, groups: Sequence[str], value: str, identity: Sequ
         rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int")).repartition(*groups, "value", "__salt")
         rows = rows.dropDuplicates([*groups, "value", "__salt", *ids])
     if relative_error:
-        rows = rows.withColumn("value", _rounded(F.col("value"), relative_error))
+        rows = rows.withColumn("value", rounded(F.col("value"), relative_error))
     return rows.groupBy(*groups, "value", *(["__salt"] if ids else [])).agg(F.count("*").alias("n")).drop("__salt")
 
 
@@ -58,22 +58,19 @@ class Cumulative:
 
     def __init__(self, table: DataFrame, groups: Sequence[str]):
         self.groups = list(groups)
-        self.sorted = materialize(
-            table.repartitionByRange(*self.groups, "value")
-            .groupBy(*self.groups, "value")
-            .agg(F.sum("n").alias("n"))
-            .withColumn("part", F.spark_partition_id()),
-            "frequencies",
-        )
-
-    def parts(self) -> DataFrame:
-        """One row per range partition and group: what comes before (``offset``), its own count ``m``, the group's ``total``."""
+        summed = table.repartitionByRange(*self.groups, "value").groupBy(*self.groups, "value").agg(F.sum("n").alias("n"))
+        ordered = summed.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *self.groups, "value")
+        self.sorted = materialize(ordered, "frequencies", by=["part"])
         totals = self.sorted.groupBy("part", *self.groups).agg(F.sum("n").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
         w = Window.partitionBy(*self.groups)
-        return totals.withColumns({
-            "offset": F.coalesce(F.sum("m").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "total": F.sum("m").over(w),
-        })
+        #: One row per range partition and group: what comes before (``offset``), its own count ``m``, the group's ``total``.
+        self.parts = materialize(
+            totals.withColumns({
+                "offset": F.coalesce(F.sum("m").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                "total": F.sum("m").over(w),
+            }),
+            "offsets",
+        )
 
     def _at(self, parts: DataFrame) -> DataFrame:
         """The sorted rows of the given parts; null groups match."""
@@ -81,13 +78,14 @@ class Cumulative:
         on = reduce(lambda a, c: a & self.sorted[c].eqNullSafe(right[f"__{c}"]), self.groups, self.sorted["part"] == right["__part"])
         return self.sorted.join(right, on).drop("__part", *(f"__{c}" for c in self.groups))
 
-    def percentiles(self, shares: Sequence[float]) -> DataFrame:
-        """``groups``, ``observations``, and p0, p1, ... for the shares: linear interpolation between neighbouring ranks."""
+    def percentiles(self, shares: Sequence[float], interpolate: bool = True) -> DataFrame:
+        """``groups``, ``observations``, and p0, p1, ... for the shares: linear interpolation between neighbouring ranks, or
+        the value of the lower of both."""
         if any(not 0 <= q <= 1 for q in shares):
             raise ValueError("shares lie between 0 and 1")
         rank = lambda q, up: (F.ceil if up else F.floor)((F.col("total") - 1) * F.lit(float(q))) + 1
         holds = reduce(lambda a, b: a | b, (rank(q, up).between(F.col("offset") + 1, F.col("offset") + F.col("m")) for q in shares for up in (0, 1)))
-        rows = self._at(self.parts().where(holds).select("part", *self.groups, "offset", "total"))
+        rows = self._at(self.parts.where(holds).select("part", *self.groups, "offset", "total"))
         w = Window.partitionBy("part", *self.groups).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("upto", F.col("offset") + F.sum("n").over(w))
         first = lambda q, up: F.min(F.when((F.col("upto") >= rank(q, up)) & (F.col("upto") - F.col("n") < rank(q, up)), F.col("value")))
@@ -95,7 +93,7 @@ class Cumulative:
             F.max("total").alias("total"), *(first(q, up).alias(f"{'hi' if up else 'lo'}{i}") for i, q in enumerate(shares) for up in (0, 1))
         )
         part = lambda q: (F.col("total") - 1) * F.lit(float(q)) - F.floor((F.col("total") - 1) * F.lit(float(q)))
-        between = lambda i, q: F.col(f"lo{i}") * (1 - part(q)) + F.col(f"hi{i}") * part(q)
+        between = lambda i, q: F.col(f"lo{i}") * (1 - part(q)) + F.col(f"hi{i}") * part(q) if interpolate else F.col(f"lo{i}")
         return picked.select(*self.groups, F.col("total").alias("observations"), *(between(i, q).alias(f"p{i}") for i, q in enumerate(shares)))
 
     def counts(self, points: DataFrame, point: str) -> DataFrame:
@@ -105,7 +103,7 @@ class Cumulative:
         counted by their totals; only those that a point falls into are read.
         """
         named = points.select(*self.groups, F.col(point).alias("point")).where("point is not null").distinct()
-        at = named.join(self.parts(), self.groups)
+        at = named.join(self.parts, self.groups)
         whole = at.groupBy(*self.groups, "point").agg(
             F.max("total").alias("observations"),
             F.sum(F.when(F.col("most") < F.col("point"), F.col("m")).otherwise(0)).alias("under"),
@@ -121,7 +119,7 @@ class Cumulative:
 
     def deviations(self, centers: DataFrame, center: str) -> DataFrame:
         """Frequency table of the distances from each group's center (one per group)."""
-        with_center = self.parts().join(centers.select(*self.groups, F.col(center).alias("__c")), self.groups).select("part", *self.groups, "__c")
+        with_center = self.parts.join(centers.select(*self.groups, F.col(center).alias("__c")), self.groups).select("part", *self.groups, "__c")
         return self._at(with_center).select(*self.groups, F.abs(F.col("value") - F.col("__c")).alias("value"), "n")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,37 +13,51 @@ from tremolith.runtime import materialize, spread, table
 USABLE = "(observed is null or observed) and value is not null and not isnan(value) and abs(value) < double('infinity')"
 KEY = ("dataset_id", "day", "category", "channel")
 SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Relative error of the tables of bounded size.
+ERROR = 0.01
 
 
-def _group() -> Column:
-    """A 64-bit stand-in for the four key columns, so that shuffles of readings carry 8 bytes instead of four strings."""
-    return F.xxhash64(*KEY).alias("g")
-
+def _reference_readings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Usable readings of the reference windows (``g``, ``value``, ``series_id``, ``seq``), and the key columns of each ``g``.
 
-def _reference_readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Usable readings of the reference windows with the key of their group."""
+    Keys are found once per series, and numbered by what was written, so that shuffles of readings carry 8 bytes instead of
+    four texts, and no two keys can meet."""
     cases = table(spark, sf, "incident_case").select("case_id", "dataset_id", "day", "reference_start", "reference_end").dropDuplicates(["case_id"])
     owners = table(spark, sf, "entity_catalog").select("case_id", F.col("id").alias("owner"), F.col("category").alias("owned")).dropDuplicates(["case_id", "owner"])
-    samples = table(spark, sf, "numeric_sample").where(USABLE).select("series_id", "seq", "case_id", "owner", "modality", "channel", "time", "value")
-    inside = samples.join(cases, "case_id").where("time >= reference_start and time < reference_end")
+    samples = table(spark, sf, "numeric_sample")
     category = F.when(F.col("modality") == "trace", "service->service").otherwise(F.col("owned"))
-    return inside.join(owners, ["case_id", "owner"], "left").withColumn("category", category)
+    series = samples.select("series_id", "case_id", "owner", "modality", "channel").distinct()
+    series = materialize(
+        series.join(cases, "case_id").join(owners, ["case_id", "owner"], "left").select("series_id", *KEY[:2], category.alias("category"), "channel", "reference_start", "reference_end"),
+        "series",
+    )
+    keys = materialize(series.select(*KEY).distinct().withColumn("g", F.monotonically_increasing_id()), "keys")
+    named = keys.select("g", *(F.col(c).alias(f"__{c}") for c in KEY))
+    same = reduce(lambda a, b: a & b, (series[c].eqNullSafe(named[f"__{c}"]) for c in KEY))
+    placed = series.join(named, same).select("series_id", "g", "reference_start", "reference_end")
+    readings = samples.where(USABLE).select("series_id", "seq", "time", "value").join(placed, "series_id")
+    return readings.where("time >= reference_start and time < reference_end").select("g", "value", "series_id", "seq"), keys
 
 
-def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Frequency table per data set, day, category and channel."""
-    readings = _reference_readings(spark, sf).select(_group(), "value", "series_id", "seq")
-    return quantiles.frequencies(readings, ["g"], "value", identity=["series_id", "seq"])
+def _daily(spark: SparkSession, sf: str, relative_error: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Frequency table per data set, day, category and channel (``g``), and its keys."""
+    readings, keys = _reference_readings(spark, sf)
+    return quantiles.frequencies(readings, ["g"], "value", identity=["series_id", "seq"], relative_error=relative_error), keys
+
+
+def _percents(shares=SHARES) -> list[Column]:
+    return [F.col(f"p{i}").alias(f"p{round(100 * q):02d}") for i, q in enumerate(shares)]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Published scales that don't fit their values."""
-    values, measured = quantiles.median_and_spread(_daily(spark, sf), ["g"])
-    published = table(spark, sf, "daily_scale").select(*KEY, "center", "scale").withColumn("g", _group())
+    daily, keys = _daily(spark, sf)
+    values, measured = quantiles.median_and_spread(daily, ["g"])
+    published = table(spark, sf, "daily_scale").select(*KEY, "center", "scale").join(keys, list(KEY))
     ranks = values.counts(published, "center")
-    spread = 1.4826 * F.col("mad")
+    mad = 1.4826 * F.col("mad")
     off_center = (F.col("below") > 0.55 * F.col("observations")) | (F.col("upto") < 0.45 * F.col("observations"))
-    off_scale = (spread != 0) & (F.abs(F.col("scale") - spread) > 0.25 * spread)
+    off_scale = (mad != 0) & (F.abs(F.col("scale") - mad) > 0.25 * mad)
     return (
         published.join(measured.select("g", "mad"), "g")
         .join(ranks, ["g", "center"], "left")
@@ -52,18 +68,27 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentiles per data set, day, category and channel."""
-    keys = _reference_readings(spark, sf).select(*KEY).distinct().withColumn("g", _group())
-    found = quantiles.Cumulative(_daily(spark, sf), ["g"]).percentiles(SHARES)
-    return keys.join(found, "g").select(*KEY, "observations", *(F.col(f"p{i}").alias(f"p{round(100 * q):02d}") for i, q in enumerate(SHARES)))
+    daily, keys = _daily(spark, sf)
+    return quantiles.Cumulative(daily, ["g"]).percentiles(SHARES).join(keys, "g").select(*KEY, "observations", *_percents())
 
 
 def p1_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per channel over all data sets and days, from the combined daily tables."""
-    readings = _reference_readings(spark, sf)
-    daily = quantiles.frequencies(readings, ["dataset_id", "day", "channel"], "value", identity=["series_id", "seq"])
-    whole = quantiles.merge(daily).groupBy("channel", "value").agg(F.sum("n").alias("n"))
-    found = quantiles.Cumulative(whole, ["channel"]).percentiles(SHARES)
-    return found.select("channel", "observations", *(F.col(f"p{i}").alias(f"p{round(100 * q):02d}") for i, q in enumerate(SHARES)))
+    daily, keys = _daily(spark, sf)
+    whole = quantiles.merge(daily).join(keys.select("g", "channel"), "g").groupBy("channel", "value").agg(F.sum("n").alias("n"))
+    return quantiles.Cumulative(whole, ["channel"]).percentiles(SHARES).select("channel", "observations", *_percents())
+
+
+def p1_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether percentiles from tables of bounded size (1 % buckets) lie within 1 % of the exact ones, per group."""
+    daily, keys = _daily(spark, sf)
+    daily = materialize(daily, "daily")
+    bounded = daily.select("g", quantiles.rounded(F.col("value"), ERROR).alias("value"), "n").groupBy("g", "value").agg(F.sum("n").alias("n"))
+    exact = quantiles.Cumulative(daily, ["g"]).percentiles(SHARES, interpolate=False)
+    rough = quantiles.Cumulative(bounded, ["g"]).percentiles(SHARES, interpolate=False)
+    rough = rough.select("g", *(F.col(f"p{i}").alias(f"r{i}") for i in range(len(SHARES))))
+    near = reduce(lambda a, b: a & b, (F.abs(F.col(f"r{i}") - F.col(f"p{i}")) <= ERROR * F.abs(F.col(f"p{i}")) * (1 + 1e-9) for i in range(len(SHARES))))
+    return exact.join(rough, "g").join(keys, "g").select(*KEY, "observations", near.alias("within"))
 
 
 def _runs(spark: SparkSession, sf: str, least: int) -> DataFrame:
@@ -101,9 +126,15 @@ def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sources = table(spark, sf, "documents").select("doc_id", "source")
-    sizes = tokens.token_counts(_texts(spark, sf)).join(sources, "doc_id")
-    return mixing.mix(sizes, table(spark, sf, "mix_target"))
+    documents = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return mixing.mix(tokens.token_counts(documents, keep=["source"]), table(spark, sf, "mix_target"))
+
+
+def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Goals, rates and shortfalls of every source for a mix as large as the corpus, with sizes in characters."""
+    sizes = table(spark, sf, "documents").select("source", F.coalesce("n_chars", F.lit(0)).alias("tokens"))
+    found = mixing.plan(sizes, table(spark, sf, "mix_target"))
+    return found.select("source", "documents", "size", F.round("goal", 3).alias("goal"), F.round("rate", 6).alias("rate"), F.round("shortfall", 3).alias("shortfall"), "full")
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,12 +152,17 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical_text.look_alike_pairs(_texts(spark, sf)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every document whose text isn't blank, and the documents of other texts that look like it."""
+    return canonical_text.look_alike_classes(_texts(spark, sf))
+
+
 def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
     """The consistent form of every document."""
     return canonical_text.canonical_documents(_texts(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_merged, p4_found, p4_runs, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_merged, p1_bounded, p4_found, p4_runs, p6_ids, p6_round_trip, p7_mix, p7_shares, p7_plan, p8_found, p8_classes, p8_forms)}
 
 _READINGS = """
 WITH n AS (
@@ -175,6 +211,18 @@ SELECT dataset_id, day, category, channel FROM (
 WHERE below > 0.55 * total OR upto < 0.45 * total OR (spread <> 0 AND abs(scale - spread) > 0.25 * spread)""",
     "p1_percentiles": _READINGS + f"SELECT dataset_id, day, category, channel, count(*) AS observations, {_QUANTILES} FROM n GROUP BY ALL",
     "p1_merged": _READINGS + f"SELECT channel, count(*) AS observations, {_QUANTILES} FROM n GROUP BY ALL",
+    "p1_bounded": _READINGS + "SELECT dataset_id, day, category, channel, count(*) AS observations, true AS within FROM n GROUP BY ALL",
+    "p7_plan": """
+WITH RECURSIVE d AS (SELECT source, count(*) AS documents, CAST(sum(n_chars) AS DOUBLE) AS size FROM documents WHERE n_chars > 0 GROUP BY source),
+s AS (SELECT t.source, t.weight AS w, coalesce(d.documents, 0) AS documents, coalesce(d.size, 0) AS size, t.max_repeats * coalesce(d.size, 0) AS room FROM mix_target t LEFT JOIN d USING (source)),
+a AS (SELECT sum(size) AS total, sum(w) AS weights FROM s),
+-- sources that their share would overfill are full; what they leave is spread over the others, until none is overfilled
+it(k, lam) AS (SELECT 0, (SELECT total FROM a) / (SELECT sum(w) FROM s WHERE size > 0)
+  UNION ALL SELECT k + 1, (SELECT ((SELECT total FROM a) - coalesce(sum(room) FILTER (room <= w * it.lam), 0)) / sum(w) FILTER (room > w * it.lam) FROM s WHERE size > 0) FROM it WHERE k < 20),
+lam AS (SELECT arg_max(lam, k) AS lam FROM it),
+g AS (SELECT s.*, CASE WHEN size = 0 THEN 0 WHEN lam IS NULL THEN room ELSE least(room, w * lam) END AS goal FROM s, lam)
+SELECT source, documents, CAST(size AS BIGINT) AS size, round(goal, 3) AS goal, round(CASE WHEN size > 0 THEN goal / size ELSE 0 END, 6) AS rate,
+  round(greatest(w / weights * total - goal, 0), 3) AS shortfall, size > 0 AND goal >= room AS full FROM g, a""",
     "p4_found": _LOGS + "SELECT first_log_id, last_log_id FROM f WHERE records >= 2",
     "p4_runs": _LOGS + "SELECT case_id, owner, first_log_id, last_log_id, duration, records, occurrences FROM f",
 }

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolith.runtime import materialize
+from tremolith.runtime import discard, few, heavy_keys, materialize, ranges
 
-#: Width of the time shards within which predecessors are found by a window.
-SHARD_SECONDS = 1_800.0
+#: A sequence with more records is cut into shards of about as many, within which predecessors are found by a window.
+SHARD_ROWS = 50_000
 
 #: Kinds that prefix entity names, and units of amounts.
 ENTITY_KINDS = ("service", "host", "pod", "node")
@@ -42,41 +42,65 @@ def message(text: Column) -> Column:
     return F.trim(out)
 
 
-def _predecessors(records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every record with the id and text of the record before it. Sequences are sorted in time shards; the first record
-    of a shard gets its predecessor from a window over one row per shard, so no task sorts a whole sequence."""
-    shard = Window.partitionBy(*keys, "shard").orderBy("time", "id")
-    local = records.withColumn("shard", F.floor(F.col("time") / SHARD_SECONDS)).withColumns({"p": F.lag(F.struct("id", "said")).over(shard)})
+def _predecessors(records: DataFrame, keys: Sequence[str], shard_rows: int) -> DataFrame:
+    """Every record with ``pointer``: the id of the record before it if that says the same, else null.
+
+    Ordinary sequences are sorted whole. Those of more than ``shard_rows`` records are ranged by time into shards of about
+    as many, however close in time they lie; the first record of a shard follows the last one of the shard before, which a
+    window over one row per shard gives. ``records`` must be a written table.
+    """
+    before = F.struct("id", "said")
+
+    def pointed(df: DataFrame, previous: Column) -> DataFrame:
+        return df.withColumn("pointer", F.when(previous["said"] == F.col("said"), previous["id"]))
+
+    hot = heavy_keys(records, keys, shard_rows)
+    ordinary = records if hot is None else records.join(few(hot), keys, "left_anti")
+    whole = pointed(ordinary.withColumn("p", F.lag(before).over(Window.partitionBy(*keys).orderBy("time", "id"))), F.col("p")).drop("p")
+    if hot is None:
+        return whole
+    shards = ranges(materialize(records.join(few(hot), keys, "left_semi"), "hot-sequences"), [*keys, "time", "id"], shard_rows, "hot-shards")
+    local = shards.withColumn("p", F.lag(before).over(Window.partitionBy(*keys, "part").orderBy("time", "id")))
     carried = (
-        local.groupBy(*keys, "shard")
-        .agg(F.max_by(F.struct("id", "said"), F.struct("time", "id")).alias("last"))
-        .withColumn("carried", F.lag("last").over(Window.partitionBy(*keys).orderBy("shard")))
+        shards.groupBy(*keys, "part")
+        .agg(F.max_by(before, F.struct("time", "id")).alias("last"))
+        .select(*keys, "part", F.lag("last").over(Window.partitionBy(*keys).orderBy("part")).alias("carried"))
         .where("carried is not null")
-        .select(*keys, "shard", "carried")
     )
-    before = F.coalesce("p", "carried")
-    return local.join(carried, [*keys, "shard"], "left").withColumn("pointer", F.when(before["said"] == F.col("said"), before["id"])).drop("p", "carried", "shard")
-
-
-def _double(pointers: DataFrame) -> DataFrame:
-    """Follow pointers to their ends. Each round replaces a pointer by its target's pointer, so a run of n records takes
-    log2(n) rounds; finished records only serve as targets. Rounds are written to the shared scratch folder."""
-    while True:
-        pointers = materialize(pointers, "pointers")
-        if pointers.where(~F.col("done")).isEmpty():
-            return pointers
-        target = pointers.select(F.col("id").alias("t_id"), F.col("pointer").alias("t_pointer"), F.col("done").alias("t_done"))
-        moved = (
-            pointers.where(~F.col("done"))
-            .join(target, F.col("pointer") == F.col("t_id"), "left")
-            # a target that points nowhere is the start of the run
-            .withColumns({"pointer": F.coalesce("t_pointer", "pointer"), "done": F.coalesce("t_done", F.lit(True))})
-            .drop("t_id", "t_pointer", "t_done")
-        )
-        pointers = pointers.where("done").unionByName(moved)
-
-
-def collapse_runs(events: DataFrame, keys: Sequence[str], *, id: str, time: str, said: str, frequency: str | None = None, least: int = 1) -> DataFrame:  # noqa: A002
+    stitched = local.join(carried, [*keys, "part"], "left")
+    return whole.unionByName(pointed(stitched, F.coalesce("p", "carried")).drop("p", "carried", "part"))
+
+
+def _double(linked: DataFrame) -> DataFrame:
+    """``start``, ``id``, ``time``, ``amount``: the start of the run of every record of ``linked`` that has a ``pointer``.
+
+    Each round replaces a pointer by its target's pointer, so a run of n records takes log2(n) rounds. A record leaves the
+    rounds once it points to a start, and starts are never looked up: the records that are still on their way are those of
+    one distance, of which each target has one, so no join has a hot key. Rounds are written to the shared scratch folder.
+    """
+    kept = ["id", "pointer", "time", "amount"]
+    followers = linked.where("pointer is not null").select(*kept)
+    starts = linked.where("pointer is null").select(F.col("id").alias("t_id"), F.lit(True).alias("at_start"))
+    first = followers.join(starts, F.col("pointer") == F.col("t_id"), "left").select(*kept, F.coalesce("at_start", F.lit(False)).alias("done"))
+    state = materialize(first, "pointers")
+    finished = [state.where("done").select(*kept)]
+    running = state.where(~F.col("done"))
+    while not running.isEmpty():
+        arrived = finished[0]
+        for more in finished[1:]:
+            arrived = arrived.unionByName(more)
+        targets = arrived.select("id", "pointer", F.lit(True).alias("done")).unionByName(running.select("id", "pointer", "done"))
+        targets = targets.select(F.col("id").alias("t_id"), F.col("pointer").alias("t_pointer"), F.col("done").alias("t_done"))
+        moved = materialize(running.join(targets, F.col("pointer") == F.col("t_id")).select("id", F.col("t_pointer").alias("pointer"), "time", "amount", F.col("t_done").alias("done")), "pointers")
+        finished.append(moved.where("done").select(*kept))
+        running = moved.where(~F.col("done"))
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    return out.withColumnRenamed("pointer", "start")
+
+
+def collapse_runs(events: DataFrame, keys: Sequence[str], *, id: str, time: str, said: str, frequency: str | None = None, least: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:  # noqa: A002
     """One row per run of consecutive events of a sequence that say the same.
 
     ``keys``, ``first_id``, ``last_id``, ``start_time``, ``end_time``, ``duration`` (seconds), ``records`` and
@@ -85,7 +109,7 @@ def collapse_runs(events: DataFrame, keys: Sequence[str], *, id: str, time: str,
 
     Rows of one id are one event (the least of them in the order of its columns). Events with a null key, id, time or
     text belong to no sequence; a NaN time counts as null. Equal times are ordered by id. An empty input gives no rows;
-    other columns are ignored.
+    other columns are ignored. ``shard_rows`` doesn't change the result.
     """
     keys = list(keys)
     amount = F.coalesce(F.col(frequency), F.lit(1)).cast("bigint") if frequency else F.lit(1).cast("bigint")
@@ -100,11 +124,12 @@ def collapse_runs(events: DataFrame, keys: Sequence[str], *, id: str, time: str,
         .where("r is not null")
         .select("id", "r.*")
     )
-    linked = materialize(_predecessors(records, keys), "linked")
-    followers = linked.where("pointer is not null").select("id", "pointer", "time", "amount", F.lit(False).alias("done"))
+    once = materialize(records, "records")
+    linked = materialize(_predecessors(once, keys, shard_rows), "linked")
+    discard(once)
     members = (
-        _double(followers)
-        .groupBy(F.col("pointer").alias("id"))
+        _double(linked)
+        .groupBy(F.col("start").alias("id"))
         .agg(F.max(F.struct("time", "id")).alias("last"), F.count("*").alias("n"), F.sum("amount").alias("more"))
     )
     starts = linked.where("pointer is null").select(*keys, "id", "time", "amount")
