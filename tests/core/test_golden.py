@@ -155,22 +155,31 @@ def test_chain_faults(spark):
     assert [r.fault for r in protocol.chain_faults(chained.where("sequence <> 1"), "l").orderBy("sequence").collect()] == ["sequence", "sequence"]
 
 
-def test_label_ledger():
-    kept = []
-    ledger = labels.LabelLedger({"a": ["x"], "b": ["y"], "bad": ["z"], "c": ["x"]}, 3)
-    assert ledger.query("a", ["x", "y"], kept.append) == {"x"} and ledger.query("a", ["x"]) == {"x"} and ledger.spent == 1
-    again = labels.LabelLedger({"a": ["x"], "b": ["y"], "bad": ["z"], "c": ["x"]}, 3)
-    again.load(kept[0])
-    assert again.pending == {"a"}
+def test_reservations_are_paid_before_they_are_seen(spark, tmp_path):
+    answers = spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("bad", ["z"]), ("c", ["x"])], "case_id string, roots array<string>")
+    candidates = spark.createDataFrame([(c, e) for c in ("a", "b", "bad", "c") for e in "xy"], "case_id string, entity string")
+    ids = lambda *cs: spark.createDataFrame([(c,) for c in cs], "case_id string")
+    table = labels.Reservations(spark, str(tmp_path / "labels"), answers, 3)
+    table.reserve(ids("a"))
+    again = labels.Reservations(spark, str(tmp_path / "labels"), answers, 3)
+    assert again.summary() == {"reserved": 1, "revealed": 0, "refused": 0, "next": 1, "spent": 1} and rows(again.revealed()) == []
     with pytest.raises(ValueError, match="open"):
-        again.query("b", ["y"])
-    assert again.query("a", ["x"]) == {"x"}
-    with pytest.raises(ValueError, match="candidates"):
-        again.query("bad", ["x"])
-    with pytest.raises(ValueError, match="blocked"):
-        again.query("b", ["y"])
-    with pytest.raises(ValueError):
-        labels.LabelLedger({"a": ["x"]}, 3).load(kept[0])
+        again.reserve(ids("b"))
+    again.reserve(ids("a"))
+    assert rows(again.settle(candidates)) == [("a", ["x"])] == rows(table.settle(candidates))
+    with pytest.raises(ValueError, match="first"):
+        table.reserve(ids("b"), step=1)
+    with pytest.raises(ValueError, match="no label"):
+        table.reserve(ids("none"))
+    table.reserve(ids("bad"))
+    with pytest.raises(ValueError, match="outside the candidates"):
+        table.settle(candidates)
+    with pytest.raises(ValueError, match="closed"):
+        again.reserve(ids("b"))
+    with pytest.raises(ValueError, match="other labels"):
+        labels.Reservations(spark, str(tmp_path / "labels"), answers, 4).summary()
+    with pytest.raises(ValueError, match="budget"):
+        labels.Reservations(spark, str(tmp_path / "none"), answers, 1, open_cases=5).reserve(ids("a", "b"))
 
 
 def test_schedules_and_orders():
@@ -178,7 +187,37 @@ def test_schedules_and_orders():
     assert s.batches() == [5] * 6 and s.epochs() == 170 and schedule.Schedule(budget=12).batches() == [5, 5, 2]
     assert [round(s.soft(e), 2) for e in (4, 5, 6, 7, 8, 9, 20)] == [0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.1]
     assert schedule.seeded_priority(["c", "a", "b"], 42) == ["b", "a", "c"]
-    assert len(set(schedule.uniform_ranks(10**12, 50, 1))) == 50 and schedule.uniform_ranks(3, 3, 1) == [0, 1, 2]
+    assert [schedule.Schedule.update_slots(n) for n in (995, 169)] == [249, 43]
+    assert s.stage_at(19) == ("warm-up", 19) and s.stage_at(20) == ("round 2", 0) and s.stage_at(169) == ("tail", 49)
+    assert s.loss_weights(0)["U_soft"] == 0.0 and s.loss_weights(169)["U_soft"] == 0.1 and s.loss_weights(169, "A6")["U_soft"] == 0.0
+    with pytest.raises(ValueError):
+        s.stage_at(170)
+
+
+def test_variants():
+    on = lambda v: {c for c, w in schedule.Schedule().loss_weights(169, v).items() if w}
+    assert on("A0") == {"pn"} and on("A1") == {"pn", "local_recovery"} and on("A2") == {"pn", "local_recovery", "process_recovery", "invariance"}
+    assert on("A3") == on("A4") == on("A5") == set(schedule.COMPONENTS) and on("A6") == set(schedule.COMPONENTS) - {"U_soft"}
+
+
+def test_sampled_ranks(spark):
+    strata = spark.createDataFrame([("huge", 10**12, 50), ("all", 3, 3), ("none", 5, 0), ("half", 40, 20)], "s string, n bigint, k int")
+    got = {}
+    for r in schedule.sampled_ranks(strata, ["s"], "n", "k", seed=1).collect():
+        got.setdefault(r.s, []).append(r["rank"])
+    assert {k: len(set(v)) for k, v in got.items()} == {"huge": 50, "all": 3, "half": 20} and sorted(got["all"]) == [0, 1, 2]
+    assert all(0 <= r < 10**12 for r in got["huge"]) and max(got["half"]) < 40
+    with pytest.raises(Exception, match="no larger"):
+        schedule.sampled_ranks(spark.createDataFrame([("x", 2, 3)], "s string, n bigint, k int"), ["s"], "n", "k").collect()
+    spread = schedule.sampled_ranks(spark.range(4_000).selectExpr("id", "9 n", "1 k"), ["id"], "n", "k").groupBy("rank").count().collect()
+    assert len(spread) == 9 and all(330 < r["count"] < 560 for r in spread)
+
+
+def test_decks_deal_every_case_once_a_round(spark):
+    ids = spark.createDataFrame([(f"c{i}",) for i in range(9)], "case_id string")
+    dealt = schedule.shuffled_decks(ids, 3).collect()
+    orders = [[r.case_id for r in sorted((r for r in dealt if r["round"] == k), key=lambda r: r.place)] for k in range(3)]
+    assert all(sorted(o) == sorted(orders[0]) for o in orders) and len({tuple(o) for o in orders}) == 3
 
 
 def test_vectors(spark):

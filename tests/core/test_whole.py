@@ -47,15 +47,16 @@ def test_source_sets_hold_every_single_candidate_prefixes_and_seeded_extras(spar
         assert {s for s in sets if len(s) == 1} == {frozenset([e]) for e in order}
         assert {frozenset(order[:k]) for k in range(2, min(9, n) + 1)} <= set(sets)
         assert len(sets) == n + min(16, 2**n - 1 - n)
-    assert set(map(frozenset, cases.unlabeled_sources([2, 0, 1]))) == {frozenset(s) for k in (1, 2, 3) for s in itertools.combinations(range(3), k)}
+    pairs = [frozenset(s) for k, s in rows(cases.source_sets(df, largest=2)) if k == "d" and len(s) > 1]
+    assert len(set(pairs)) == 16 and {len(s) for s in pairs} == {2}
 
 
 def test_labeled_source_sets_hold_the_truth_and_others_of_its_size(spark):
     rows_ = [(c, f"e{i:02d}", i < 2) for c, n in (("x", 3), ("y", 12)) for i in range(n)]
     found = rows(cases.labeled_source_sets(spark.createDataFrame(rows_, "case_id string, entity string, is_root boolean")))
     for c, n in (("x", 3), ("y", 17)):
-        sets = {frozenset(s) for k, s in found if k == c}
-        assert len(sets) == n and frozenset(["e00", "e01"]) in sets and {len(s) for s in sets} == {2}
+        sets = {frozenset(s): t for k, s, t in found if k == c}
+        assert len(sets) == n and [s for s, t in sets.items() if t] == [frozenset(["e00", "e01"])] and {len(s) for s in sets} == {2}
 
 
 def test_motifs_differ_by_order_state_and_edge_and_not_by_names(spark):

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import json
-import math
-import random
 from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,83 +78,83 @@ def mask_blocks(blocks: DataFrame, case: str, block: Sequence[str], z: str, shar
     return later.where(F.col("__rest") <= F.col("__take")).select(case, *block, F.when(F.col("__u"), "uniform").when(F.abs(z) > 1, "response").otherwise("fill").alias("reason"))
 
 
-def _unused_subset(n: int, k: int, used: set[frozenset[int]], rng: random.Random) -> frozenset[int]:
-    """A uniform subset of ``k`` of ``n`` that is not in ``used``: from the list where that is short, else by rejection."""
-    if math.comb(n, k) <= 32:
-        return rng.choice([s for s in map(frozenset, itertools.combinations(range(n), k)) if s not in used])
-    while (s := frozenset(rng.sample(range(n), k))) in used:
-        pass
-    return s
-
-
-def unlabeled_sources(ranking: Sequence[int], seed: int = 0, extras: int = 16, prefixes: int = 8, largest: int | None = None) -> list[frozenset[int]]:
-    """Candidate root sets of a case without labels, as sets of positions: every single candidate, the prefixes of 2 to 9 of
-    ``ranking`` (at most ``prefixes``), and random sets of a uniform size until there are ``extras`` besides the singles."""
-    n = len(ranking)
-    cap = n if largest is None else min(n, largest)
-    used: dict[int, set] = {k: set() for k in range(2, cap + 1)}
-    more = [frozenset(ranking[:k]) for k in range(2, min(9, cap) + 1)][: min(prefixes, extras)]
-    for s in more:
-        used[len(s)].add(s)
-    open_ = [k for k in used if len(used[k]) < math.comb(n, k)]
-    rng = random.Random(seed)
-    while open_ and len(more) < extras:
-        k = rng.choice(open_)
-        more.append(_unused_subset(n, k, used[k], rng))
-        used[k].add(more[-1])
-        if len(used[k]) == math.comb(n, k):
-            open_.remove(k)
-    return [frozenset([i]) for i in range(n)] + more
-
-
-def labeled_sources(count: int, truth: Sequence[int], seed: int = 0, wrong: int = 16, largest: int | None = None) -> list[frozenset[int]]:
-    """The true root set, then at most ``wrong`` other sets of its size; a true set that is empty, unknown or too large is an error."""
-    true = frozenset(truth)
-    if not true or not true <= set(range(count)) or len(true) > (count if largest is None else largest):
-        raise ValueError("true roots must be some of the candidates, and no more than the largest set allowed")
-    used, rng = {true}, random.Random(seed)
-    out = [true]
-    for _ in range(min(wrong, math.comb(count, len(true)) - 1)):
-        out.append(_unused_subset(count, len(true), used, rng))
-        used.add(out[-1])
-    return out
-
-
-def _keyed_seed(*parts) -> int:
-    return int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "big")
-
-
-def _sets(cases: DataFrame, columns: Sequence[str], found) -> DataFrame:
-    def run(batches):
-        for frame in batches:
-            out = [(row[0], sorted(s)) for row in frame.itertuples(index=False) for s in found(*row)]
-            yield pd.DataFrame(out, columns=["case_id", "sources"])
+#: Draws of random source sets of a case; repeated ones are passed over.
+DRAWS = 512
 
-    return cases.select("case_id", *columns).mapInPandas(run, "case_id string, sources array<string>")
 
+def _drawn(key: Column, names: Column, size: Column) -> Column:
+    """The ``size`` names of least hash in a draw, sorted."""
+    ordered = F.array_sort(F.transform(names, lambda e: F.struct(F.md5(F.concat_ws("|", key, e)).alias("h"), e.alias("e"))))
+    return F.array_sort(F.transform(F.slice(ordered, 1, size), lambda s: s["e"]))
 
-def source_sets(ranked: DataFrame, seed: int = 42, epoch: int = 0, largest: int | None = None) -> DataFrame:
-    """``case_id``, ``sources``: :func:`unlabeled_sources` of each case's ranking, its candidates numbered by name and its
-    random sets fixed by seed, case and epoch."""
 
-    def found(case, order):
-        names = sorted(order)
-        at = {e: i for i, e in enumerate(names)}
-        return [[names[i] for i in s] for s in unlabeled_sources([at[e] for e in order], _keyed_seed(seed, case, epoch, "U"), largest=largest)]
+def _subsets(names: Column, least: Column, most: Column) -> Column:
+    """All subsets of a short array with ``least`` to ``most`` members, sorted."""
+    masks = F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), F.least(F.size(names), F.lit(16))).cast("bigint") - 1)
+    chosen = lambda m: F.filter(names, lambda e, i: F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1)
+    return F.filter(F.transform(masks, chosen), lambda s: (F.size(s) >= least) & (F.size(s) <= most))
 
-    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda s: s["entity"])
-    return _sets(ranked.groupBy("case_id").agg(order.alias("order")), ["order"], found)
 
+def _combinations(n: Column, k: Column) -> Column:
+    """Number of subsets of size k, as a double."""
+    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda c, i: c * (n - k + i) / i)
 
-def labeled_source_sets(candidates: DataFrame, seed: int = 42, epoch: int = 0, largest: int | None = None) -> DataFrame:
-    """``case_id``, ``sources``: :func:`labeled_sources` of each case of ``candidates`` (case_id, entity, is_root), the true set among them."""
 
-    def found(case, entities, roots):
-        names = sorted(entities)
-        return [[names[i] for i in s] for s in labeled_sources(len(names), [names.index(r) for r in roots], _keyed_seed(seed, case, epoch, "L"), largest=largest)]
+def source_sets(ranked: DataFrame, seed: int = 42, epoch: int = 0, largest: int | None = None, extras: int = 16, prefixes: int = 8) -> DataFrame:
+    """``case_id``, ``sources`` (sorted array): candidate root sets of cases without labels.
 
-    roots = F.collect_set(F.when(F.col("is_root"), F.col("entity")))
-    return _sets(candidates.groupBy("case_id").agg(F.collect_set("entity").alias("entities"), roots.alias("roots")), ["entities", "roots"], found)
+    ``ranked``: case_id, entity, rank. Every single candidate is a set; so are the best 2 to 9 together (at most
+    ``prefixes`` sets), and random sets until there are ``extras`` besides the singles, or all sets up to ``largest``. A
+    random set has a uniform size and is uniform among those of its size; draws are hashes of seed, epoch, case and their
+    number, and a draw that repeats a set is passed over. A case's candidates are one row, bounded by its catalog.
+    """
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda s: s["entity"])
+    cases = ranked.groupBy("case_id").agg(order.alias("o")).withColumns({"names": F.array_sort("o"), "n": F.size("o")})
+    cases = cases.withColumn("cap", F.least("n", F.lit(largest)) if largest is not None else F.col("n"))
+    sizes = F.when(F.col("cap") >= 2, F.sequence(F.lit(2), F.col("cap"))).otherwise(F.array().cast("array<int>"))
+    many = F.aggregate(sizes, F.lit(0.0), lambda t, k: t + _combinations(F.col("n"), k))
+    top = F.least(F.lit(9), F.lit(prefixes + 1), F.lit(extras + 1), F.col("cap"))
+    heads = F.transform(F.when(top >= 2, F.sequence(F.lit(2), top)).otherwise(F.array().cast("array<int>")), lambda k: F.array_sort(F.slice("o", 1, k)))
+    key = lambda i: F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), "case_id", i.cast("string"))
+    size = lambda i: (F.lit(2) + F.conv(F.substring(F.md5(key(i)), 1, 8), 16, 10).cast("bigint") % (F.col("cap") - 1)).cast("int")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: _drawn(key(i), F.col("names"), size(i)))
+    # few sets are listed, many are drawn
+    more = F.when(F.col("cap") < 2, F.array().cast("array<array<string>>")).when(many <= extras, _subsets(F.col("names"), F.lit(2), F.col("cap"))).otherwise(F.slice(F.array_distinct(F.concat(heads, draws)), 1, extras))
+    singles = F.transform("names", lambda e: F.array(e))
+    return cases.select("case_id", F.explode(F.concat(singles, more)).alias("sources"))
+
+
+def labeled_source_sets(candidates: DataFrame, seed: int = 42, epoch: int = 0, largest: int | None = None, wrong: int = 16) -> DataFrame:
+    """``case_id``, ``sources`` (sorted array), ``true``: the root set of each case of ``candidates`` (case_id, entity, is_root),
+    and at most ``wrong`` other random sets of its size. A case without roots, or with more than ``largest``, is an error."""
+    roots = F.array_sort(F.collect_set(F.when(F.col("is_root"), F.col("entity"))))
+    cases = candidates.groupBy("case_id").agg(F.array_sort(F.collect_set("entity")).alias("names"), roots.alias("roots")).withColumn("k", F.size("roots"))
+    bad = (F.col("k") < 1) | ((F.col("k") > largest) if largest is not None else F.lit(False))
+    cases = cases.withColumn("roots", F.when(bad, F.raise_error(F.lit("a case needs roots, and no more than the largest set allowed")).cast("array<string>")).otherwise(F.col("roots")))
+    key = lambda i: F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), "case_id", F.lit("true"), i.cast("string"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: _drawn(key(i), F.col("names"), F.col("k")))
+    few_ = _combinations(F.size("names"), F.col("k")) <= wrong + 1
+    # all sets of the size come from the short list of all subsets only where the catalog is short, else from one swap
+    listed = F.when(F.size("names") <= 12, _subsets(F.col("names"), F.col("k"), F.col("k"))).otherwise(_swaps(F.col("names"), F.col("roots")))
+    others = F.array_except(F.when(few_, listed).otherwise(draws), F.array("roots"))
+    every = F.concat(F.array(F.struct(F.col("roots").alias("sources"), F.lit(True).alias("true"))), F.transform(F.slice(others, 1, wrong), lambda s: F.struct(s.alias("sources"), F.lit(False).alias("true"))))
+    return cases.select("case_id", F.explode(every).alias("s")).select("case_id", "s.*")
+
+
+def _swaps(names: Column, roots: Column) -> Column:
+    """The sets that have one member exchanged: all others of their size, where they are 1 or all but 1 of the names."""
+    rest = F.array_except(names, roots)
+    return F.flatten(F.transform(roots, lambda r: F.transform(rest, lambda e: F.array_sort(F.concat(F.filter(roots, lambda x: x != r), F.array(e))))))
+
+
+def source_membership(sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``case_id``, ``sources``, ``mask``: for every set, whether each of its case's candidates (in order of name) is in it. A
+    set with a member outside the candidates is an error."""
+    names = candidates.groupBy("case_id").agg(F.array_sort(F.collect_set("entity")).alias("names"))
+    joined = sets.join(names, "case_id")
+    strange = F.size(F.array_except("sources", "names")) > 0
+    mask = F.transform("names", lambda e: F.array_contains("sources", e))
+    return joined.select("case_id", "sources", F.when(strange, F.raise_error(F.lit("a source outside the candidates")).cast("array<boolean>")).otherwise(mask).alias("mask"))
 
 
 def motif_code(nodes: Sequence[Sequence], edges: Sequence[Sequence], same: Sequence[Sequence[bool]], before: Sequence[Sequence[str]]) -> str:
@@ -193,12 +190,19 @@ def _motif_code(nodes: tuple, edges: tuple, same: tuple, before: tuple) -> str:
     return f"[{head},{best[1:]}"
 
 
+#: Cases of a selection pool whose distances one matrix holds (128 MB).
+POOL = 4_000
+
+
 def medoids(distance: np.ndarray, count: int, locked: Sequence[int] = (), rounds: int = 100) -> tuple[list[int], float]:
     """Centers by greedy choice and best-improvement swaps over a square matrix; earlier rows win ties, locked ones stay.
 
-    The matrix is of cases in one selection pool, which the label budget's pool bounds; distances come from Spark.
+    The matrix is of cases in one selection pool of at most ``POOL`` cases; distances come from Spark. A larger pool is an
+    error.
     """
     n = len(distance)
+    if n > POOL:
+        raise ValueError(f"a selection pool has at most {POOL} cases")
     base = distance[list(locked)].min(axis=0) if len(locked) else np.ones(n)
     cost = lambda cs: float(np.minimum(base, distance[cs].min(axis=0) if cs else np.ones(n)).mean()) if n else 0.0
     chosen: list[int] = []
@@ -215,6 +219,22 @@ def medoids(distance: np.ndarray, count: int, locked: Sequence[int] = (), rounds
     return chosen, cost(chosen)
 
 
+def pooled_medoids(vectors: DataFrame, count: int, priority: str = "priority", locked: Sequence[str] = ()) -> DataFrame:
+    """``place``, ``case_id``, ``cost``: centers of a selection pool by greedy choice and swaps, with the mean distance that is left.
+
+    ``vectors``: case_id, vec (unit length; null for none) and a priority that breaks ties. The pool is one of label
+    selection, at most ``POOL`` cases; cases without a vector are neither centers nor targets.
+    """
+    spark = vectors.sparkSession
+    pool = vectors.where("vec is not null").select("case_id", "vec", F.col(priority).alias("p")).orderBy("p", "case_id").limit(POOL + 1).collect()
+    if len(pool) > POOL:
+        raise ValueError(f"a selection pool has at most {POOL} cases")
+    names = [r["case_id"] for r in pool]
+    x = np.array([r["vec"] for r in pool], float).reshape(len(pool), -1)
+    chosen, cost = medoids(np.clip((1 - x @ x.T) / 2, 0, 1), count, [names.index(c) for c in locked if c in names])
+    return spark.createDataFrame([(i, names[c], cost) for i, c in enumerate(chosen)], "place int, case_id string, cost double")
+
+
 def save_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
     """Named arrays as a table that must not be there yet."""
     rows = [(k, [int(s) for s in v.shape], [float(x) for x in v.ravel()]) for k, v in sorted(weights.items())]

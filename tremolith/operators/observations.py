@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Units of declared times, label-bearing column names, and dimensions that tell physical series apart.
 TIME_UNITS = {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}
@@ -81,8 +82,23 @@ def metric_owner(metric: Column, columns: Sequence[str]) -> Column:
 
 
 def reject_label_columns(df: DataFrame) -> DataFrame:
-    """The frame itself, or an error if a column could hold labels."""
-    held = [c for c in df.columns if c.lower() in LABEL_COLUMNS or c.lower().startswith(LABEL_PREFIXES)]
+    """The frame itself, or an error if a column, or a field at any depth of one, could hold labels."""
+    held: list[str] = []
+
+    def walk(kind, path: str) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                name = f.name.lower()
+                if name in LABEL_COLUMNS or name.startswith(LABEL_PREFIXES):
+                    held.append(f"{path}{f.name}")
+                walk(f.dataType, f"{path}{f.name}.")
+        elif isinstance(kind, T.ArrayType):
+            walk(kind.elementType, path)
+        elif isinstance(kind, T.MapType):
+            walk(kind.keyType, path)
+            walk(kind.valueType, path)
+
+    walk(df.schema, "")
     if held:
         raise ValueError(f"label-bearing columns are forbidden in observations: {held}")
     return df
@@ -114,20 +130,26 @@ def histogram_channels(df: DataFrame, keep: Sequence[str], name: Column, parts:
     return df.select(*keep, name.alias("__name"), stats).select(*keep, F.concat_ws("/", "__name", "h.part").alias("channel"), F.col("h.value").alias("value"))
 
 
-def resolve_owner(observations: DataFrame, raw: str, catalog: DataFrame, entity: str = "id") -> DataFrame:
-    """Adds ``resolved``: the catalog's service for a name or one of its replicas, else the name as context.
+def resolve_owner(observations: DataFrame, raw: str, catalog: DataFrame, entity: str = "id", by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """Adds ``resolved``: the service of the row's own case (the columns ``by``) for a name or one of its replicas, else the
+    name as context. ``catalog`` has ``by`` and the ids that names may stand for, its candidates as a rule.
 
     A name in the catalog stands for itself. Otherwise a replica suffix is removed; as a suffix has one place where it
     can begin, the longest catalog name is the one that remains, so an equi-join finds it and no prefix scan is needed.
     """
     name = F.regexp_replace(F.col(raw), "^service:", "")
-    known = catalog.select(F.col(entity).alias("__id")).where(F.col("__id").startswith("service:")).distinct()
-    exact, bare = known.withColumnRenamed("__id", "__exact"), known.withColumnRenamed("__id", "__bare")
+    by = list(by)
+    known = catalog.select(*by, F.col(entity).alias("__id")).where(F.col("__id").startswith("service:")).distinct()
+    named = lambda n: known.select(*(F.col(c).alias(f"__{n}_{c}") for c in by), F.col("__id").alias(f"__{n}"))
+    exact, bare = named("exact"), named("bare")
+    mine = lambda df, n: [df[c] == F.col(f"__{n}_{c}") for c in by]
     whole = F.concat(F.lit("service:"), name)
     short = F.concat(F.lit("service:"), F.regexp_replace(name, REPLICA_SUFFIX, ""))
     joined = observations.withColumns({"__whole": whole, "__short": short})
-    joined = joined.join(exact, joined["__whole"] == exact["__exact"], "left").join(bare, joined["__short"] == bare["__bare"], "left")
-    return joined.withColumn("resolved", F.coalesce("__exact", "__bare", "__short")).drop("__whole", "__short", "__exact", "__bare")
+    joined = joined.join(exact, [*mine(joined, "exact"), joined["__whole"] == F.col("__exact")], "left")
+    joined = joined.join(bare, [*mine(joined, "bare"), joined["__short"] == F.col("__bare")], "left")
+    out = joined.withColumn("resolved", F.coalesce("__exact", "__bare", "__short"))
+    return out.drop("__whole", "__short", "__exact", "__bare", *(f"__{n}_{c}" for n in ("exact", "bare") for c in by))
 
 
 def replica_name(c: Column) -> Column:
@@ -220,3 +242,10 @@ def apply_mask(samples: DataFrame, blocks: DataFrame, unit: Sequence[str] = ("mo
     hit = F.coalesce("__hit", F.lit(False))
     kept = marked.withColumns({"value": F.when(hit, 0.0).otherwise(F.col("value")), "observed": F.col("observed") & ~hit}).drop("__hit")
     return kept, marked.where(hit & F.col("observed")).drop("__hit")
+
+
+def mask_logs(records: DataFrame, blocks: DataFrame, unit: Sequence[str] = ("case_id", "owner", "bin")) -> tuple[DataFrame, DataFrame]:
+    """The log records outside the blocks, and those inside, which are hidden whole and become targets. ``blocks`` are those
+    of nodes, with the columns ``unit``; records without an owner are in no block."""
+    hidden = blocks.select(*unit).distinct()
+    return records.join(hidden, list(unit), "left_anti"), records.join(hidden, list(unit), "left_semi")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolith.runtime import few, materialize, numbered
+
 SCHEMA = "tremolith/partition/1"
 GENESIS = "0" * 64
+#: Records of a ledger that are folded in one row.
+LEDGER_RECORDS = 100_000
 
 
 def json_text(**fields: Column | str | int) -> Column:
@@ -33,13 +37,14 @@ def hash_priority(id: Column, stream: Column) -> Column:  # noqa: A002
 def demo_partition(cases: DataFrame, dataset: str, seed: int, reserve: int = 30) -> DataFrame:
     """``case_id``, ``role`` (demo or search), ``place``: the first ``reserve`` ids by one hash order, the rest by another.
 
-    Ranks come from range-sorted hashes by a window without partition keys over ids only; the reserve is a top-k.
+    The reserve is a top-k; the places of the rest come from ranges of their hashes, numbered by themselves.
     """
     ids = cases.select("case_id").distinct().withColumn("priority", hash_priority(F.col("case_id"), substream(dataset, "reserve", seed)))
-    demo = ids.orderBy("priority", "case_id").limit(reserve).withColumn("place", F.row_number().over(Window.orderBy("priority", "case_id")))
-    rest = ids.join(demo.select("case_id"), "case_id", "left_anti").withColumn("priority", hash_priority(F.col("case_id"), substream(dataset, "search", seed)))
-    searched = rest.withColumn("place", F.row_number().over(Window.orderBy("priority", "case_id")))
-    return demo.select("case_id", F.lit("demo").alias("role"), "place").unionByName(searched.select("case_id", F.lit("search").alias("role"), "place"))
+    demo = materialize(ids.orderBy("priority", "case_id").limit(reserve), "reserve")
+    placed = demo.withColumn("place", F.row_number().over(Window.orderBy("priority", "case_id")).cast("bigint"))  # at most ``reserve`` rows
+    rest = ids.join(few(demo.select("case_id")), "case_id", "left_anti").withColumn("priority", hash_priority(F.col("case_id"), substream(dataset, "search", seed)))
+    searched = numbered(rest, ["priority", "case_id"])
+    return placed.select("case_id", F.lit("demo").alias("role"), "place").unionByName(searched.select("case_id", F.lit("search").alias("role"), "place"))
 
 
 def hamilton_quotas(strata: DataFrame, stratum: str, seats: int, dataset: str, seed: int) -> DataFrame:
@@ -61,8 +66,13 @@ def record_hash(sequence: Column, previous: Column, payload: Column) -> Column:
 def chain(records: DataFrame, ledger: str, sequence: str, payload: str) -> DataFrame:
     """Hash-chained records of every ledger: ``ledger``, ``sequence``, ``payload``, ``previous``, ``hash``.
 
-    A chain is sequential by nature: each ledger is folded in order, different ledgers in parallel.
+    A chain is sequential by nature: each ledger is folded in order, different ledgers in parallel. A ledger is one row
+    while it is folded, so it may have at most ``LEDGER_RECORDS`` records; a longer one is an error. Longer chains are
+    appended in batches, see ``streaming.ingest.chained_sink``.
     """
+    size = records.groupBy(ledger).agg(F.count("*").alias("__n")).where(F.col("__n") > LEDGER_RECORDS)
+    if not size.isEmpty():
+        raise ValueError(f"a ledger has more than {LEDGER_RECORDS} records; append it in batches")
     ordered = records.groupBy(ledger).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("s"), F.col(payload).alias("p")))).alias("rows"))
     start = F.array().cast("array<struct<s:bigint,p:string,previous:string,hash:string>>")
     last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS))
@@ -132,3 +142,46 @@ def completion_gap(masks: DataFrame, case: str, mask: str, error: str, true: str
     e = F.col(error)
     each = masks.groupBy(case, mask).agg((F.avg(F.when(~F.col(true), e)) - F.avg(F.when(F.col(true), e))).alias("g"))
     return each.where("g is not null").groupBy(case).agg(F.avg("g").alias("gap"))
+
+
+def eligible_mean(losses: DataFrame, groups: list[str], loss: str) -> DataFrame:
+    """``groups``, ``loss``: the mean of the losses that are there; null where none is."""
+    return losses.groupBy(*groups).agg(F.avg(loss).alias("loss"))
+
+
+def observation_loss(parts: DataFrame, local: str = "local_recovery", process: str = "process_recovery", invariance: str = "invariance") -> DataFrame:
+    """Adds ``observation``: a third of the sum of the three losses, missing ones counting 0; null where all are missing."""
+    names = (local, process, invariance)
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in names), F.lit(0.0)) / 3
+    return parts.withColumn("observation", F.when(F.coalesce(*names).isNotNull(), total))
+
+
+def labeled_source_loss(errors: DataFrame, case: str, error: str, true: str) -> DataFrame:
+    """``case``, ``loss``: the error of the true source set plus the mean softplus of its lead over each wrong one (0 without
+    wrong ones). A case needs exactly one true set."""
+    e = F.col(error)
+    best = errors.groupBy(case).agg(F.max(F.when(F.col(true), e)).alias("own"), F.count_if(F.col(true)).alias("__true"))
+    one = F.when(F.col("__true") == 1, F.col("own")).otherwise(F.raise_error(F.lit("a case needs one true source set")).cast("double"))
+    joined = errors.join(best.select(case, one.alias("own")), case)
+    return joined.groupBy(case).agg((F.max("own") + F.coalesce(F.avg(F.when(~F.col(true), softplus(F.col("own") - e))), F.lit(0.0))).alias("loss"))
+
+
+def epoch_report(losses: DataFrame, epoch: str, component: str, loss: str) -> DataFrame:
+    """``epoch``, ``component``, ``cases``, ``eligible`` (those with a loss) and the ``mean`` over these."""
+    return losses.groupBy(epoch, component).agg(F.count("*").alias("cases"), F.count(loss).alias("eligible"), F.avg(loss).alias("mean"))
+
+
+def repeated_ids(pairs: DataFrame, id: str) -> DataFrame:  # noqa: A002
+    """``id``, ``count`` of ids that occur more than once, which a comparison of representations must not have."""
+    return pairs.groupBy(id).count().where("count > 1")
+
+
+def completion_summary(masks: DataFrame, case: str, mask: str, error: str, true: str) -> DataFrame:
+    """One row: ``cases`` with an eligible mask, their mean ``gap``, the share of ``positive`` gaps, and ``ineligible`` (sorted ids
+    of the cases that have no mask with both a true and a wrong source; bounded by the evaluated pool)."""
+    gaps = completion_gap(masks, case, mask, error, true)
+    every = masks.select(case).distinct().join(gaps, case, "left")
+    return every.agg(
+        F.count("gap").alias("cases"), F.avg("gap").alias("gap"), F.avg(F.when(F.col("gap").isNotNull(), (F.col("gap") > 0).cast("double"))).alias("positive"),
+        F.array_sort(F.collect_list(F.when(F.col("gap").isNull(), F.col(case)))).alias("ineligible"),
+    )

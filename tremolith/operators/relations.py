@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolith.operators.observations import bin_index, is_active
+from tremolith.runtime import sharded
+
+#: A series with more readings is cut by position where windows run over it.
+SHARD_ROWS = 200_000
 
 
 def span_conflicts(spans: DataFrame, key: Sequence[str], payload: Sequence[str]) -> DataFrame:
@@ -15,10 +19,20 @@ def span_conflicts(spans: DataFrame, key: Sequence[str], payload: Sequence[str])
     return spans.groupBy(*key).agg(F.count("*").alias("copies"), F.countDistinct(F.struct(*payload)).alias("versions")).where("copies > 1")
 
 
-def distinct_spans(spans: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per span key, the least in ``order``; an aggregate, so that copies are combined before the shuffle."""
+def distinct_spans(spans: DataFrame, key: Sequence[str], order: Sequence[str], conflicts: str = "error") -> DataFrame:
+    """One row per span key; an aggregate, so that copies are combined before the shuffle.
+
+    Copies of one key must agree in all other columns. If they don't, the row fails, or with ``conflicts='least'`` the
+    least in ``order`` stands for them; :func:`span_conflicts` lists them.
+    """
+    if conflicts not in ("error", "least"):
+        raise ValueError("conflicts are an error or resolved to the least")
     rest = [c for c in spans.columns if c not in key and c not in order]
-    return spans.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("s")).select(*key, "s.*")
+    row = F.struct(*order, *rest)
+    out = spans.groupBy(*key).agg(F.min(row).alias("s"), F.max(row).alias("t"))
+    if conflicts == "error":
+        out = out.withColumn("s", F.when(F.col("s").eqNullSafe(F.col("t")), F.col("s")).otherwise(F.raise_error(F.lit("a span has copies that differ")).cast(out.schema["s"].dataType)))
+    return out.select(*key, "s.*")
 
 
 def parent_links(spans: DataFrame, *, trace: str = "trace", span: str = "span", parent: str = "parent", service: str = "service") -> DataFrame:
@@ -115,13 +129,16 @@ def radius_pool(logs: DataFrame, cases: DataFrame, value: str, delta: float, rad
     return near.groupBy("case_id", "owner", "bin").agg((F.sum(F.col(value) * F.col("frequency")) / F.sum("frequency")).alias("mean"), F.sum("frequency").alias("weight"))
 
 
-def context(samples: DataFrame, series: str, order: str, flag: str, reach: int) -> DataFrame:
-    """Adds ``elapsed`` (seconds since the reading before, 0 for the first) and ``context`` (any ``flag`` within ``reach`` positions)."""
-    w = Window.partitionBy(series).orderBy(order)
-    return samples.withColumns({
+def context(samples: DataFrame, series: str, order: str, flag: str, reach: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Adds ``elapsed`` (seconds since the reading before, 0 for the first) and ``context`` (any ``flag`` within ``reach``
+    positions). Series of more than ``shard_rows`` readings are cut by position, with a halo of ``reach`` readings."""
+    cut = sharded(samples, [series], [order], shard_rows, max(reach, 1))
+    w = Window.partitionBy(series, "__shard").orderBy(order)
+    seen = cut.withColumns({
         "elapsed": F.coalesce(F.col("time") - F.lag("time").over(w), F.lit(0.0)),
         "context": F.max(flag).over(w.rowsBetween(-reach, reach)),
     })
+    return seen.where("__core").drop("__shard", "__core")
 
 
 def population_difference(actual: DataFrame, frozen: DataFrame, key: str) -> DataFrame:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremolith.runtime import materialize
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+from tremolith.functions.vectors import dot, norm
+from tremolith.runtime import before_and_total, discard, materialize
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -29,40 +27,74 @@ def occurrence_weights(tokens: DataFrame) -> DataFrame:
     return tokens.join(scaled.select("case_id", "family", (1.0 / (F.col("families") * F.col("cases") * F.col("own"))).alias("weight")), ["case_id", "family"])
 
 
-def case_maxima(occurrences: DataFrame, candidates: DataFrame, kind: str | None = None, block: int = 512) -> DataFrame:
-    """``occurrence``, ``case_id``, ``similarity``: the largest similarity of every occurrence to a case's tokens.
+def symptom_tokens(tokens: DataFrame) -> DataFrame:
+    """``case_id``, ``kind``, ``provenance``, ``vec`` of the tokens that count: observed, finite, of a length above 1e-12;
+    once per provenance, at unit length.
 
-    The occurrences are a stated query set against all candidates. Both sides are packed into blocks of vectors (of one
-    ``kind``, if given), blocks are paired, and each pair is one matrix product in an Arrow batch that emits only a maximum
-    per occurrence and case; these are combined before the shuffle.
+    ``tokens``: case_id, kind, provenance, vec and observed (null counts as true). Copies of one provenance whose vectors
+    differ are an error.
     """
-    import numpy as np
-    import pandas as pd
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = tokens.where(F.coalesce("observed", F.lit(True))).select("case_id", "kind", "provenance", F.col("vec").cast("array<double>").alias("v"))
+    rows = rows.where(finite & (norm(F.col("v")) > 1e-12))
+    once = rows.groupBy("case_id", "kind", "provenance").agg(F.min("v").alias("v"), F.max("v").alias("w"))
+    same = F.when(F.col("v") == F.col("w"), F.col("v")).otherwise(F.raise_error(F.lit("one provenance has two vectors")).cast("array<double>"))
+    unit = once.select("case_id", "kind", "provenance", same.alias("v"))
+    return unit.select("case_id", "kind", "provenance", F.transform("v", lambda x: x / norm(F.col("v"))).alias("vec"))
+
 
-    def packed(df: DataFrame, id: str, name: str) -> tuple[DataFrame, int]:  # noqa: A002
-        blocks = max(1, -(-df.count() // block))
-        kinds = F.col(kind).cast("string") if kind else F.lit("")
-        rows = df.select(F.col(id).cast("string").alias("i"), F.col("case_id").alias("c"), F.col("vec").cast("array<double>").alias("v"), kinds.alias("kind"))
-        rows = rows.withColumn(f"{name}_block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-        return rows.groupBy("kind", f"{name}_block").agg(F.collect_list(F.struct("i", "c", "v")).alias(name)), blocks
+def _packed(df: DataFrame, id: str, kind: Column, block: int) -> DataFrame:  # noqa: A002
+    """Rows packed into blocks of at most ``block`` vectors of one kind: ``kind``, ``ids``, ``cases``, ``vecs`` (all vectors one
+    after the other), ``width``. Each partition packs its own rows as they come, so nothing is shuffled or counted."""
+    rows = df.select(kind.alias("kind"), F.col(id).cast("string").alias("i"), F.col("case_id").cast("string").alias("c"), F.col("vec").cast("array<double>").alias("v"))
 
-    left, _ = packed(occurrences, "occurrence", "o")
-    right, blocks = packed(candidates, "token", "t")
-    # every occurrence block meets every candidate block of its kind, one task per candidate block
-    pairs = left.withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(right, ["kind", "t_block"])
+    def pack(batches):
+        held: dict[str, list] = {}
+
+        def block_of(k, rows):
+            return pd.DataFrame({"kind": [k], "ids": [[r[0] for r in rows]], "cases": [[r[1] for r in rows]], "vecs": [np.concatenate([r[2] for r in rows])], "width": [len(rows[0][2])]})
+
+        for frame in batches:
+            for k, i, c, v in zip(frame["kind"], frame["i"], frame["c"], frame["v"]):
+                mine = held.setdefault(k, [])
+                mine.append((i, c, v))
+                if len(mine) == block:
+                    yield block_of(k, held.pop(k))
+        for k, mine in held.items():
+            yield block_of(k, mine)
+
+    return rows.mapInPandas(pack, "kind string, ids array<string>, cases array<string>, vecs array<double>, width int")
+
+
+def case_maxima(occurrences: DataFrame, candidates: DataFrame, kind: str | None = None, block: int = 512, chunks: int | None = None) -> DataFrame:
+    """``occurrence``, ``case_id``, ``similarity``: the largest similarity of every occurrence to a case's tokens.
+
+    The occurrences are a stated query set (``occurrence``, ``case_id``, ``vec``) against all candidates (``token``,
+    ``case_id``, ``vec``), both of unit length. Candidates are packed into blocks of at most ``block`` vectors (of one
+    ``kind``, if given) and written once; query blocks meet them by the number of a chunk: candidates are dealt to
+    ``chunks`` (twice the cores, if not given), and each query block goes to every chunk of its kind. A pair of blocks is
+    one matrix product that emits only a maximum per occurrence and case, combined before the shuffle. All queries meet
+    all candidates; nothing is cut.
+    """
+    kinds = F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind else F.lit("")
+    chunks = chunks or 2 * candidates.sparkSession.sparkContext.defaultParallelism
+    deal = F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int")
+    right = materialize(_packed(candidates, "token", kinds, block).withColumn("chunk", deal), "candidate-blocks")
+    left = _packed(occurrences, "occurrence", kinds, block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    named = lambda df, p: df.select("kind", "chunk", *(F.col(c).alias(f"{p}_{c}") for c in ("ids", "cases", "vecs", "width")))
+    pairs = named(left, "q").join(named(right, "t"), ["kind", "chunk"])
 
     def products(batches):
         for frame in batches:
-            for o, t in zip(frame["o"], frame["t"]):
-                left, right = np.stack([r["v"] for r in o]), np.stack([r["v"] for r in t])
-                s = np.clip((1 + left @ right.T) / 2, 0, 1)
-                cases, where = np.unique([r["c"] for r in t], return_inverse=True)
-                best = np.zeros((len(o), len(cases)))
-                for j in range(len(cases)):
-                    best[:, j] = s[:, where == j].max(axis=1)
-                yield pd.DataFrame({"occurrence": np.repeat([r["i"] for r in o], len(cases)), "case_id": np.tile(cases, len(o)), "similarity": best.ravel()})
+            for qi, qv, qw, tc, tv, tw in zip(frame["q_ids"], frame["q_vecs"], frame["q_width"], frame["t_cases"], frame["t_vecs"], frame["t_width"]):
+                s = np.clip((1 + np.asarray(qv).reshape(-1, qw) @ np.asarray(tv).reshape(-1, tw).T) / 2, 0, 1)
+                cases, where = np.unique(np.asarray(tc, dtype=str), return_inverse=True)
+                order = np.argsort(where, kind="stable")
+                best = np.maximum.reduceat(s[:, order], np.searchsorted(where[order], np.arange(len(cases))), axis=1)
+                yield pd.DataFrame({"occurrence": np.repeat(qi, len(cases)), "case_id": np.tile(cases, len(qi)), "similarity": best.ravel()})
 
-    return pairs.mapInPandas(products, "occurrence string, case_id string, similarity double").groupBy("occurrence", "case_id").agg(F.max("similarity").alias("similarity"))
+    found = pairs.mapInPandas(products, "occurrence string, case_id string, similarity double")
+    return found.groupBy("occurrence", "case_id").agg(F.max("similarity").alias("similarity"))
 
 
 def greedy_cover(spark: SparkSession, maxima: DataFrame, weights: DataFrame, priority: DataFrame, count: int, labeled: Sequence[str] = ()) -> DataFrame:
@@ -88,7 +120,8 @@ def greedy_cover(spark: SparkSession, maxima: DataFrame, weights: DataFrame, pri
         steps.append((step, best["case_id"], float(best["gain"])))
         pool = pool.where(F.col("case_id") != best["case_id"])
         chosen = maxima.where(F.col("case_id") == best["case_id"]).select("occurrence", "similarity")
-        base = materialize(base.join(chosen, "occurrence", "left").select("occurrence", F.greatest("base", F.coalesce("similarity", F.lit(0.0))).alias("base")), "base")
+        last, base = base, materialize(base.join(chosen, "occurrence", "left").select("occurrence", F.greatest("base", F.coalesce("similarity", F.lit(0.0))).alias("base")), "base")
+        discard(last)
     return spark.createDataFrame(steps, "step int, case_id string, gain double")
 
 
@@ -124,12 +157,11 @@ def time_spread(spark: SparkSession, cases: DataFrame, time: str, priority: str,
     bounds = cases.where(ok).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     lo, width = bounds["lo"] or 0.0, (bounds["hi"] or 0.0) - (bounds["lo"] or 0.0)
     scaled = materialize(cases.select("case_id", F.col(priority).alias("p"), F.when(ok, (t - lo) / width if width > 0 else F.lit(0.0)).alias("x")), "times")
-    # sum over all of |x - y| at x, from counts per value; distinct times, in one ordered pass
-    values = scaled.where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    sums = values.withColumns({"cn": F.sum("n").over(w), "cx": F.sum(F.col("n") * F.col("x")).over(w)})
-    whole = values.agg(F.sum("n").alias("tn"), F.sum(F.col("n") * F.col("x")).alias("tx"))
-    spread = sums.crossJoin(F.broadcast(whole)).select("x", (F.col("x") * F.col("cn") - F.col("cx") + F.col("tx") - F.col("cx") - F.col("x") * (F.col("tn") - F.col("cn"))).alias("cost"))  # one row
+    # sum over all of |x - y| at x, from counts per value and their running sums
+    values = scaled.where("x is not null").groupBy("x").agg(F.count("*").alias("n")).withColumn("nx", F.col("n") * F.col("x"))
+    sums = before_and_total(values, ["x"], ["n", "nx"])
+    right = F.col("nx_total") - F.col("nx_upto") - F.col("x") * (F.col("n_total") - F.col("n_upto"))
+    spread = sums.select("x", (F.col("x") * F.col("n_upto") - F.col("nx_upto") + right).alias("cost"))
     steps, picked = [], []
     pool = scaled
     for step in range(count):

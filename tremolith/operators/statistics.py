@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolith.runtime import materialize
+from tremolith.runtime import materialize, sharded
 
 #: Buckets per doubling of a value; a bucket's width is 0.004 % of its values.
 PER_OCTAVE = 16_384
@@ -81,16 +81,19 @@ def robust_scale(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return quartiles.join(deviation.select(*groups, "mad"), groups).join(spread, groups).select(*groups, "center", checked.alias("scale"), F.col("n").alias("observations"))
 
 
-def grid_interval(df: DataFrame, series: str, time: str, order: str, least: int = 3) -> DataFrame:
+def grid_interval(df: DataFrame, series: str, time: str, order: str, least: int = 3, shard_rows: int = 200_000) -> DataFrame:
     """One row: ``delta``, the median over series of the median positive step of their times, and the ``series`` counted.
-    Series of fewer than ``least`` readings don't count. No such series gives null."""
-    w = Window.partitionBy(series)
-    steps = (
-        df.select(series, F.col(time).alias("t"), order)
-        .withColumns({"step": F.col("t") - F.lag("t").over(w.orderBy("t", order)), "members": F.count("*").over(w)})
-        .where((F.col("members") >= least) & (F.col("step") > 0))
-    )
-    each = exact_percentiles(steps, [series], "step", {"p": 0.5})
+    Series of fewer than ``least`` readings don't count. No such series gives null. Series of more than ``shard_rows``
+    readings are cut by position."""
+    rows = df.select(series, F.col(time).alias("t"), F.col(order).alias("o"))
+    cut = sharded(rows, [series], ["t", "o"], shard_rows, 1)
+    step = F.col("t") - F.lag("t").over(Window.partitionBy(series, "__shard").orderBy("t", "o"))
+    # one reading more than its steps, whether positive or not
+    steps = cut.withColumn("step", step).where(F.col("__core"))
+    counted = value_counts(steps.withColumn("step", F.when(F.col("step") > 0, F.col("step")).otherwise(float("-inf"))), [series], "step")
+    counted = materialize(counted, "steps")
+    enough = counted.groupBy(series).agg(F.sum("c").alias("members")).where(F.col("members") >= least).select(series)
+    each = counted_percentiles(counted.where(F.col("v") > 0).join(enough, series, "left_semi"), [series], {"p": 0.5})
     return exact_percentiles(each.withColumn("__all", F.lit(1)), ["__all"], "p", {"delta": 0.5}).select("delta", F.col("n").alias("series"))
 
 

@@ -8,7 +8,7 @@ from tremolith.operators import cases as case_tables
 from tremolith.operators import fragments, protocol, selection, statistics
 from tremolith.operators import observations as obs
 from tremolith.plans.reference import _BASE, EVENT_DELTA, _pool, _scaled, cases, entities, logs, samples
-from tremolith.runtime import materialize, table
+from tremolith.runtime import materialize, numbered, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,7 +35,7 @@ links AS (SELECT DISTINCT r.case_id, r.id AS relation, coalesce(r.owner, r.id) A
   WHERE a.event <> b.event AND abs(a.bin - b.bin) <= 9 AND len(list_filter(CASE WHEN len(r.active_intervals) > 0 THEN r.active_intervals ELSE [{'a': r.start_time, 'b': r.end_time}] END,
     lambda i: CASE WHEN i.a = i.b THEN least(a.st, b.st) <= i.a AND i.a < greatest(a.en, b.en) ELSE i.a < greatest(a.en, b.en) AND i.b > least(a.st, b.st) END)) > 0),
 good AS (SELECT * FROM links WHERE NOT te < ss AND NOT ts - se > 7200),
-g AS (SELECT *, row_number() OVER (ORDER BY case_id, source, target, relation, owner, response) AS edge FROM good)
+g AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY source, target, relation, owner, response) AS edge FROM good)
 """
 
 
@@ -103,18 +103,29 @@ def anchor_family_counts(spark, sf):
     return fragments.anchor_counts(fragments.fragments(_eligible(spark, sf)))
 
 
-@query()
+@query(_FRAGMENTS + """, a AS (SELECT DISTINCT k.case_id, k.family, e.entity AS anchor, array_to_string(k.es, ',') AS key FROM k JOIN e USING (case_id, es)),
+b AS (SELECT *, row_number() OVER (PARTITION BY case_id, anchor, family ORDER BY sha256('0|' || case_id || '|' || anchor || '|' || key), key) AS turn FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY case_id, anchor ORDER BY turn, sha256('0|' || case_id || '|' || anchor || '|' || turn || '|' || family), family) AS place FROM b WHERE turn <= 8),
+kept AS (SELECT DISTINCT case_id, family, key FROM c WHERE place <= 8),
+h AS (SELECT *, row_number() OVER (PARTITION BY case_id, family ORDER BY sha256('0:' || case_id || ':' || key), key) AS turn FROM kept),
+q AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY turn, family) AS place FROM h WHERE turn <= 128)
+SELECT case_id, key AS edges, family, turn, place FROM q WHERE place <= 128""")
 def fragment_balanced_sample(spark, sf):
-    return fragments.balanced_sample(fragments.anchor_sample(fragments.fragments(_eligible(spark, sf))), cap=128)
+    found = fragments.balanced_sample(fragments.anchor_sample(fragments.fragments(_eligible(spark, sf))), cap=128)
+    edges = F.concat_ws(",", F.transform("edges", lambda e: e.cast("string"))).alias("edges")
+    return found.select("case_id", edges, "family", F.col("turn").cast("bigint").alias("turn"), F.col("place").cast("bigint").alias("place"))
 
 
 # --- vectors and selection -------------------------------------------------------------------------------------------
 
-_TOKENS = """
-WITH t AS (SELECT 'case-' || lpad(CAST(vec_id % 40 AS VARCHAR), 2, '0') AS case_id, CAST(vec_id AS VARCHAR) AS token, CAST(label % 5 AS VARCHAR) AS family, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+#: The query set of similarities is the tokens whose number is divisible by this; all tokens are candidates.
+REFERENCE = 100
+
+_TOKENS = f"""
+WITH t AS (SELECT 'case-' || lpad(CAST(vec_id % 40 AS VARCHAR), 2, '0') AS case_id, CAST(vec_id AS VARCHAR) AS token, CAST(label % 5 AS VARCHAR) AS family, CAST(embedding AS DOUBLE[]) AS vec, vec_id % {REFERENCE} = 0 AS asked FROM embeddings),
 c AS (SELECT case_id, family, count(*) AS own FROM t GROUP BY ALL), f AS (SELECT family, count(*) AS n FROM c GROUP BY ALL),
 w AS (SELECT t.*, 1.0 / ((SELECT count(*) FROM f) * f.n * c.own) AS weight FROM t JOIN c USING (case_id, family) JOIN f USING (family)),
-o AS (SELECT token AS occurrence, family, vec, weight FROM w),
+o AS (SELECT token AS occurrence, family, vec, weight FROM w WHERE asked),
 m AS (SELECT o.occurrence, t.case_id, max(least(greatest((1 + list_dot_product(o.vec, t.vec)) / 2, 0), 1)) AS similarity FROM o, t GROUP BY ALL)
 """
 
@@ -124,21 +135,44 @@ def _tokens(spark, sf):
     return table(spark, sf, "embeddings").select(case.alias("case_id"), F.col("vec_id").cast("string").alias("token"), (F.col("label") % 5).cast("string").alias("family"), F.col("embedding").alias("vec"))
 
 
+def _asked(tokens):
+    return tokens.where(F.col("token").cast("bigint") % REFERENCE == 0).withColumnRenamed("token", "occurrence")
+
+
 def _weights(spark, sf):
-    return selection.occurrence_weights(_tokens(spark, sf)).select(F.col("token").alias("occurrence"), "weight")
+    return _asked(selection.occurrence_weights(_tokens(spark, sf))).select("occurrence", "weight")
 
 
 def _maxima(spark, sf):
     tokens = _tokens(spark, sf)
-    return selection.case_maxima(tokens.withColumnRenamed("token", "occurrence"), tokens)
+    return selection.case_maxima(_asked(tokens), tokens)
 
 
 def _priority(spark, sf):
-    from pyspark.sql import Window
-
     ids = _tokens(spark, sf).select("case_id").distinct()
     order = protocol.hash_priority(F.col("case_id"), protocol.substream("vectors", "priority", 1))
-    return ids.withColumn("priority", F.row_number().over(Window.orderBy(order, "case_id")).cast("double"))
+    return numbered(ids.withColumn("o", order), ["o", "case_id"], "priority").select("case_id", F.col("priority").cast("double").alias("priority"))
+
+
+# what the frontend would give: vectors of any length, some unobserved, some delivered twice
+_SYMPTOMS = f"""
+WITH raw AS (SELECT 'case-' || lpad(CAST(vec_id % 40 AS VARCHAR), 2, '0') AS case_id, vec_id, CASE WHEN label % 2 = 0 THEN 'node' ELSE 'edge' END AS kind,
+  list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN vec_id % 11 = 5 THEN 0.0 ELSE x * (1 + label) END) AS vec FROM embeddings WHERE vec_id % 7 <> 3),
+t AS (SELECT case_id, CAST(vec_id AS VARCHAR) AS token, kind AS family, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec, vec_id % {REFERENCE} = 0 AS asked FROM raw WHERE list_dot_product(vec, vec) > 0),
+c AS (SELECT case_id, family, count(*) AS own FROM t GROUP BY ALL), f AS (SELECT family, count(*) AS n FROM c GROUP BY ALL),
+o AS (SELECT token AS occurrence, family, vec, 1.0 / ((SELECT count(*) FROM f) * f.n * c.own) AS weight FROM t JOIN c USING (case_id, family) JOIN f USING (family) WHERE asked),
+m AS (SELECT o.occurrence, t.case_id, max(least(greatest((1 + list_dot_product(o.vec, t.vec)) / 2, 0), 1)) AS similarity FROM o JOIN t USING (family) GROUP BY ALL)
+"""
+
+
+def _symptoms(spark, sf):
+    case = F.concat(F.lit("case-"), F.lpad((F.col("vec_id") % 40).cast("string"), 2, "0"))
+    scaled = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 11 == 5, 0.0).otherwise(x.cast("double") * (1 + F.col("label"))))
+    raw = table(spark, sf, "embeddings").select(
+        case.alias("case_id"), F.when(F.col("label") % 2 == 0, "node").otherwise("edge").alias("kind"), F.col("vec_id").cast("string").alias("provenance"), scaled.alias("vec"), (F.col("vec_id") % 7 != 3).alias("observed")
+    )
+    twice = raw.unionByName(raw.where(F.col("provenance").endswith("1")))
+    return selection.symptom_tokens(twice).withColumnsRenamed({"provenance": "token", "kind": "family"})
 
 
 @query(_TOKENS + "SELECT token, case_id, family, round(weight, 12) AS weight FROM w")
@@ -151,10 +185,10 @@ def token_case_max_similarity(spark, sf):
     return _maxima(spark, sf).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_TOKENS + "SELECT o.occurrence, t.case_id, round(max(least(greatest((1 + list_dot_product(o.vec, t.vec)) / 2, 0), 1)), 6) AS similarity FROM o JOIN t USING (family) GROUP BY ALL")
+@query(_SYMPTOMS + "SELECT occurrence, case_id, round(similarity, 6) AS similarity FROM m")
 def symptom_max_similarity(spark, sf):
-    tokens = _tokens(spark, sf)
-    return selection.case_maxima(tokens.withColumnRenamed("token", "occurrence"), tokens, kind="family").withColumn("similarity", F.round("similarity", 6))
+    tokens = materialize(_symptoms(spark, sf), "symptoms")
+    return selection.case_maxima(_asked(tokens), tokens, kind="family").withColumn("similarity", F.round("similarity", 6))
 
 
 @query(_TOKENS + "SELECT case_id, round(sum(weight * similarity), 6) AS coverage FROM m JOIN o USING (occurrence) GROUP BY case_id")
@@ -163,17 +197,34 @@ def coverage_by_case(spark, sf):
     return joined.groupBy("case_id").agg(F.round(F.sum(F.col("weight") * F.col("similarity")), 6).alias("coverage"))
 
 
-@query()
+def _greedy_sql(steps: int) -> str:
+    """Greedy cover over m and o, written out step by step."""
+    order = """sha256('{"case_id":"' || case_id || '","substream_seed":"' || sha256('{"dataset":"vectors","purpose":"priority","schema":"tremolith/partition/1","seed":1}') || '"}')"""
+    out = f", pr AS (SELECT case_id, row_number() OVER (ORDER BY {order}, case_id) AS p FROM (SELECT DISTINCT case_id FROM t)), b0 AS (SELECT occurrence, weight, 0.0 AS base FROM o)"
+    taken = "SELECT NULL AS case_id"
+    for k in range(steps):
+        out += f""", g{k} AS (SELECT pr.case_id, pr.p, coalesce(x.gain, 0) AS gain FROM pr LEFT JOIN
+  (SELECT m.case_id, sum(b.weight * greatest(m.similarity - b.base, 0)) AS gain FROM m JOIN b{k} b USING (occurrence) GROUP BY m.case_id) x USING (case_id)
+  WHERE pr.case_id NOT IN (SELECT case_id FROM ({taken}) WHERE case_id IS NOT NULL)),
+s{k} AS (SELECT case_id, gain FROM g{k} ORDER BY round(gain, 12) DESC, p LIMIT 1),
+b{k + 1} AS (SELECT b.occurrence, b.weight, greatest(b.base, coalesce(m.similarity, 0)) AS base FROM b{k} b LEFT JOIN m ON m.occurrence = b.occurrence AND m.case_id = (SELECT case_id FROM s{k}))"""
+        taken += f" UNION ALL SELECT case_id FROM s{k}"
+    return out + " " + " UNION ALL ".join(f"SELECT {k} AS step, case_id, round(gain, 6) AS gain FROM s{k}" for k in range(steps))
+
+
+@query(_TOKENS + _greedy_sql(3))
 def propcover_round(spark, sf):
     maxima = materialize(_maxima(spark, sf), "maxima")
     return selection.greedy_cover(spark, maxima, materialize(_weights(spark, sf), "weights"), _priority(spark, sf), 3).withColumn("gain", F.round("gain", 6))
 
 
-@query()
+@query(_SYMPTOMS + _greedy_sql(3))
 def symptom_cover_round(spark, sf):
-    tokens = _tokens(spark, sf)
-    maxima = materialize(selection.case_maxima(tokens.withColumnRenamed("token", "occurrence"), tokens, kind="family"), "maxima")
-    return selection.greedy_cover(spark, maxima, materialize(_weights(spark, sf), "weights"), _priority(spark, sf), 3).withColumn("gain", F.round("gain", 6))
+    tokens = materialize(_symptoms(spark, sf), "symptoms")
+    maxima = materialize(selection.case_maxima(_asked(tokens), tokens, kind="family"), "maxima")
+    weights = materialize(_asked(selection.occurrence_weights(tokens)).select("occurrence", "weight"), "weights")
+    priority = _priority(spark, sf).join(tokens.select("case_id").distinct(), "case_id", "left_semi")
+    return selection.greedy_cover(spark, maxima, weights, priority, 3).withColumn("gain", F.round("gain", 6))
 
 
 _POOLED = _TOKENS + """, x AS (SELECT case_id, unnest(vec) AS v, unnest(range(len(vec))) AS i FROM t), a AS (SELECT case_id, i, avg(v) AS v FROM x GROUP BY ALL),
@@ -196,6 +247,24 @@ def medoid_assignments(spark, sf):
 
 
 @query()
+def pooled_medoids(spark, sf):
+    vectors = selection.pooled_vectors(_tokens(spark, sf)).withColumn("priority", F.substring("case_id", 6, 2).cast("int"))
+    return case_tables.pooled_medoids(vectors, 3, locked=["case-03"]).withColumn("cost", F.round("cost", 6))
+
+
+def _spread_sql(steps: int) -> str:
+    out = """
+WITH c AS (SELECT DISTINCT case_id, incident_start FROM incident_case),
+t AS (SELECT case_id, (incident_start - (SELECT min(incident_start) FROM c)) / (SELECT max(incident_start) - min(incident_start) FROM c) AS x, CAST(CAST('0x' || substr(sha256(case_id), 1, 12) AS BIGINT) AS DOUBLE) AS p FROM c),
+s0 AS (SELECT case_id, x, 0.0 AS gain FROM t ORDER BY round((SELECT sum(abs(t.x - u.x)) FROM t u), 9), p LIMIT 1)"""
+    picked = "SELECT case_id, x FROM s0"
+    for k in range(1, steps):
+        out += f", s{k} AS (SELECT case_id, x, gain FROM (SELECT t.*, (SELECT min(abs(t.x - q.x)) FROM ({picked}) q) AS gain FROM t WHERE case_id NOT IN (SELECT case_id FROM ({picked}))) ORDER BY round(gain, 12) DESC, p LIMIT 1)"
+        picked += f" UNION ALL SELECT case_id, x FROM s{k}"
+    return out + " " + " UNION ALL ".join(f"SELECT {k} AS step, case_id, round(gain, 6) AS gain FROM s{k}" for k in range(steps))
+
+
+@query(_spread_sql(5))
 def time_spread(spark, sf):
     order = F.sha2(F.col("case_id"), 256)
     return selection.time_spread(spark, cases(spark, sf).withColumn("p", F.conv(F.substring(order, 1, 12), 16, 10).cast("double")), "incident_start", "p", 5).withColumn("gain", F.round("gain", 6))
@@ -221,11 +290,16 @@ hits AS (SELECT case_id, count(*) FILTER (is_root) AS roots, min(rank) FILTER (i
 
 
 def _ranked(spark, sf):
-    z = _scaled(spark, sf).where("supported and time >= incident_start and time < incident_end")
-    scores = z.groupBy("case_id", F.col("owner").alias("entity")).agg(F.max(F.abs("z")).alias("score"))
+    """Candidates ranked by their largest |z|, which the extremes of each channel give, as z grows with the value."""
+    s = materialize(samples(spark, sf).where("observed").select("case_id", "owner", "category", "channel", "time", "value", "reference_start", "incident_start", "incident_end"), "observed")
+    stats = statistics.robust_scale(s.where("time >= reference_start and time < incident_start"), ["category", "channel"], "value")
+    ends = s.where("time >= incident_start and time < incident_end").groupBy("case_id", "owner", "category", "channel").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    z = lambda c: obs.standardised(F.col(c), F.col("center"), F.col("scale"))
+    far = ends.join(stats, ["category", "channel"]).where(z("lo")[1]).withColumn("far", F.greatest(F.abs(z("lo")[0]), F.abs(z("hi")[0])))
+    scores = far.groupBy("case_id", F.col("owner").alias("entity")).agg(F.max("far").alias("score"))
     candidates = entities(spark, sf).where("candidate").select("case_id", F.col("id").alias("entity"))
     full = candidates.join(scores, ["case_id", "entity"], "left").select("case_id", "entity", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
-    return selection.ranking(full), candidates
+    return materialize(selection.ranking(full), "ranked"), candidates
 
 
 def _marked(spark, sf):
@@ -317,10 +391,8 @@ _ORDERED = """sha256('{"case_id":"' || case_id || '","substream_seed":"' || %s |
 
 @query(f"SELECT case_id, row_number() OVER (ORDER BY {_ORDERED % (_STREAM % 'reserve')}, case_id) AS place FROM (SELECT DISTINCT case_id FROM incident_case)")
 def hash_priority_order(spark, sf):
-    from pyspark.sql import Window
-
     p = protocol.hash_priority(F.col("case_id"), protocol.substream("incidents", "reserve", 7))
-    return cases(spark, sf).select("case_id").withColumn("place", F.row_number().over(Window.orderBy(p, "case_id")).cast("bigint"))
+    return numbered(cases(spark, sf).select("case_id").withColumn("p", p), ["p", "case_id"]).select("case_id", "place")
 
 
 @query(f"""WITH c AS (SELECT DISTINCT case_id FROM incident_case), a AS (SELECT case_id, row_number() OVER (ORDER BY {_ORDERED % (_STREAM % 'reserve')}, case_id) AS place FROM c)
@@ -393,23 +465,23 @@ def root_cardinality(spark, sf):
 
 
 def _attempts(spark, sf):
-    """Attempts in order of time of all log records, a ledger for each case and owner; the SQL has the gateway's only."""
+    """Attempts in order of time of all log records, a ledger for each case and owner."""
     return logs(spark, sf).select("case_id", "owner", F.col("log_id").alias("attempt"), F.pmod("log_id", F.lit(7)).alias("item"), (F.pmod("log_id", F.lit(3)) == 0).alias("failed"), (F.pmod("log_id", F.lit(11)) == 0).alias("hit"))
 
 
-_ATTEMPTS = _BASE + """, att AS (SELECT case_id, log_id AS attempt, log_id % 7 AS item, log_id % 3 = 0 AS failed, log_id % 11 = 0 AS hit FROM logs WHERE owner = 'service:gateway'),
-ret AS (SELECT *, max(CASE WHEN failed THEN attempt END) OVER (PARTITION BY case_id, item ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS retry_of FROM att)
+_ATTEMPTS = _BASE + """, att AS (SELECT case_id, owner, log_id AS attempt, log_id % 7 AS item, log_id % 3 = 0 AS failed, log_id % 11 = 0 AS hit FROM logs),
+ret AS (SELECT *, max(CASE WHEN failed THEN attempt END) OVER (PARTITION BY case_id, owner, item ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS retry_of FROM att)
 """
 
 
-@query(_ATTEMPTS + "SELECT case_id, attempt, coalesce(retry_of, -1) AS retry_of FROM ret")
+@query(_ATTEMPTS + "SELECT case_id, owner, attempt, coalesce(retry_of, -1) AS retry_of FROM ret")
 def retry_links(spark, sf):
     found = case_tables.retry_links(_attempts(spark, sf), ["case_id", "owner"], "attempt", "item", "failed")
     return found.select("case_id", "owner", "attempt", F.coalesce("retry_of", F.lit(-1)).cast("bigint").alias("retry_of"))
 
 
-@query(_ATTEMPTS + """SELECT case_id, count(*) AS attempts, count(DISTINCT item) AS cases, count(*) FILTER (failed) AS errors, count(retry_of) AS retries,
-coalesce(min(CASE WHEN hit THEN attempt END), -1) AS first_hit FROM ret GROUP BY case_id""")
+@query(_ATTEMPTS + """SELECT case_id, owner, count(*) AS attempts, count(DISTINCT item) AS cases, count(*) FILTER (failed) AS errors, count(retry_of) AS retries,
+coalesce(min(CASE WHEN hit THEN attempt END), -1) AS first_hit FROM ret GROUP BY case_id, owner""")
 def ledger_summary(spark, sf):
     found = case_tables.ledger_summary(_attempts(spark, sf), ["case_id", "owner"], "attempt", "item", "failed", "hit")
     return found.withColumn("first_hit", F.coalesce("first_hit", F.lit(-1)).cast("bigint"))
@@ -430,29 +502,42 @@ def random_select(spark, sf):
     return case_tables.first_by_priority(pool, pool.where(F.substring("case_id", -1, 1) == "3"), 5).select("case_id")
 
 
-_BLOCK_Z = """, b AS (SELECT case_id, owner, channel, max(z) AS z, sha256('0|' || case_id || '|' || owner || '|' || channel) AS o, count(*) OVER (PARTITION BY case_id) AS n FROM z WHERE supported AND time >= incident_start AND time < incident_end GROUP BY case_id, owner, channel),
+_BLOCK_Z = """, st AS (SELECT series_id, time - lag(time) OVER (PARTITION BY series_id ORDER BY time, seq) AS step, count(*) OVER (PARTITION BY series_id) AS n FROM pool),
+md AS (SELECT series_id, median(step) AS p FROM st WHERE n >= 3 AND step > 0 GROUP BY 1), dl AS (SELECT median(p) AS delta FROM md),
+rd AS (SELECT case_id, CASE WHEN modality = 'metric' THEN 'node' ELSE 'edge' END AS unit, owner, CAST(floor((time - reference_start) / delta) AS BIGINT) AS bin, abs(z) > 1 AS moved
+  FROM z, dl WHERE supported AND time >= reference_start AND time < incident_end
+  UNION ALL SELECT l.case_id, 'node', l.owner, CAST(floor((l.time - c.reference_start) / delta) AS BIGINT), false FROM logs l JOIN cases c USING (case_id), dl WHERE l.time >= c.reference_start AND l.time < c.incident_end),
+bl AS (SELECT case_id, unit, owner, bin, bool_or(moved) AS moved FROM rd GROUP BY ALL),
+b AS (SELECT *, sha256(concat_ws('|', '0', case_id, unit, owner, bin)) AS o, count(*) OVER (PARTITION BY case_id) AS n FROM bl),
 t AS (SELECT *, CAST(ceil(n * 0.2) AS BIGINT) AS take, row_number() OVER (PARTITION BY case_id ORDER BY o) AS r FROM b WHERE n >= 2),
-q AS (SELECT *, r <= take // 2 AS uni FROM t), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY uni DESC, (abs(z) > 1) DESC, o) AS rest FROM q)
+q AS (SELECT *, r <= take // 2 AS uni FROM t), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY uni DESC, moved DESC, o) AS rest FROM q)
 """
 
 
-@query(_BASE + _BLOCK_Z + "SELECT case_id, owner, channel, CASE WHEN uni THEN 'uniform' WHEN abs(z) > 1 THEN 'response' ELSE 'fill' END AS reason FROM w WHERE rest <= take")
+@query(_BASE + _BLOCK_Z + "SELECT case_id, unit, owner, bin, CASE WHEN uni THEN 'uniform' WHEN moved THEN 'response' ELSE 'fill' END AS reason FROM w WHERE rest <= take")
 def mask_block_sample(spark, sf):
-    """Blocks are (unit, owner, bin of the grid interval) over the whole case, with those of logs; the SQL has other, fewer blocks."""
-    grid = statistics.grid_interval(_pool(samples(spark, sf)), "series_id", "time", "seq").select("delta")
+    """Blocks are (unit, owner, bin of the grid interval) over the whole case, with those of logs."""
+    scaled = _scaled(spark, sf)
+    grid = materialize(statistics.grid_interval(_pool(scaled), "series_id", "time", "seq").select("delta"), "grid")
     at = obs.bin_index(F.col("time"), F.col("reference_start"), F.col("delta")).cast("bigint").alias("bin")
     visible = "time >= reference_start and time < incident_end"
     unit = F.when(F.col("modality") == "metric", "node").otherwise("edge").alias("unit")
-    read = _scaled(spark, sf).where("supported").where(visible).crossJoin(grid).select("case_id", unit, "owner", at, F.abs("z").alias("z"))
+    read = scaled.where("supported").where(visible).crossJoin(grid).select("case_id", unit, "owner", at, F.abs("z").alias("z"))
     window = cases(spark, sf).select("case_id", "reference_start", "incident_end")
     said = logs(spark, sf).join(window, "case_id").where(visible).crossJoin(grid).select("case_id", F.lit("node").alias("unit"), "owner", at, F.lit(0.0).alias("z"))
     blocks = read.unionByName(said).groupBy("case_id", "unit", "owner", "bin").agg(F.max("z").alias("z"))
     return case_tables.mask_blocks(blocks, "case_id", ["unit", "owner", "bin"], "z")
 
 
-@query(_RANKED + """, top AS (SELECT case_id, list(entity ORDER BY rank) AS o FROM ranked WHERE rank <= 9 GROUP BY case_id),
-one AS (SELECT case_id, [unnest(o[1:8])] AS s FROM top), pre AS (SELECT case_id, list_sort(o[1:k.k]) AS s FROM top, unnest(range(2, 10)) AS k(k) WHERE k.k <= len(o))
-SELECT DISTINCT case_id, array_to_string(s, ',') AS sources FROM (SELECT * FROM one UNION ALL SELECT * FROM pre)""")
+@query(_RANKED + """, top AS (SELECT case_id, list(entity ORDER BY rank) AS o, list(entity ORDER BY entity) AS names, count(*) AS n FROM ranked GROUP BY case_id),
+one AS (SELECT case_id, [unnest(names)] AS s FROM top),
+heads AS (SELECT case_id, k.k - 1000 AS pos, list_sort(o[1:k.k]) AS s FROM top, unnest(range(2, 10)) AS k(k) WHERE k.k <= n),
+keys AS (SELECT case_id, names, n, i.i AS pos, '42|0|' || case_id || '|' || i.i AS key FROM top, unnest(range(512)) AS i(i) WHERE n >= 2),
+draws AS (SELECT case_id, pos, list_sort(list_transform(list_sort(list_transform(names, lambda e: {'h': md5(key || '|' || e), 'e': e}))[1:(2 + CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % (n - 1))], lambda x: x.e)) AS s FROM keys),
+every AS (SELECT case_id, s, min(pos) AS pos FROM (SELECT * FROM heads UNION ALL SELECT * FROM draws) GROUP BY case_id, s),
+many AS (SELECT case_id, s FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS r FROM every) JOIN top USING (case_id) WHERE r <= 16 AND n >= 5),
+few AS (SELECT case_id, list_filter(names, lambda e, i: (m.m >> (i - 1)) % 2 = 1) AS s FROM top, unnest(range(16)) AS m(m) WHERE n <= 4 AND m.m < (1 << n))
+SELECT case_id, array_to_string(s, ',') AS sources FROM (SELECT * FROM one UNION ALL SELECT * FROM many UNION ALL SELECT * FROM few WHERE len(s) >= 2)""")
 def source_library(spark, sf):
     return case_tables.source_sets(_ranked(spark, sf)[0]).select("case_id", F.concat_ws(",", "sources").alias("sources"))
 

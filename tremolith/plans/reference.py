@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremolith.operators import observations as obs
 from tremolith.operators import relations, statistics
-from tremolith.runtime import table
+from tremolith.runtime import materialize, table
 
 DELTA = 300.0
 EVENT_DELTA = 900.0
@@ -70,7 +70,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Every reading once, with its case's windows, masked value and the category of its owner or call."""
-    n = table(spark, sf, "numeric_sample").select("series_id", "seq", "case_id", "modality", "owner", "channel", "time", "value", "observed").dropDuplicates(["series_id", "seq"])
+    n = table(spark, sf, "numeric_sample").select("series_id", "seq", "case_id", "modality", "owner", "channel", "time", "value", "observed").distinct()
     value, ok = obs.masked(F.col("value"), F.col("observed"))
     cat = entities(spark, sf).select("case_id", "id", "category")
     ends = table(spark, sf, "topology_relation").select("case_id", "id", "source", "target").dropDuplicates(["case_id", "id"])
@@ -95,7 +95,8 @@ def _pool(s: DataFrame) -> DataFrame:
 
 
 def _scaled(spark: SparkSession, sf: str) -> DataFrame:
-    s = samples(spark, sf)
+    """Every reading with its z-score; readings are written once, for their statistics and for themselves."""
+    s = materialize(samples(spark, sf), "samples")
     stats = statistics.robust_scale(_pool(s), ["category", "channel"], "value")
     z, ok = obs.standardised(F.when(F.col("observed"), F.col("value")), F.col("center"), F.col("scale"))
     return s.join(stats, ["category", "channel"], "left").withColumns({"z": z, "supported": ok})
@@ -124,11 +125,15 @@ def zscore_samples(spark, sf):
     return _scaled(spark, sf).select("series_id", "seq", F.round("z", 4).alias("z"), "supported", obs.band(F.col("z"), F.col("supported")).alias("band"))
 
 
-@query(_BASE + "SELECT DISTINCT s.category, s.channel FROM s WHERE time >= incident_start AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.category = s.category AND p.channel = s.channel)")
+@query(_BASE + """SELECT DISTINCT s.case_id, s.category, s.channel FROM s WHERE time >= incident_start AND NOT EXISTS (
+SELECT 1 FROM pool p WHERE p.case_id = s.case_id AND p.category = s.category AND p.channel = s.channel AND p.value <> 0)""")
 def unsupported_channels(spark, sf):
-    s = samples(spark, sf)
-    seen = s.where("time >= incident_start").select("category", "channel").distinct()
-    return seen.join(_pool(s).select("category", "channel").distinct(), ["category", "channel"], "left_anti")
+    """Channels of an incident that nothing but zeros stands for in the case's own reference."""
+    s = samples(spark, sf).select("case_id", "category", "channel", "time", "value", "observed", "reference_start", "incident_start")
+    reference = F.col("observed") & (F.col("time") >= F.col("reference_start")) & (F.col("time") < F.col("incident_start")) & (F.col("value") != 0)
+    keys = ["case_id", "category", "channel"]
+    found = s.groupBy(*keys).agg(F.max(F.col("time") >= F.col("incident_start")).alias("seen"), F.max(reference).alias("known"))
+    return found.where("seen and not known").select(*keys)
 
 
 @query(_BASE + """SELECT c.dataset_id, n.modality, count(*) AS records,
@@ -150,13 +155,13 @@ def histogram_unpivot(spark, sf):
 # --- names and identities --------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH p AS (SELECT DISTINCT regexp_extract(identity, 'pod=([^,]+)', 1) AS pod FROM numeric_sample WHERE identity LIKE '%pod=%'),
-k AS (SELECT DISTINCT id FROM entity_catalog WHERE id LIKE 'service:%')
-SELECT pod, coalesce((SELECT id FROM k WHERE id = 'service:' || pod), (SELECT id FROM k WHERE id = 'service:' || regexp_replace(pod, '-(\d+|[0-9a-f]{8,10}-[a-z0-9]{5})$', '')),
-'service:' || regexp_replace(pod, '-(\d+|[0-9a-f]{8,10}-[a-z0-9]{5})$', '')) AS resolved FROM p""")
+@query(r"""WITH p AS (SELECT DISTINCT case_id, regexp_extract(identity, 'pod=([^,]+)', 1) AS pod FROM numeric_sample WHERE identity LIKE '%pod=%'),
+k AS (SELECT DISTINCT case_id, id FROM entity_catalog WHERE id LIKE 'service:%' AND candidate),
+q AS (SELECT *, 'service:' || pod AS whole, 'service:' || regexp_replace(pod, '-(\d+|[0-9a-f]{8,10}-[a-z0-9]{5})$', '') AS short FROM p)
+SELECT q.case_id, q.pod, coalesce(a.id, b.id, q.short) AS resolved FROM q LEFT JOIN k a ON a.case_id = q.case_id AND a.id = q.whole LEFT JOIN k b ON b.case_id = q.case_id AND b.id = q.short""")
 def owner_resolution(spark, sf):
-    pods = table(spark, sf, "numeric_sample").where("identity like '%pod=%'").select(F.regexp_extract("identity", "pod=([^,]+)", 1).alias("pod")).distinct()
-    return obs.resolve_owner(pods, "pod", table(spark, sf, "entity_catalog"))
+    pods = table(spark, sf, "numeric_sample").where("identity like '%pod=%'").select("case_id", F.regexp_extract("identity", "pod=([^,]+)", 1).alias("pod")).distinct()
+    return obs.resolve_owner(pods, "pod", table(spark, sf, "entity_catalog").where("candidate"))
 
 
 @query(r"""SELECT kind, count(*) AS rows_, count(DISTINCT owner) AS owners FROM (
@@ -187,16 +192,17 @@ def relation_ids(spark, sf):
     return rows.withColumn("id", obs.relation_id(F.col("kind"), F.col("source"), F.col("target")))
 
 
-_NAMES = ("service:gateway", "service:cartloom", "service:seatmill", "host:racka-n01", "host:racka-n04")
-_SANITIZED = "text"
-for _n in sorted(_NAMES, key=lambda n: (-len(n), n)):
-    _SANITIZED = rf"regexp_replace({_SANITIZED}, '(^|[^\w]){_n}($|[^\w])', '\1<ENTITY>\2', 'g')"
-_SANITIZED = rf"regexp_replace(regexp_replace(regexp_replace({_SANITIZED}, '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b', '<IP>', 'g'), '\b[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}\b', '<UUID>', 'g'), '(?i)\b(request[_-]?id|trace[_-]?id|span[_-]?id)\s*[=:]\s*[\w-]+', '\1=<REQUEST>', 'g')"
+# RE2 has no look-around: the character before an id is kept, and a second pass takes ids that shared one
+_PASS = r"""list_reduce(list_prepend({text}, ids), lambda t, n: CASE WHEN contains(t, n)
+THEN regexp_replace(t, '(^|[^\pL\pN_])' || regexp_replace(n, '([^\pL\pN_])', '\\\1', 'g') || '($|[^\pL\pN_])', '\1<ENTITY>\2', 'g') ELSE t END)"""
+_SANITIZED = _PASS.format(text=_PASS.format(text="text"))
+_SANITIZED = rf"regexp_replace(regexp_replace(regexp_replace(coalesce({_SANITIZED}, text), '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b', '<IP>', 'g'), '\b[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}\b', '<UUID>', 'g'), '(?i)\b(request[_-]?id|trace[_-]?id|span[_-]?id)\s*[=:]\s*[\w-]+', '\1=<REQUEST>', 'g')"
 
 
-@query(_BASE + f"SELECT log_id, {_SANITIZED} AS text FROM logs")
+@query(_BASE + f""", ids AS (SELECT case_id, list(id ORDER BY length(id) DESC, id) AS ids FROM (SELECT DISTINCT case_id, id FROM entity_catalog) GROUP BY case_id)
+SELECT log_id, {_SANITIZED} AS text FROM logs LEFT JOIN ids USING (case_id)""")
 def sanitized_logs(spark, sf):
-    """Masks all catalog ids of each record's case; the SQL masks only the five of ``_NAMES`` and so differs."""
+    """Masks all catalog ids of each record's case."""
     return obs.sanitize_by_catalog(logs(spark, sf), entities(spark, sf)).select("log_id", "text")
 
 
@@ -219,7 +225,7 @@ def _raw_spans(spark, sf):
 
 
 def _linked(spark, sf):
-    spans = relations.distinct_spans(_raw_spans(spark, sf), ["trace", "span"], ["time", "part", "supp", "duration"])
+    spans = relations.distinct_spans(_raw_spans(spark, sf), ["trace", "span"], ["time", "part", "supp", "duration"], conflicts="least")
     return relations.parent_links(spans.withColumn("service", F.col("supp") % 10))
 
 
@@ -369,6 +375,15 @@ def receptive_context(spark, sf):
     return found.select("series_id", "seq", F.round("elapsed", 6).alias("elapsed"), "context")
 
 
+@query(_BASE + """SELECT l.log_id, ((CAST(floor((l.time - c.reference_start) / 300) AS BIGINT) % 5) + 5) % 5 = 2 AS hidden FROM logs l JOIN cases c USING (case_id) WHERE l.owner IS NOT NULL""")
+def mask_blocks_logs(spark, sf):
+    """Log records in masked blocks of their nodes, and the others."""
+    at = obs.bin_index(F.col("time"), F.col("reference_start"), F.lit(DELTA)).alias("bin")
+    placed = logs(spark, sf).where("owner is not null").join(cases(spark, sf).select("case_id", "reference_start"), "case_id").select("case_id", "owner", "log_id", at)
+    kept, hidden = obs.mask_logs(placed, placed.where("pmod(bin, 5) = 2"))
+    return kept.select("log_id", F.lit(False).alias("hidden")).unionByName(hidden.select("log_id", F.lit(True).alias("hidden")))
+
+
 @query(_BASE + _ACTIVE + """, m AS (SELECT case_id, owner AS id, CAST(floor((time - reference_start) / 300) AS BIGINT) AS bin, avg(value) AS value FROM s WHERE observed AND modality = 'trace' GROUP BY ALL),
 e AS (SELECT act.case_id, act.bin, rel.kind, rel.source, rel.target, m.value FROM act JOIN rel USING (case_id, id) JOIN m USING (case_id, id, bin)),
 f AS (SELECT case_id, source AS node, bin, 'out' AS direction, kind, value FROM e UNION ALL SELECT case_id, target, bin, 'in', kind, value FROM e)

@@ -137,3 +137,46 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | Non
     """The keys that have more than ``rows`` rows, written, or None if there are none."""
     found = materialize(df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > rows).select(*keys), "heavy")
     return None if found.isEmpty() else found
+
+
+def sharded(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, halo: int) -> DataFrame:
+    """The rows with ``__shard`` and ``__core``, so that windows by ``keys`` and ``__shard`` in the order of ``order`` see
+    ``halo`` rows before and after each core row.
+
+    A key of at most ``rows`` rows is one shard of core rows. Others are numbered in order and cut by position; a row near a
+    bound is also given to the neighbour, where it isn't core. Results are kept for core rows only. ``order`` should tell
+    the rows of a key apart.
+    """
+    from pyspark.sql import Window
+
+    hot = heavy_keys(df, keys, rows)
+    plain = lambda d: d.withColumns({"__shard": F.lit(0).cast("bigint"), "__core": F.lit(True)})
+    if hot is None:
+        return plain(df)
+    ranged = ranges(materialize(df.join(few(hot), list(keys), "left_semi"), "heavy-rows"), [*keys, *order], rows)
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy(*keys, "part").agg(F.count("*").alias("__n")).select(*keys, "part", F.coalesce(before, F.lit(0)).alias("__offset"))
+    local = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)) - 1
+    placed = ranged.withColumn("__at", local).join(offsets, [*keys, "part"]).withColumn("__at", F.col("__at") + F.col("__offset"))
+    shard = lambda d: F.floor((F.col("__at") + d) / rows)
+    spread_ = placed.withColumn("__shard", F.explode(F.array_distinct(F.array(shard(-halo), shard(0), shard(halo))))).withColumn("__core", F.col("__shard") == shard(0))
+    return plain(df.join(few(hot), list(keys), "left_anti")).unionByName(spread_.drop("part", "__at", "__offset").select(*df.columns, "__shard", "__core"))
+
+
+def before_and_total(df: DataFrame, order: Sequence[str], values: Sequence[str], rows: int = 1_000_000) -> DataFrame:
+    """Adds ``<v>_upto`` (running sum, the row's own included) and ``<v>_total`` for each of ``values`` in the order of
+    ``order``, without a window over all rows: ranges are summed by themselves and moved by one summary row each."""
+    from pyspark.sql import Window
+
+    ranged = ranges(materialize(df, "unsummed"), order, rows)
+    sums = ranged.groupBy("part").agg(*(F.sum(v).alias(f"__{v}") for v in values))
+    across = Window.orderBy("part")
+    moved = sums.select(
+        "part",
+        *(F.coalesce(F.sum(f"__{v}").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__{v}_before") for v in values),
+        *(F.sum(f"__{v}").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{v}_total") for v in values),
+    )
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({f"__{v}_local": F.sum(v).over(within) for v in values}).join(moved, "part")
+    out = out.withColumns({f"{v}_upto": F.col(f"__{v}_before") + F.col(f"__{v}_local") for v in values})
+    return out.drop("part", *(f"__{v}_before" for v in values), *(f"__{v}_local" for v in values))
