@@ -22,39 +22,43 @@ UNITS = (
 
 def message(text: Column) -> Column:
     """What a log text says: lower case, single blanks, no leading time stamps, and ``#`` for entities and their pods,
-    ids, addresses and numbers with their units."""
+    ids, addresses and numbers with their units. A step whose pattern needs a certain sign looks for that first."""
     steps = [
-        (r"(?U)\s+", " "),
-        (r"^ ?(?:\[?\d{4}-\d\d-\d\d[t ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)? ?(?:z|[+-]\d\d:?\d\d)?\]?[:,]? ?)+", ""),
-        (r"\b(request|trace|span)([_-]?id) ?[=:] ?[\w-]+", "$1$2=#"),
-        (r"\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "#"),
-        (rf"\b(?:{'|'.join(ENTITY_KINDS)}):[\w-]+(?:\.[\w-]+)*", "#"),
-        (r"\b[a-z][a-z0-9]*(?:-[a-z0-9]+)*-[0-9a-f]{7,10}-[a-z0-9]{5}\b", "#"),
-        (r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b", "#"),
-        (r"\b(?:[0-9a-f]{9,}|(?=[a-f]*\d)[0-9a-f]{6,}|0x[0-9a-f]+)\b", "#"),
-        (rf"\b\d[\d,]*(?:\.\d+)?(?:e[+-]?\d+)?(?: ?(?:{'|'.join(u for u in UNITS if u != '%')})\b| ?%)?", "#"),
-        (r"\d+", "#"),
-        (r"[+-]#", "#"),
+        ("", r"(?U)\s{2,}|[\s&&[^ ]]", " "),
+        ("", r"^ ?(?:\[?\d{4}-\d\d-\d\d[t ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)? ?(?:z|[+-]\d\d:?\d\d)?\]?[:,]? ?)+", ""),
+        ("id", r"\b(request|trace|span)([_-]?id) ?[=:] ?[\w-]+", "$1$2=#"),
+        ("-", r"\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "#"),
+        (":", rf"\b(?:{'|'.join(ENTITY_KINDS)}):[\w-]+(?:\.[\w-]+)*", "#"),
+        ("-", r"\b[a-z][a-z0-9]*(?:-[a-z0-9]+)*-[0-9a-f]{7,10}-[a-z0-9]{5}\b", "#"),
+        (".", r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b", "#"),
+        ("", r"\b(?:[0-9a-f]{9,}|(?=[a-f]*\d)[0-9a-f]{6,}|0x[0-9a-f]+)\b", "#"),
+        ("", rf"\b\d[\d,]*(?:\.\d+)?(?:e[+-]?\d+)?(?: ?(?:{'|'.join(u for u in UNITS if u != '%')})\b| ?%)?", "#"),
+        ("", r"\d+", "#"),
+        ("#", r"[+-]#", "#"),
     ]
-    out = F.lower(text)
-    for pattern, replacement in steps:
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.trim(out)
 
+    def step(sign: str, pattern: str, by: str):
+        return lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, by)).otherwise(t) if sign else F.regexp_replace(t, pattern, by)
 
-def _predecessors(records: DataFrame, keys: Sequence[str], shard_rows: int) -> DataFrame:
+    # an array of one names the text of each step, which is used twice
+    out = F.array(F.lower(text))
+    for sign, pattern, by in steps:
+        out = F.transform(out, step(sign, pattern, by))
+    return F.trim(F.element_at(out, 1))
+
+
+def _predecessors(records: DataFrame, keys: Sequence[str], hot: DataFrame | None, shard_rows: int) -> DataFrame:
     """Every record with ``pointer``: the id of the record before it if that says the same, else null.
 
     Ordinary sequences are sorted whole. Those of more than ``shard_rows`` records are ranged by time into shards of about
     as many, however close in time they lie; the first record of a shard follows the last one of the shard before, which a
-    window over one row per shard gives. ``records`` must be a written table.
+    window over one row per shard gives. ``hot`` are the keys of the latter, if any.
     """
     before = F.struct("id", "said")
 
     def pointed(df: DataFrame, previous: Column) -> DataFrame:
         return df.withColumn("pointer", F.when(previous["said"] == F.col("said"), previous["id"]))
 
-    hot = heavy_keys(records, keys, shard_rows)
     ordinary = records if hot is None else records.join(few(hot), keys, "left_anti")
     whole = pointed(ordinary.withColumn("p", F.lag(before).over(Window.partitionBy(*keys).orderBy("time", "id"))), F.col("p")).drop("p")
     if hot is None:
@@ -124,9 +128,12 @@ def collapse_runs(events: DataFrame, keys: Sequence[str], *, id: str, time: str,
         .where("r is not null")
         .select("id", "r.*")
     )
-    once = materialize(records, "records")
-    linked = materialize(_predecessors(once, keys, shard_rows), "linked")
-    discard(once)
+    # repeated deliveries count here, so no hot sequence is missed; only its keys are read
+    hot = heavy_keys(events.select(*keys).dropna(), keys, shard_rows)
+    records = records if hot is None else materialize(records, "records")
+    linked = materialize(_predecessors(records, keys, hot, shard_rows), "linked")
+    if hot is not None:
+        discard(records)
     members = (
         _double(linked)
         .groupBy(F.col("start").alias("id"))
