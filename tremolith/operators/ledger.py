@@ -71,23 +71,18 @@ def decision_faults(decisions: DataFrame, attempts: DataFrame) -> DataFrame:
     rejected = F.col("event") == "rejected"
     rows = decisions.join(first, ["ledger", "case_id"], "left").withColumns({
         "was_rejected": F.coalesce(F.max(rejected).over(mine), F.lit(False)),
-        "holds": F.last(F.struct("event", "case_id")).over(order),
+        "sel": F.max(F.when(F.col("event") == "selected", F.struct("number", "case_id"))).over(order),
     })
     # the selected case stays so until it is rejected itself
-    last = Window.partitionBy("ledger").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"sel": F.max(F.when(F.col("event") == "selected", F.struct("number", "case_id"))).over(last)})
-    dropped = decisions.where(rejected).select("ledger", F.col("case_id").alias("gone"), F.col("number").alias("gone_at")).groupBy("ledger", "gone").agg(F.min("gone_at").alias("gone_at"))
-    rows = rows.join(dropped, (rows["ledger"] == dropped["ledger"]) & (F.col("sel.case_id") == F.col("gone")), "left").drop(dropped["ledger"])
+    dropped = decisions.where(rejected).groupBy(F.col("ledger").alias("d_ledger"), F.col("case_id").alias("gone")).agg(F.min("number").alias("gone_at"))
+    rows = rows.join(dropped, (F.col("ledger") == F.col("d_ledger")) & (F.col("sel.case_id") == F.col("gone")), "left")
     open_ = F.col("sel").isNotNull() & (F.col("gone_at").isNull() | (F.col("gone_at") > F.col("number")))
-    # earlier hits that no earlier decision rejects, counted per selection
-    earlier = (
-        rows.where("event = 'selected'").select("ledger", "number", "hit_at")
-        .join(first.select("ledger", F.col("case_id").alias("other"), F.col("hit_at").alias("other_at")), "ledger")
-        .where(F.col("other_at") < F.col("hit_at"))
-        .join(dropped.select("ledger", F.col("gone").alias("other"), F.col("gone_at").alias("other_gone")), ["ledger", "other"], "left")
-        .where(F.col("other_gone").isNull() | (F.col("other_gone") > F.col("number")))
-        .select("ledger", "number", F.lit(True).alias("skips")).distinct()
-    )
+    # earlier hits that no earlier decision rejects
+    others = first.select(F.col("ledger").alias("o_ledger"), F.col("case_id").alias("other"), F.col("hit_at").alias("other_at"))
+    others = others.join(dropped.select(F.col("d_ledger").alias("o_ledger"), F.col("gone").alias("other"), F.col("gone_at").alias("other_gone")), ["o_ledger", "other"], "left")
+    chosen = decisions.where("event = 'selected'").join(first, ["ledger", "case_id"]).select("ledger", "number", "hit_at")
+    passed_over = (F.col("other_at") < F.col("hit_at")) & (F.col("other_gone").isNull() | (F.col("other_gone") > F.col("number")))
+    earlier = chosen.join(others, F.col("ledger") == F.col("o_ledger")).where(passed_over).select("ledger", "number", F.lit(True).alias("skips")).distinct()
     rows = rows.join(earlier, ["ledger", "number"], "left")
     return _faults(rows, [
         (F.coalesce(F.trim("reason") == "", F.lit(True)), "a decision without a reason"),
