@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,36 +44,50 @@ def _csv(spark: SparkSession, path: str, names: Sequence[str], mode: str) -> Dat
     return reader.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def strict_csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
-    """All columns of a CSV file as text, with ``_source``; repeated or missing header names fail at once, rows of
-    another width than the header when they are read. Label-bearing columns are refused."""
+def strict_csv(spark: SparkSession, path: str, required: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """All columns of CSV files of one header as text, with ``_source``; repeated or missing header names fail at once, rows of
+    another width than the header when they are read. Label-bearing columns are refused, unless only the columns ``keep``
+    are taken. ``path`` may be a pattern; fields may span lines."""
     names = _header(spark, path, required)
     df = _csv(spark, path, names, "FAILFAST").withColumn("_source", F.col("_metadata.file_path"))
-    return reject_label_columns(df)
+    return reject_label_columns(df if keep is None else df.select(*keep, "_source"))
 
 
 def trace_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of a trace export and its quarantine.
+    """Rows of trace exports and their quarantine (``file``, ``row``, ``sha256``, ``reason``).
 
-    Only a last row that lacks its last field and its line end may be set aside (``row``, ``sha256``, ``reason``); any
-    other malformed row fails.
+    Only the last row of a file that lacks its last field and its line end may be set aside; any other malformed row
+    fails. ``path`` may be a pattern: each file is judged by itself, and only files with a malformed row are looked at
+    again, by their last bytes alone.
     """
     names = _header(spark, path, TRACE_COLUMNS)
     # parsed once and written, as Spark gives malformed rows of a file no plan of their own
-    rows = materialize(_csv(spark, path, names, "PERMISSIVE"), "trace-rows")
-    bad = rows.where(F.col(CORRUPT).isNotNull())
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("all"))
-    tail = F.element_at(F.split("all", "\n"), -1)
+    rows = materialize(_csv(spark, path, names, "PERMISSIVE").withColumn("file", F.col("_metadata.file_path")), "trace-rows")
+    bad = rows.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("row"))
+    torn = [r["file"] for r in bad.groupBy("file").agg(F.max(F.octet_length("row")).alias("n")).orderBy("file").limit(10_000).collect()]
     plain = F.lit(r'^(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")(?:,(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")){7}$')
-    is_tail = (F.col(CORRUPT) == F.col("tail")) & F.regexp_like("tail", plain) & F.lit(tuple(names) == TRACE_COLUMNS)
-    judged = bad.select(CORRUPT).crossJoin(whole.select(tail.alias("tail")))  # one row per file
+    ends = spark.createDataFrame([(f, _tail(spark, f)) for f in torn], "file string, tail string")
+    judged = bad.join(ends, "file", "left").withColumn("k", F.count("*").over(Window.partitionBy("file")))
+    is_tail = (F.col("k") == 1) & F.endswith("tail", F.col("row")) & ~F.col("tail").rlike(r"[\r\n]$") & F.regexp_like("row", plain) & F.lit(tuple(names) == TRACE_COLUMNS)
     quarantine = judged.select(
-        F.when(is_tail, F.col(CORRUPT)).otherwise(F.raise_error(F.concat(F.lit("a trace row has another width: "), F.col(CORRUPT)))).alias("row")
+        "file", F.when(F.coalesce(is_tail, F.lit(False)), F.col("row")).otherwise(F.raise_error(F.concat(F.lit("a trace row has another width: "), "row"))).alias("row")
     ).withColumns({"sha256": F.sha2(F.col("row"), 256), "reason": F.lit("unterminated last row without its last field")})
-    kept = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    if quarantine.count() > 1:
-        raise ValueError(f"more than one malformed row: {path}")
-    return reject_label_columns(kept), quarantine
+    quarantine = materialize(quarantine, "trace-quarantine")
+    return reject_label_columns(rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file")), quarantine
+
+
+def _tail(spark: SparkSession, path: str, size: int = 65_536) -> str:
+    """The last bytes of a file as text."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path)) if "%" in path else jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    length = fs.getFileStatus(target).getLen()
+    stream = fs.open(target)
+    try:
+        stream.seek(max(0, length - size))
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
 
 
 def parquet_observations(spark: SparkSession, root: str, kind: str, phases: Sequence[str] = ("normal", "abnormal")) -> DataFrame:
