@@ -51,3 +51,25 @@ def test_chained_ledger(spark, tmp_path):
     ledger = spark.read.parquet(f"{tmp_path}/ledger").selectExpr("'l' as l", "sequence", "payload", "previous", "hash")
     assert rows(ledger.select("sequence", "payload")) == [(0, "0"), (1, "1"), (2, "2")]
     assert rows(chain_faults(ledger, "l")) == []
+
+
+def test_sliding_windows_overlap(spark, tmp_path):
+    got = run(spark, ingest.sliding(stream(spark, tmp_path, BATCHES), ["k"], "t", "v", "20 seconds", "10 seconds", "1 minute"), "slides")
+    first = [(r.start.second, r.n) for r in got.orderBy("start").collect()]
+    # starts at -10, 0 and 10 seconds; the reading at 5 seconds was delivered twice
+    assert first == [(50, 3), (0, 4), (10, 1)]
+
+
+def test_parents_arrive_before_or_after_their_children(spark, tmp_path):
+    schema = "trace string, span string, parent string, service string, t timestamp"
+    batches = [[("x", "c", "p", "b", at(10))], [("x", "p", None, "a", at(9)), ("x", "o", "gone", "b", at(11))], [("y", "late", None, "z", at(900))], [("y", "later", None, "z", at(1800))]]
+    spans = stream(spark, tmp_path, batches, schema)
+    callers = ingest.event_stream(spark, f"{tmp_path}/in/*", schema, files_per_trigger=1)
+    got = run(spark, ingest.parents(spans, callers, "t", "10 seconds", "1 minute"), "parents")
+    assert {(r.span, r.parent_service) for r in got.where("trace = 'x'").collect()} == {("c", "a"), ("p", None), ("o", None)}
+
+
+def test_tables_of_a_stream_equal_the_batch_form(spark, tmp_path):
+    df = ingest.tumbling(ingest.deduplicated(stream(spark, tmp_path, BATCHES), ["id"], "t", "1 hour"), ["k"], "t", "v", "10 seconds", None)
+    got = ingest.latest_table(df, ["start", "k"], f"{tmp_path}/bins", f"{tmp_path}/cp")
+    assert [(r.n, r["mean"]) for r in got.orderBy("start").collect()] == [(2, 2.0), (1, 5.0), (1, 0.0)]

@@ -16,10 +16,11 @@ _SPAN = "struct<start:timestamp,end:timestamp>"
 SCHEMA = (
     "doc string, status string, window_start timestamp, window_end timestamp, time_origin timestamp, "
     "availability string, root_source string, confirmation string, confirmed_by string, "
+    "purpose string, preparation_basis string, coverage string, limitations string, "
     "entities array<struct<id:string,candidate:boolean,root_role:string,observation_state:string,evidence_refs:array<string>>>, "
-    f"evidence array<struct<id:string,modality:string,entity_ids:array<string>,path:string,interval:{_SPAN}>>, "
+    f"evidence array<struct<id:string,modality:string,entity_ids:array<string>,path:string,interval:{_SPAN},sha256:string>>, "
     f"events array<struct<id:string,entity_id:string,symptom_ids:array<string>,evidence_refs:array<string>,interval:{_SPAN}>>, "
-    f"symptoms array<struct<id:string,entity_id:string,modality:string,evidence_refs:array<string>,interval:{_SPAN}>>, "
+    f"symptoms array<struct<id:string,entity_id:string,modality:string,evidence_refs:array<string>,interval:{_SPAN},magnitude:double,category:string,direction:string,unknown_reason:string>>, "
     "relations array<struct<id:string,type:string,source_entity:string,target_entity:string,call_source:string,call_target:string,impact_status:string,impact_source:string,impact_target:string>>, "
     "fragments array<struct<id:string,event_ids:array<string>,ordered_paths:array<array<string>>,"
     "edges:array<struct<id:string,relation_id:string,source_event:string,target_event:string,temporal_order:string,lower:double,upper:double>>>>"
@@ -207,7 +208,55 @@ def ordered_paths(a: DataFrame) -> DataFrame:
     return f.where("s is not null").mapInPandas(run, "doc string, fragment string, message string").where("message is not null").select("doc", p.alias("path"), "message")
 
 
-RULES = (windows, intervals, duplicates, dangling, unsupported, supervision, paths, directions, edges, ordered_paths)
+def finite_numbers(a: DataFrame) -> DataFrame:
+    """Numbers anywhere in a document are finite."""
+    bad = lambda c: c.isNotNull() & (F.isnan(c) | (F.abs(c) == float("inf")))
+    f = _rows(a, "fragments").select("doc", F.col("x.id").alias("fragment"), F.explode("x.edges").alias("g"))
+    out = [_bad(_rows(a, "symptoms"), bad(F.col("x.magnitude")), F.concat(_path("symptoms"), F.lit("/magnitude")), "a number is not finite")]
+    for field in ("lower", "upper"):
+        out.append(_bad(f, bad(F.col(f"g.{field}")), F.concat(F.lit("fragments/"), "fragment", F.lit("/edges/"), "g.id", F.lit(f"/{field}")), "a number is not finite"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def completeness(a: DataFrame) -> DataFrame:
+    """Submitted documents state their purpose and window, rest on observations, have entities, explain partial coverage, and
+    give evidence for events and symptoms."""
+    done = F.col("status") == "submitted"
+    out = [_bad(a, done & F.col(c).isNull(), F.lit(path), "required for submission") for c, path in (("purpose", "purpose"), ("window_start", "case/window_start"), ("window_end", "case/window_end"), ("time_origin", "case/time_origin"))]
+    out.append(_bad(a, done & ~F.col("preparation_basis").eqNullSafe(F.lit("observation_based")), F.lit("provenance/preparation_basis"), "a template is no completed annotation"))
+    out.append(_bad(a, done & (F.coalesce(F.size("entities"), F.lit(0)) < 1), F.lit("entities"), "no entities"))
+    out.append(_bad(a, done & ~F.col("coverage").eqNullSafe(F.lit("sufficient")) & (F.coalesce(F.trim("limitations"), F.lit("")) == ""), F.lit("coverage/limitations"), "coverage that isn't sufficient needs an explanation"))
+    for c in ("events", "symptoms"):
+        out.append(_bad(_rows(a, c), done & (F.coalesce(F.size("x.evidence_refs"), F.lit(0)) < 1), F.concat(_path(c), F.lit("/evidence_refs")), "an assertion without evidence"))
+    vague = (F.coalesce("x.category", F.lit("unknown")) == "unknown") | (F.coalesce("x.direction", F.lit("unknown")) == "unknown") | F.col("x.magnitude").isNull()
+    out.append(_bad(_rows(a, "symptoms"), done & vague & (F.coalesce(F.trim("x.unknown_reason"), F.lit("")) == ""), F.concat(_path("symptoms"), F.lit("/unknown_reason")), "what is unknown needs a reason"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def event_symptoms(a: DataFrame) -> DataFrame:
+    """An event's symptoms are of its entity and overlap it."""
+    symptoms = _rows(a, "symptoms").select("doc", F.col("x.id").alias("s_id"), F.col("x").alias("s"))
+    both = _rows(a, "events").select("doc", "x", F.explode("x.symptom_ids").alias("s_id")).join(symptoms, ["doc", "s_id"])
+    apart = (F.col("x.interval.end") < F.col("s.interval.start")) | (F.col("s.interval.end") < F.col("x.interval.start"))
+    return _bad(both, F.col("s.entity_id") != F.col("x.entity_id"), _path("events"), "a symptom of another entity").unionByName(
+        _bad(both, apart, F.concat(_path("events"), F.lit("/symptom_ids")), "a symptom at another time")
+    )
+
+
+def evidence_files(a: DataFrame, hashes: DataFrame, root: str) -> DataFrame:
+    """``doc``, ``path``, ``message`` of evidence whose file below ``root`` is missing or has another hash.
+
+    ``hashes``: path, sha256 as ``content_hashes`` gives them; evidence with an unsafe path is left to :func:`paths`."""
+    safe = ~F.col("x.path").rlike(r"^\s*$|^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)")
+    place = F.concat(F.lit(root.rstrip("/") + "/"), F.replace(F.col("x.path"), F.lit("\\"), F.lit("/")))
+    files = hashes.select(F.regexp_replace("path", "^file:/*", "/").alias("place"), F.lower("sha256").alias("found"))
+    checked = _rows(a, "evidence").where(safe).withColumn("place", place).join(files, "place", "left")
+    return _bad(checked, F.col("found").isNull(), _path("evidence"), "a missing file").unionByName(
+        _bad(checked, F.col("found") != F.lower("x.sha256"), _path("evidence"), "a file of another hash")
+    )
+
+
+RULES = (windows, intervals, duplicates, dangling, unsupported, supervision, paths, directions, edges, ordered_paths, finite_numbers, completeness, event_symptoms)
 
 
 def violations(annotations: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tremolith.operators.protocol import GENESIS, record_hash
@@ -66,23 +68,40 @@ def stuck_counters(stream: DataFrame, key: str, order: str, value: str) -> DataF
     schema = f"{key} bigint, {order} bigint, run bigint"
 
     def count(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, run = state.get if state.exists else (None, 0)
+        last, carried = state.get if state.exists else (None, 0)
         whole = pd.concat(list(frames)).sort_values(order)
-        runs = []
-        for v in whole[value]:
-            run = run + 1 if last == v else 1
-            last = v
-            runs.append(run)
-        state.update((last, run))
+        v = whole[value].to_numpy(float)
+        fresh = np.r_[last is None or v[0] != last, v[1:] != v[:-1]]
+        # position of the latest fresh value, or the run that was carried over
+        since = np.maximum.accumulate(np.where(fresh, np.arange(len(v)), -carried))
+        runs = np.arange(len(v)) - since + 1
+        state.update((float(v[-1]), int(runs[-1])))
         yield pd.DataFrame({key: k[0], order: whole[order].to_numpy(), "run": runs})
 
     return stream.groupBy(key).applyInPandasWithState(count, schema, "last double, run bigint", "append", "NoTimeout")
 
 
+def latest_table(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
+    """What a stream of changing results has come to, once all that has arrived is read: the last row of each key.
+
+    Each micro-batch adds its changed rows under its own number, so one that runs again replaces itself."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
 def chained_sink(stream: DataFrame, path: str, checkpoint: str, payload: str, order: str) -> StreamingQuery:
-    """Appends records to a hash-chained ledger; one writer, one record after the other, head kept in the table.
+    """Appends records to a hash-chained ledger; one writer, one record after the other.
 
-    A batch that was written before a failure is not written twice: its number is part of its folder's name.
+    A batch that was written before a failure is not written twice: its number is part of its folder's name. Each batch
+    finds the chain's head in the last batch that has records, whose folder alone is read; a writer that has an older view
+    than the folder fails, as its batch's folder is there already.
     """
 
     def append(batch: DataFrame, number: int) -> None:
@@ -93,10 +112,13 @@ def chained_sink(stream: DataFrame, path: str, checkpoint: str, payload: str, or
         if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number:012d}/_SUCCESS")):
             return
         head, previous = 0, GENESIS
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(path)) and number:
-            last = spark.read.schema("sequence bigint, payload string, previous string, hash string").parquet(path).agg(F.max_by(F.struct("sequence", "hash"), "sequence").alias("h")).first()["h"]
-            if last:
-                head, previous = last["sequence"] + 1, last["hash"]
+        for before in range(number - 1, -1, -1):
+            folder = f"{path}/batch={before:012d}"
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(folder)):
+                last = spark.read.schema("sequence bigint, payload string, previous string, hash string").parquet(folder).agg(F.max_by(F.struct("sequence", "hash"), "sequence").alias("h")).first()["h"]
+                if last:
+                    head, previous = last["sequence"] + 1, last["hash"]
+                    break
         start = F.array().cast("array<struct<sequence:bigint,payload:string,previous:string,hash:string>>")
         rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).cast("string").alias("p"))))
         at = lambda acc: F.lit(head) + F.size(acc)
