@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from tests.conftest import rows
+
 from tremolith.operators.regular_grid import regular_grid
 
 READ = "s bigint, time double, value double, start double, period double, bins bigint"
@@ -112,3 +114,14 @@ def test_reading_on_a_bound_belongs_to_the_later_period(spark):
     data = [(1, 1609518600.3 + 120, 7.0, 1609518600.3, 60.0, 4)]
     got = regular_grid(spark.createDataFrame(data, READ), spark.createDataFrame([(1, 1609518600.3, 60.0, 4)], SRC), "s").collect()
     assert [r.bin for r in got if r.observed] == [2]
+
+
+def test_thinning_a_dense_source_changes_nothing(spark):
+    import random
+
+    r = random.Random(5)
+    readings = [(1, r.choice([r.uniform(0, 12), 3.5, 4.0]), r.gauss(0, 3), 0.0, 1.0, 12) for _ in range(900)] + [(2, float(i) * 3, float(i), 0.0, 1.0, 12) for i in range(4)]
+    df = spark.createDataFrame(readings, "k bigint, time double, value double, start double, period double, bins int")
+    sources = spark.createDataFrame([(1, 0.0, 1.0, 12, 900), (2, 0.0, 1.0, 12, 4)], "k bigint, start double, period double, bins int, readings int")
+    plain = rows(regular_grid(df, sources, "k"))
+    assert rows(regular_grid(df, sources, "k", count="readings", dense=10)) == plain and len(plain) == 24

@@ -4,15 +4,22 @@ Every source has a grid of equal periods. Within a segment (readings no further
 value of a period is the shape-preserving monotone cubic through the readings, taken at the period's middle; a period
 in a longer gap stays marked. All of it is one shuffle: readings are placed in time shards of their source, those near
 a shard bound are also given to the neighbour (the halo), and the four readings around a period come from lag and lead.
+Sources that are known to have very many readings a period are thinned first to the readings that a value can need.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolith.runtime import few, materialize
+
 SHARD_PERIODS = 8_192
 MAX_GAP = 5
+#: Readings a period beyond which a source is thinned, so that a shard stays small.
+DENSE = 64
 
 
 def _end_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
@@ -27,6 +34,19 @@ def _inner_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
     return F.when(F.signum(d0) * F.signum(d1) <= 0, 0.0).otherwise((w0 + w1) / (w0 / d0 + w1 / d1))
 
 
+def _thinned(usable: DataFrame) -> DataFrame:
+    """The readings that values of periods can need: between the middles of two periods, the first two and the last two
+    instants, each with its least and greatest value. Every step is an aggregate that is combined before the shuffle."""
+    cells = usable.withColumn("cell", F.ceil(F.col("x") - 0.5))
+    ends = materialize(cells.groupBy("k", "cell").agg(F.min("x").alias("a"), F.max("x").alias("d")), "ends")
+    inner = cells.join(ends, ["k", "cell"]).where((F.col("x") > F.col("a")) & (F.col("x") < F.col("d")))
+    seconds = materialize(inner.groupBy("k", "cell").agg(F.min("x").alias("b"), F.max("x").alias("c")), "ends")
+    kept = [table.select("k", F.col(c).alias("x")) for table, c in ((ends, "a"), (ends, "d"), (seconds, "b"), (seconds, "c"))]
+    instants = reduce(DataFrame.unionByName, kept).distinct()
+    values = usable.groupBy("k", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.max("n").alias("n")).join(instants, ["k", "x"], "left_semi")
+    return values.select("k", "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"), "n")
+
+
 def regular_grid(
     readings: DataFrame,
     sources: DataFrame,
@@ -39,6 +59,8 @@ def regular_grid(
     bins: str = "bins",
     max_gap: int = MAX_GAP,
     shard_periods: int = SHARD_PERIODS,
+    count: str | None = None,
+    dense: int = DENSE,
 ) -> DataFrame:
     """One row per source and period: ``key``, ``bin``, ``time``, ``value``, ``observed``, ``status``.
 
@@ -51,7 +73,8 @@ def regular_grid(
     count as one, halfway between their least and greatest value, so rows delivered twice change nothing. An observed
     period whose middle lies outside its segment takes the nearest reading. A source without usable readings gives
     only missing periods; one with null key, start, period or bins, or a period that isn't positive, gives no rows.
-    Further columns are ignored.
+    Further columns are ignored. ``count`` names a column of ``sources`` with their numbers of readings; those with more than
+    ``dense`` a period are thinned, which doesn't change the result.
     """
     if max_gap < 1 or shard_periods < 1:
         raise ValueError("max_gap and shard_periods must be positive")
@@ -71,6 +94,11 @@ def regular_grid(
         .select(F.col(key).alias("k"), (F.rint((x - F.col(start)) * 1e6) / 1e6 / F.col(period)).alias("x"), y.alias("y"), F.col(bins).alias("n"))
         .where("x >= 0 and x < n")
     )
+    if count is not None:
+        crowded = materialize(sources.where(F.col(count) > dense * F.col(bins)).select(F.col(key).alias("k")).distinct(), "dense-sources")
+        if not crowded.isEmpty():
+            crowded = few(crowded)
+            usable = usable.join(crowded, "k", "left_anti").unionByName(_thinned(usable.join(crowded, "k", "left_semi")))
     near = lambda d: F.floor((F.floor("x") + d) / shard_periods)
     placed = usable.select("k", F.explode(F.sequence(near(-halo), near(halo))).alias("shard"), "x", "y").where("shard >= 0")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("g0", "double"), ("g1", "double"), ("n", "bigint"))]

@@ -19,13 +19,14 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
     samples = table(spark, sf, "numeric_sample")
     bins = F.rint((F.col("incident_end") - F.col("start")) / F.col("period")).cast("bigint")
     placed = lambda df: df.join(cases, "case_id").join(channels, "channel").withColumn("bins", bins)
-    sources = placed(samples.groupBy("series_id").agg(F.min("case_id").alias("case_id"), F.min("channel").alias("channel")))
-    return regular_grid(placed(samples.where(USABLE)), sources, "series_id")
+    sources = placed(samples.groupBy("series_id").agg(F.min("case_id").alias("case_id"), F.min("channel").alias("channel"), F.count("*").alias("readings")))
+    return regular_grid(placed(samples.where(USABLE)), sources, "series_id", count="readings")
 
 
 def p2_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every series on the grid of its channel."""
-    return _grid(spark, sf)
+    # single precision, which any order of operations gives
+    return _grid(spark, sf).withColumn("value", F.col("value").cast("float").cast("double"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +77,31 @@ s AS (SELECT *, max(hi) OVER (PARTITION BY case_id, id ORDER BY lo, hi ROWS BETW
   FROM r WHERE lo <= hi)
 """
 
+# the same cubic over whole series, from the last reading at or before a period's middle and its neighbours
+_INNER = "CASE WHEN sign({d0}) * sign({d1}) <= 0 THEN 0 ELSE ((2 * {h1} + {h0}) + ({h1} + 2 * {h0})) / ((2 * {h1} + {h0}) / {d0} + ({h1} + 2 * {h0}) / {d1}) END"
+_EDGE = "(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+_END = f"CASE WHEN sign({_EDGE}) <> sign({{d0}}) THEN 0 WHEN sign({{d0}}) <> sign({{d1}}) AND abs({_EDGE}) > 3 * abs({{d0}}) THEN 3 * {{d0}} ELSE {_EDGE} END"
+_CUBIC = f"""
+WITH g AS (SELECT s.series_id, c.reference_start AS t0, k.period_s AS p, CAST(round((c.incident_end - c.reference_start) / k.period_s) AS BIGINT) AS n
+  FROM (SELECT series_id, min(case_id) AS case_id, min(channel) AS channel FROM numeric_sample GROUP BY 1) s JOIN incident_case c USING (case_id) JOIN channel_catalog k USING (channel)),
+u AS (SELECT series_id, (round_even((r.time - t0) * 1e6, 0) / 1e6) / p AS x, r.value AS y, n FROM numeric_sample r JOIN g USING (series_id)
+  WHERE (observed IS NULL OR observed) AND value IS NOT NULL AND isfinite(value)),
+q AS (SELECT series_id, x, (min(y) + max(y)) / 2 AS y FROM u WHERE x >= 0 AND x < n GROUP BY series_id, x),
+w AS (SELECT *, lag(x) OVER o AS xp, lag(y) OVER o AS yp, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(x, 2) OVER o AS x2, lead(y, 2) OVER o AS y2 FROM q WINDOW o AS (PARTITION BY series_id ORDER BY x)),
+f AS (SELECT series_id, min(x) AS fx, arg_min(y, x) AS fy FROM q GROUP BY series_id),
+b AS (SELECT g.series_id, t0, p, b.bin, b.bin + 0.5 AS mid FROM g, unnest(range(n)) AS b(bin)),
+a AS (SELECT b.*, w.x, w.y, w.xp, w.yp, CASE WHEN w.x IS NULL THEN f.fx ELSE w.x1 END AS x1, CASE WHEN w.x IS NULL THEN f.fy ELSE w.y1 END AS y1, w.x2, w.y2
+  FROM b ASOF LEFT JOIN w ON w.series_id = b.series_id AND w.x <= b.mid LEFT JOIN f ON f.series_id = b.series_id),
+h AS (SELECT *, x1 - x AS h, x - xp AS hp, x2 - x1 AS hn, (y1 - y) / (x1 - x) AS d, (y - yp) / (x - xp) AS dp, (y2 - y1) / (x2 - x1) AS dn, (mid - x) / (x1 - x) AS t,
+  coalesce(bin = floor(x), false) AS after, coalesce(bin = floor(x1), false) AS before FROM a),
+m AS (SELECT *, CASE WHEN hp <= 5 THEN {_INNER.format(h0='hp', h1='h', d0='dp', d1='d')} WHEN hn <= 5 THEN {_END.format(h0='h', h1='hn', d0='d', d1='dn')} ELSE d END AS m0,
+  CASE WHEN hn <= 5 THEN {_INNER.format(h0='h', h1='hn', d0='d', d1='dn')} WHEN hp <= 5 THEN {_END.format(h0='h', h1='hp', d0='d', d1='dp')} ELSE d END AS m1 FROM h)
+SELECT series_id, bin, t0 + mid * p AS time, after OR before AS observed, CASE WHEN after OR before THEN 'observed' WHEN h <= 5 THEN 'filled' ELSE 'missing' END AS status,
+  CAST(CAST(CASE WHEN h <= 5 THEN y * (1 + 2 * t) * (1 - t) * (1 - t) + h * m0 * t * (1 - t) * (1 - t) + y1 * t * t * (3 - 2 * t) + h * m1 * t * t * (t - 1) WHEN after THEN y WHEN before THEN y1 END AS FLOAT) AS DOUBLE) AS value FROM m
+"""
+
 SQL = {
+    "p2_grid": _CUBIC,
     "p2_found": """
 SELECT s.series_id, b.bin
 FROM (SELECT series_id, min(case_id) AS case_id, min(channel) AS channel FROM numeric_sample GROUP BY 1) s
