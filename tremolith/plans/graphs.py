@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremolith.operators import cases as case_tables
-from tremolith.operators import fragments, protocol, selection, statistics
+from tremolith.operators import fragment_index, fragments, protocol, selection, statistics
 from tremolith.operators import observations as obs
 from tremolith.plans.reference import _BASE, EVENT_DELTA, _pool, _scaled, cases, entities, logs, samples
 from tremolith.runtime import materialize, numbered, table
@@ -95,12 +95,14 @@ k AS (SELECT case_id, es, CASE WHEN again THEN 'revisit' WHEN fork AND meet THEN
 
 @query(_FRAGMENTS + "SELECT case_id, len(es) AS size, family, count(*) AS fragments FROM k GROUP BY ALL")
 def fragment_family_counts(spark, sf):
-    return fragments.fragments(_eligible(spark, sf)).groupBy("case_id", F.col("size").cast("bigint").alias("size"), "family").agg(F.count("*").alias("fragments"))
+    found = fragment_index.counts(_eligible(spark, sf)).where("anchor is null")
+    return found.select("case_id", F.col("size").cast("bigint").alias("size"), "family", "fragments")
 
 
 @query(_FRAGMENTS + "SELECT case_id, entity AS anchor, family, count(*) AS fragments FROM (SELECT DISTINCT case_id, es, entity FROM e) JOIN k USING (case_id, es) GROUP BY ALL")
 def anchor_family_counts(spark, sf):
-    return fragments.anchor_counts(fragments.fragments(_eligible(spark, sf)))
+    found = fragment_index.counts(_eligible(spark, sf)).where("anchor is not null")
+    return found.groupBy("case_id", "anchor", "family").agg(F.sum("fragments").alias("fragments"))
 
 
 @query(_FRAGMENTS + """, a AS (SELECT DISTINCT k.case_id, k.family, e.entity AS anchor, array_to_string(k.es, ',') AS key FROM k JOIN e USING (case_id, es)),
