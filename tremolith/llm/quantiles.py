@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolith.runtime import materialize
+from tremolith.runtime import discard, materialize
 
 #: Parts that one value of a group is split into while repeated readings are dropped.
 SALTS = 32
@@ -58,9 +58,12 @@ class Cumulative:
 
     def __init__(self, table: DataFrame, groups: Sequence[str]):
         self.groups = list(groups)
+        # written first, as range bounds take a sample of the rows before they are moved
+        table = materialize(table, "unsorted")
         summed = table.repartitionByRange(*self.groups, "value").groupBy(*self.groups, "value").agg(F.sum("n").alias("n"))
         ordered = summed.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *self.groups, "value")
         self.sorted = materialize(ordered, "frequencies", by=["part"])
+        discard(table)
         totals = self.sorted.groupBy("part", *self.groups).agg(F.sum("n").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
         w = Window.partitionBy(*self.groups)
         #: One row per range partition and group: what comes before (``offset``), its own count ``m``, the group's ``total``.

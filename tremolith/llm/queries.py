@@ -117,12 +117,12 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Per document, its number of tokens and whether decoding gives its text back."""
+    """Per document, the characters that its decoded ids give, and whether these are its text."""
     documents = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     encoded = materialize(tokens.encode_documents(documents), "ids")
     back = tokens.decode_documents(encoded).withColumnRenamed("text", "decoded")
-    same = documents.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("decoded")).alias("same"))
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("tokens")).join(same, "doc_id")
+    same = documents.join(back, "doc_id")
+    return same.select("doc_id", F.char_length("decoded").cast("bigint").alias("chars"), (F.col("text") == F.col("decoded")).alias("same"))
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -212,6 +212,7 @@ WHERE below > 0.55 * total OR upto < 0.45 * total OR (spread <> 0 AND abs(scale
     "p1_percentiles": _READINGS + f"SELECT dataset_id, day, category, channel, count(*) AS observations, {_QUANTILES} FROM n GROUP BY ALL",
     "p1_merged": _READINGS + f"SELECT channel, count(*) AS observations, {_QUANTILES} FROM n GROUP BY ALL",
     "p1_bounded": _READINGS + "SELECT dataset_id, day, category, channel, count(*) AS observations, true AS within FROM n GROUP BY ALL",
+    "p6_round_trip": "SELECT doc_id, coalesce(length(text), 0) AS chars, true AS same FROM documents",
     "p7_plan": """
 WITH RECURSIVE d AS (SELECT source, count(*) AS documents, CAST(sum(n_chars) AS DOUBLE) AS size FROM documents WHERE n_chars > 0 GROUP BY source),
 s AS (SELECT t.source, t.weight AS w, coalesce(d.documents, 0) AS documents, coalesce(d.size, 0) AS size, t.max_repeats * coalesce(d.size, 0) AS room FROM mix_target t LEFT JOIN d USING (source)),
