@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tremolith.operators.control_chart import implausible_readings
 from tremolith.operators.intervals import interval_gaps, interval_periods
 from tremolith.operators.regular_grid import regular_grid
-from tremolith.runtime import table
+from tremolith.runtime import materialize, table
 
 USABLE = "(observed is null or observed) and value is not null and not isnan(value) and abs(value) < double('infinity')"
 
@@ -19,7 +19,8 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
     samples = table(spark, sf, "numeric_sample")
     bins = F.rint((F.col("incident_end") - F.col("start")) / F.col("period")).cast("bigint")
     placed = lambda df: df.join(cases, "case_id").join(channels, "channel").withColumn("bins", bins)
-    sources = placed(samples.groupBy("series_id").agg(F.min("case_id").alias("case_id"), F.min("channel").alias("channel"), F.count("*").alias("readings")))
+    # one row per series, read for its grid and for its density
+    sources = materialize(placed(samples.groupBy("series_id", "case_id", "channel").agg(F.count("*").alias("readings"))), "sources")
     return regular_grid(placed(samples.where(USABLE)), sources, "series_id", count="readings")
 
 
