@@ -93,6 +93,24 @@ def test_decoding_spreads_from_sources_only_along_active_relations(case, w):
     assert got["trace"].shape == (3, 3, 4, CHANNELS) and not got["metric"][2].any()
 
 
+def loop(states, edges, logits):
+    """Transport entity by entity, bin by bin."""
+    out = np.zeros_like(states)
+    for v in range(states.shape[0]):
+        for t in range(states.shape[1]):
+            pairs = [(e, j) for e in np.flatnonzero(edges[:, 1] == v) for j, lag in enumerate(forward.LAGS) if lag <= t]
+            if pairs:
+                share = neural.softmax(np.array([logits[e, j] for e, j in pairs]))
+                out[v, t] = sum(x * states[edges[e, 0], t - forward.LAGS[j]] for x, (e, j) in zip(share, pairs))
+    return out
+
+
+def test_transport_equals_the_loop():
+    r = np.random.default_rng(6)
+    states, edges, logits = r.normal(size=(4, 11, 3)), np.array([[0, 1], [2, 1], [1, 3], [0, 1]]), r.normal(size=(4, 5)) * 20
+    assert np.allclose(neural.transport(states, edges, logits), loop(states, edges, logits))
+
+
 def test_shares_of_one_step_equal_the_loop(case, w):
     """With the injection alone as state, one layer's message is the transport of the loop form."""
     rel, active = case["relations"][:2], np.ones((2, 4), bool)
@@ -100,7 +118,7 @@ def test_shares_of_one_step_equal_the_loop(case, w):
     h, visible, sets = np.random.default_rng(4).normal(size=(3, 4, forward.WIDTH)), np.ones((3, 4), bool), np.ones((1, 3), bool)
     injected = forward.decoded(h, visible, case["types"], rel, active, sets, w, layers=0)[0]
     one = forward.decoded(h, visible, case["types"], rel, active, sets, w, layers=1)[0]
-    assert np.allclose(one, injected + np.tanh(neural.transport(injected, rel, np.zeros((2, len(forward.LAGS))))))
+    assert np.allclose(one, injected + np.tanh(loop(injected, rel, np.zeros((2, len(forward.LAGS))))))
 
 
 def test_losses_by_hand():
@@ -108,3 +126,15 @@ def test_losses_by_hand():
     got = forward.case_losses(found, [0], np.array([1.0, 1.0]), np.array([[1, 0], [0, 1]], float), true=0)
     assert got["pn"] == pytest.approx(np.log(2)) and got["source"] == pytest.approx(1 + np.log(2)) and got["U_soft"] == pytest.approx(1.0)
     assert forward.case_losses(found, None, None, None) == {"pn": None, "source": None, "U_soft": None}
+
+
+def test_symptoms_of_a_frontend(spark, case, w):
+    from tremolith.operators.selection import symptom_tokens
+
+    front = forward.frontend(case, w, KINDS)
+    found = forward.symptom_rows("c", front, ["a", "b", "h"], ["r", "s", "t"])
+    assert len(found) == front["local_seen"].sum() + front["edge_seen"].sum() and {r["kind"] for r in found} == {"node", "edge"}
+    tokens = symptom_tokens(spark.createDataFrame(found, "case_id string, kind string, provenance string, vec array<double>, observed boolean"))
+    assert tokens.count() == len(found) and all(np.linalg.norm(r.vec) == pytest.approx(1) for r in tokens.collect())
+    with pytest.raises(ValueError):
+        forward.symptom_rows("c", front, ["a", "a", "h"], ["r", "s", "t"])

@@ -213,6 +213,13 @@ def test_sampled_ranks(spark):
     assert len(spread) == 9 and all(330 < r["count"] < 560 for r in spread)
 
 
+def test_ranks_are_found_in_their_blocks(spark):
+    blocks = spark.createDataFrame([("k", "a", 3), ("k", "b", 0), ("k", "c", 2), ("m", "a", 1)], "g string, b string, n bigint")
+    ranks = spark.createDataFrame([("k", r) for r in (0, 2, 2, 3, 4, 5)] + [("m", 0), ("none", 0)], "g string, rank bigint")
+    got = schedule.located_ranks(blocks, ranks, ["g"], ["b"], "n")
+    assert rows(got) == sorted([("k", 0, "a", 0), ("k", 2, "a", 2), ("k", 2, "a", 2), ("k", 3, "c", 0), ("k", 4, "c", 1), ("m", 0, "a", 0)])
+
+
 def test_decks_deal_every_case_once_a_round(spark):
     ids = spark.createDataFrame([(f"c{i}",) for i in range(9)], "case_id string")
     dealt = schedule.shuffled_decks(ids, 3).collect()

@@ -103,4 +103,4 @@ def test_snapshots_outputs_and_progress(spark, tmp_path):
     progress.update(epoch=1)
     progress.update(epoch=2)
     assert (tmp_path / "run" / "events.jsonl").read_text() == '{"epoch":1}\n{"epoch":2}\n' and json.loads((tmp_path / "run" / "status.json").read_text()) == {"epoch": 2}
-    assert m.run_identity(spark) == m.run_identity(spark)
+    assert m.run_identity(spark) == m.run_identity(spark) and len(m.code_identity()) == 64 and m.code_identity() == m.code_identity()

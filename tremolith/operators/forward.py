@@ -14,6 +14,7 @@ Weights are a dictionary of arrays; :func:`shapes` names them. Nothing here is t
 from __future__ import annotations
 
 import itertools
+import json
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import lru_cache
@@ -186,30 +187,38 @@ def _orders(n: int) -> np.ndarray:
 
 
 def structural_code(f: dict, types: int, kinds: int, candidate: int | None = None, ends: tuple[int, int] | None = None, branch: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_structural_code` of what the code depends on, which recurs and is kept for a bounded number of structures."""
+    start, end, entity = (np.asarray(f[c], float) for c in ("start", "end", "entity"))
+    order = np.where(end[:, None] < start[None], 0, np.where(end[None] < start[:, None], 1, 2))
+    mine = entity == candidate if candidate is not None else np.zeros(len(entity), bool)
+    whole = lambda a: tuple(int(x) for x in np.ravel(a))
+    return _structural_code(types, kinds, whole(f["category"]), whole(entity[:, None] == entity[None]), whole(order), whole(f["source"]), whole(f["target"]), whole(f["kind"]), whole(f["response"]), whole(mine), ends, tuple(sorted(branch)))
+
+
+@lru_cache(maxsize=2_048)
+def _structural_code(types: int, kinds: int, category: tuple, equal: tuple, relation: tuple, source: tuple, target: tuple, kind: tuple, response: tuple, mine: tuple, ends: tuple | None, branch: tuple) -> tuple[np.ndarray, np.ndarray]:
     """The least code of a fragment over all orders of its events, and the orders that give it.
 
     A code holds categories, typed adjacency, equality of entities, order in time, marks and what is there; no names. All
     orders are written at once as the rows of one matrix, whose least row is found by sorting."""
-    n = len(f["entity"])
+    n = len(category)
     p = _orders(n)
-    category = np.zeros((len(p), EVENTS, types), int)
-    category[:, :n] = np.eye(types, dtype=int)[np.asarray(f["category"])][p]
+    categories = np.zeros((len(p), EVENTS, types), int)
+    categories[:, :n] = np.eye(types, dtype=int)[np.array(category)][p]
     links = np.zeros((n, n, 2 * kinds), int)
-    np.add.at(links, (f["source"], f["target"], 2 * np.asarray(f["kind"]) + np.asarray(f["response"], int)), 1)
+    np.add.at(links, (list(source), list(target), 2 * np.array(kind) + np.array(response)), 1)
     adjacency = np.zeros((len(p), EVENTS, EVENTS, 2 * kinds), int)
     adjacency[:, :n, :n] = links[p[:, :, None], p[:, None, :]]
-    entity, start, end = (np.asarray(f[c]) for c in ("entity", "start", "end"))
     same = np.zeros((len(p), EVENTS, EVENTS), int)
-    same[:, :n, :n] = (entity[:, None] == entity[None])[p[:, :, None], p[:, None, :]]
-    relation = np.where(end[:, None] < start[None], 0, np.where(end[None] < start[:, None], 1, 2))
+    same[:, :n, :n] = np.reshape(equal, (n, n))[p[:, :, None], p[:, None, :]]
     order = np.full((len(p), EVENTS, EVENTS), 3)
-    order[:, :n, :n] = relation[p[:, :, None], p[:, None, :]]
+    order[:, :n, :n] = np.reshape(relation, (n, n))[p[:, :, None], p[:, None, :]]
     at = np.arange(n)
-    flags = np.stack([entity == (-1 if candidate is None else candidate), at == (ends[0] if ends else -1), at == (ends[1] if ends else -1), np.isin(at, list(branch))], -1).astype(int)
+    flags = np.stack([np.array(mine), at == (ends[0] if ends else -1), at == (ends[1] if ends else -1), np.isin(at, list(branch))], -1).astype(int)
     marks = np.zeros((len(p), EVENTS, 4), int)
     marks[:, :n] = flags[p]
-    there = np.r_[np.arange(EVENTS) < n, np.arange(EDGES) < len(f["source"])].astype(int)
-    flat = np.concatenate([a.reshape(len(p), -1) for a in (category, adjacency, same, np.eye(4, dtype=int)[order], marks)] + [np.tile(there, (len(p), 1))], 1)
+    there = np.r_[np.arange(EVENTS) < n, np.arange(EDGES) < len(source)].astype(int)
+    flat = np.concatenate([a.reshape(len(p), -1) for a in (categories, adjacency, same, np.eye(4, dtype=int)[order], marks)] + [np.tile(there, (len(p), 1))], 1)
     least = flat[np.lexsort(flat.T[::-1])[0]]
     return least, p[(flat == least).all(1)]
 
@@ -315,6 +324,18 @@ def scores(case: dict, w: dict, kinds: int) -> dict:
     return {"score": np.array(out), "front": front, "tokens": np.array([token(f, front, w, types, kinds)[0] for f in fragments]).reshape(-1, WIDTH), "marked": dict(marked)}
 
 
+def symptom_rows(case_id: str, front: dict, entities: Sequence[str], relations: Sequence[str]) -> list[dict]:
+    """Observed local states of entities and relations, one row per bin: ``case_id``, ``kind``, ``provenance``, ``vec``, ``observed``, as
+    ``selection.symptom_tokens`` takes them. Names are provenance only; nothing fused, predicted or structural is read."""
+    out = []
+    for kind, states, seen, names in (("node", front["local"], front["local_seen"], entities), ("edge", front["edge"], front["edge_seen"], relations)):
+        if len(set(names)) != len(names) or len(names) != len(states):
+            raise ValueError("states need one name each")
+        for v, b in zip(*np.nonzero(seen)):
+            out.append({"case_id": case_id, "kind": kind, "provenance": json.dumps([kind, names[v], int(b)], separators=(",", ":")), "vec": states[v, b].tolist(), "observed": True})
+    return out
+
+
 def process_at(found: dict, case: dict, w: dict, entity: int, time: float) -> np.ndarray | None:
     """An entity's process as seen from a time; None where no fragment has it."""
     if entity not in found["marked"]:

@@ -77,14 +77,20 @@ def attention(query: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.nda
 def transport(states: np.ndarray, edges: np.ndarray, logits: np.ndarray, lags: Sequence[int] = (0, 1, 2, 4, 8)) -> np.ndarray:
     """One lagged transport step: every node and bin mixes its sources' states at the lags, weighted by a softmax over
     all (edge, lag) that reach it. ``states`` [node, bin, width], ``logits`` [edge, lag]."""
+    nodes, bins, _ = states.shape
+    at = edges[:, 1]
+    reach = np.stack([np.arange(bins) >= lag for lag in lags])
+    x = np.where(reach[None], logits[:, :, None], -np.inf)
+    top = np.full((nodes, bins), -np.inf)
+    np.maximum.at(top, at, x.max(1))
+    e = np.exp(x - np.where(np.isfinite(top), top, 0.0)[at][:, None])
+    total = np.zeros((nodes, bins))
+    np.add.at(total, at, e.sum(1))
+    share = e / np.maximum(total, 1e-300)[at][:, None]
     out = np.zeros_like(states)
-    for node in range(states.shape[0]):
-        incoming = np.flatnonzero(edges[:, 1] == node)
-        for t in range(states.shape[1]):
-            pairs = [(e, j) for e in incoming for j, lag in enumerate(lags) if lag <= t]
-            if pairs:
-                w = softmax(np.array([logits[e, j] for e, j in pairs]))
-                out[node, t] = sum(wi * states[edges[e, 0], t - lags[j]] for wi, (e, j) in zip(w, pairs))
+    for j, lag in enumerate(lags):
+        if lag < bins:
+            np.add.at(out, (at, slice(lag, None)), states[edges[:, 0], : bins - lag] * share[:, j, lag:, None])
     return out
 
 

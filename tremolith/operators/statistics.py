@@ -97,8 +97,27 @@ def grid_interval(df: DataFrame, series: str, time: str, order: str, least: int
     return exact_percentiles(each.withColumn("__all", F.lit(1)), ["__all"], "p", {"delta": 0.5}).select("delta", F.col("n").alias("series"))
 
 
+def thin_references(samples: DataFrame, keys: Sequence[str], least: int = 1) -> DataFrame:
+    """``keys``, ``observations`` of what occurs in the incident but has fewer than ``least`` observed readings in the reference."""
+    reference = F.col("observed") & (F.col("time") >= F.col("reference_start")) & (F.col("time") < F.col("incident_start"))
+    found = samples.groupBy(*keys).agg(F.count_if(reference).alias("observations"), F.max(F.col("time") >= F.col("incident_start")).alias("__seen"))
+    return found.where(F.col("__seen") & (F.col("observations") < least)).drop("__seen")
+
+
 def weighted_mean(df: DataFrame, groups: Sequence[str], value: Column, weight: Column) -> DataFrame:
     """``groups``, ``mean``, ``weight``; rows of null value or weight don't count."""
     ok = value.isNotNull() & weight.isNotNull()
     total = F.sum(F.when(ok, weight))
     return df.groupBy(*groups).agg((F.sum(F.when(ok, value * weight)) / F.nullif(total, F.lit(0))).alias("mean"), total.alias("weight"))
+
+
+def weighted_mean_vectors(df: DataFrame, groups: Sequence[str], vector: str, weight: Column) -> DataFrame:
+    """``groups``, ``mean`` (array), ``weight``: the weighted mean of vectors of one length. Rows of a null vector or weight don't
+    count; a group whose weights sum to 0 has a null mean. Coordinates are summed before they are shuffled."""
+    rows = df.select(*groups, F.col(vector).alias("__v"), weight.cast("double").alias("__w")).where("__v is not null and __w is not null")
+    cells = rows.select(*groups, "__w", F.posexplode("__v").alias("__i", "__x"))
+    sums = cells.groupBy(*groups, "__i").agg(F.sum(F.col("__x").cast("double") * F.col("__w")).alias("__s"), F.sum("__w").alias("__w"))
+    # a row per coordinate of one vector, so the array is as long as the vectors
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__s"))), lambda c: c["__s"])
+    out = sums.groupBy(*groups).agg(ordered.alias("__sums"), F.max("__w").alias("weight"))
+    return out.select(*groups, F.when(F.col("weight") != 0, F.transform("__sums", lambda x: x / F.col("weight"))).alias("mean"), "weight")

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tremolith.operators import annotations, curation, labels, ledger, protocol, schedule, topology
+from tremolith.functions import sets, tables
+from tremolith.operators import annotations, curation, fragment_index, labels, ledger, protocol, schedule, statistics, topology
 from tremolith.operators import observations as obs
-from tremolith.plans.graphs import _RANKED, _marked
-from tremolith.plans.reference import _BASE, DELTA, cases, entities, logs, samples, single
+from tremolith.plans.graphs import _FRAGMENTS, _RANKED, _eligible, _marked
+from tremolith.plans.reference import _BASE, DELTA, _scaled, cases, entities, logs, samples, single
 from tremolith.runtime import materialize, scratch_dir, table
-from tremolith.sources import files
+from tremolith.sources import documents, files
 from tremolith.streaming import ingest
 
 QUERIES: dict = {}
@@ -202,6 +203,30 @@ def eligible_decks(spark, sf):
     return schedule.shuffled_decks(cases(spark, sf), 3, seed=9).withColumn("place", F.col("place").cast("bigint"))
 
 
+@query(_FRAGMENTS + """, nn AS (SELECT case_id, len(es) AS size, family, count(*) AS n FROM k GROUP BY ALL),
+bb AS (SELECT *, sum(n) OVER (PARTITION BY case_id ORDER BY size, family) AS stop FROM nn), tt AS (SELECT case_id, sum(n) AS total FROM nn GROUP BY case_id),
+rr AS (SELECT case_id, CAST(floor(total * q.q / 5) AS BIGINT) AS rank FROM tt, unnest(range(5)) AS q(q))
+SELECT DISTINCT rr.case_id, rank, size, family, CAST(rank - (stop - n) AS BIGINT) AS local FROM rr JOIN bb ON bb.case_id = rr.case_id AND rank < stop AND rank >= stop - n""")
+def fragment_rank_blocks(spark, sf):
+    """Five ranks among all fragments of each case, with the size and family that hold them."""
+    counts = materialize(fragment_index.counts(_eligible(spark, sf)).where("anchor is null").select("case_id", F.col("size").cast("bigint").alias("size"), "family", "fragments"), "counts")
+    totals = counts.groupBy("case_id").agg(F.sum("fragments").alias("total"))
+    ranks = totals.select("case_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda q: F.floor(F.col("total") * q / 5))).alias("rank"))
+    return schedule.located_ranks(counts, ranks, ["case_id"], ["size", "family"], "fragments").distinct()
+
+
+@query("""WITH c AS (SELECT DISTINCT case_id, dataset_id || '/' || day AS day, reference_start, reference_end, incident_start FROM incident_case), n AS (SELECT day, arg_min(reference_start, case_id) AS normal_start FROM c GROUP BY day)
+SELECT case_id, normal_start FROM c JOIN n USING (day)""")
+def paired_windows(spark, sf):
+    """Every incident with the one normal window of its data set and day."""
+    from tremolith.operators import cases as case_tables
+
+    c = cases(spark, sf).select("case_id", F.concat_ws("/", "dataset_id", "day").alias("day"), "reference_start", "reference_end", "incident_start", "incident_end")
+    normal = c.groupBy("day").agg(F.min_by(F.struct("reference_start", "reference_end"), "case_id").alias("w")).select(F.lit(None).cast("string").alias("case_id"), "day", F.lit("normal").alias("kind"), F.col("w.reference_start").alias("start"), F.col("w.reference_end").alias("end"))
+    faults = c.select("case_id", "day", F.lit("fault").alias("kind"), F.col("incident_start").alias("start"), F.col("incident_end").alias("end"))
+    return case_tables.paired_windows(normal.unionByName(faults), "day", "kind").select("case_id", "normal_start")
+
+
 # --- inherited calls, losses -----------------------------------------------------------------------------------------
 
 
@@ -241,6 +266,73 @@ def motif_sample_means(spark, sf):
     return means.groupBy("case_id", "owner", "bin").agg(F.count("*").alias("channels"), single(F.min("m")).alias("least"), single(F.max("m")).alias("most"))
 
 
+@query("""WITH x AS (SELECT label, 1 + vec_id % 5 AS w, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT label, i, round(sum(v * w) / sum(w), 6) AS x, CAST(sum(w) AS DOUBLE) AS weight FROM x GROUP BY label, i""")
+def weighted_mean_vectors(spark, sf):
+    """Weighted mean vectors by label, as text references and pooled logs are made."""
+    found = statistics.weighted_mean_vectors(table(spark, sf, "embeddings"), ["label"], "embedding", 1 + F.col("vec_id") % 5)
+    return found.select("label", F.posexplode("mean").alias("i", "x"), "weight").select("label", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"), "weight")
+
+
+@query(_BASE + """, b AS (SELECT e.category, ln(1 + sum(l.frequency)) AS v FROM logs l JOIN cases c USING (case_id) JOIN ent e ON e.case_id = l.case_id AND e.id = l.owner
+  WHERE l.time >= c.reference_start AND l.time < c.incident_start GROUP BY l.case_id, l.owner, e.category, floor((l.time - c.reference_start) / 300)),
+m2 AS (SELECT category, median(v) AS center, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, count(*) AS n FROM b GROUP BY category),
+d2 AS (SELECT category, 1.4826 * median(abs(v - center)) AS mad, max(abs(v - center)) AS amp, stddev_pop(v) AS sd FROM b JOIN m2 USING (category) GROUP BY category)
+SELECT category, '__log_frequency__' AS channel, round(center, 6) AS center, round(CASE WHEN mad <> 0 THEN mad WHEN q75 <> q25 THEN (q75 - q25) / 1.349 WHEN amp <> 0 THEN sd ELSE 1 END, 6) AS scale, n AS observations
+FROM m2 JOIN d2 USING (category)""")
+def log_frequency_scale(spark, sf):
+    """Robust scales of the log frequency per owner and bin of the references, a channel of its own."""
+    kinds = entities(spark, sf).select("case_id", F.col("id").alias("owner"), "category")
+    window = cases(spark, sf).select("case_id", "reference_start", "incident_start")
+    inside = logs(spark, sf).join(window, "case_id").where("time >= reference_start and time < incident_start").join(kinds, ["case_id", "owner"])
+    at = obs.bin_index(F.col("time"), F.col("reference_start"), F.lit(DELTA)).alias("bin")
+    pool = inside.groupBy("case_id", "owner", "category", at).agg(F.log1p(F.sum("frequency").cast("double")).alias("value")).withColumn("channel", F.lit("__log_frequency__"))
+    found = statistics.robust_scale(pool, ["category", "channel"], "value")
+    return found.select("category", "channel", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"), "observations")
+
+
+@query(_BASE + """, e AS (SELECT case_id, channel AS mask, owner = 'service:gateway' AS is_true, abs(z) AS err FROM z WHERE supported AND time >= incident_start AND time < incident_end),
+m AS (SELECT case_id, mask, avg(err) FILTER (NOT is_true) - avg(err) FILTER (is_true) AS g FROM e GROUP BY ALL), q AS (SELECT case_id, avg(g) AS gap FROM m GROUP BY case_id)
+SELECT count(gap) AS cases, round(avg(gap), 4) AS gap, round(avg(CASE WHEN gap IS NOT NULL THEN CAST(gap > 0 AS INT) END), 6) AS positive, count(*) FILTER (gap IS NULL) AS ineligible FROM q""")
+def completion_report(spark, sf):
+    """Cases, mean gap, share of positive gaps and ineligible cases of the completion by the true source."""
+    rows = _scaled(spark, sf).where("supported and time >= incident_start and time < incident_end")
+    rows = rows.select("case_id", F.col("channel").alias("mask"), F.abs("z").alias("err"), (F.col("owner") == "service:gateway").alias("is_true"))
+    found = protocol.completion_summary(rows, "case_id", "mask", "err", "is_true")
+    return found.select("cases", F.round("gap", 4).alias("gap"), F.round("positive", 6).alias("positive"), F.size("ineligible").cast("bigint").alias("ineligible"))
+
+
+@query("""WITH s AS (SELECT case_id, list(DISTINCT id) AS ids FROM entity_catalog GROUP BY case_id), c AS (SELECT DISTINCT case_id, dataset_id FROM incident_case),
+f AS (SELECT dataset_id, min(case_id) AS first FROM c GROUP BY dataset_id)
+SELECT c.case_id, round(len(list_intersect(a.ids, b.ids)) / len(list_distinct(list_concat(a.ids, b.ids))), 6) AS jaccard FROM c JOIN f USING (dataset_id) JOIN s a ON a.case_id = c.case_id JOIN s b ON b.case_id = f.first""")
+def catalog_jaccard(spark, sf):
+    """How much of its catalog each case shares with the first case of its data set."""
+    ids = entities(spark, sf).groupBy("case_id").agg(F.collect_set("id").alias("ids"))
+    mine = cases(spark, sf).select("case_id", "dataset_id")
+    first = mine.groupBy("dataset_id").agg(F.min("case_id").alias("first")).join(ids.withColumnsRenamed({"case_id": "first", "ids": "base"}), "first")
+    return mine.join(ids, "case_id").join(first, "dataset_id").select("case_id", F.round(sets.jaccard(F.col("ids"), F.col("base")), 6).alias("jaccard"))
+
+
+@query("""SELECT case_id, id, b.bin FROM (SELECT DISTINCT case_id, id, start_time, end_time FROM topology_relation WHERE end_time >= start_time) r,
+unnest(range(CAST(floor(start_time / 600) AS BIGINT), CASE WHEN start_time = end_time THEN CAST(floor(start_time / 600) AS BIGINT) + 1 ELSE CAST(ceil(end_time / 600) AS BIGINT) END)) AS b(bin)""")
+def relation_touched_bins(spark, sf):
+    """Ten-minute bins that each relation's hull touches, by the table function."""
+    tables.register(spark)
+    hulls = table(spark, sf, "topology_relation").select("case_id", "id", "start_time", "end_time").where("end_time >= start_time").distinct()
+    return spark.sql("select r.case_id, r.id, b.bin from {hulls} r, lateral touched_bins(r.start_time, r.end_time, 0.0D, 600.0D) b", hulls=hulls)
+
+
+@query("SELECT case_id, sha256(case_id) AS sha256 FROM (SELECT DISTINCT case_id FROM incident_case)")
+def case_documents(spark, sf):
+    """Every case as a canonical document and back: the ids that come back, with their hashes."""
+    ents, c = entities(spark, sf).select("case_id", "id", "category", "candidate"), cases(spark, sf)
+    readings = samples(spark, sf).select("case_id", "modality", "owner", "channel", F.col("series_id").cast("string").alias("identity"), "seq", "time", "value", "observed")
+    rel = table(spark, sf, "topology_relation").dropDuplicates(["case_id", "id"]).select("case_id", "id", "source", "target", "kind", "owner", "response", "start_time", "end_time", "active_intervals")
+    said = logs(spark, sf).where("owner is not null").select("case_id", "owner", "time", "text", "frequency")
+    text = materialize(documents.to_text(documents.case_rows(c, ents, readings, said, rel)), "case-text")
+    return documents.from_text(text).select("case_id", F.sha2("case_id", 256).alias("sha256"))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 

@@ -125,15 +125,12 @@ def zscore_samples(spark, sf):
     return _scaled(spark, sf).select("series_id", "seq", F.round("z", 4).alias("z"), "supported", obs.band(F.col("z"), F.col("supported")).alias("band"))
 
 
-@query(_BASE + """SELECT DISTINCT s.case_id, s.category, s.channel FROM s WHERE time >= incident_start AND NOT EXISTS (
-SELECT 1 FROM pool p WHERE p.case_id = s.case_id AND p.category = s.category AND p.channel = s.channel AND p.value <> 0)""")
+@query(_BASE + """SELECT case_id, owner, channel, count(*) FILTER (observed AND time >= reference_start AND time < incident_start) AS observations FROM s
+GROUP BY case_id, owner, channel HAVING bool_or(time >= incident_start) AND count(*) FILTER (observed AND time >= reference_start AND time < incident_start) < 20""")
 def unsupported_channels(spark, sf):
-    """Channels of an incident that nothing but zeros stands for in the case's own reference."""
-    s = samples(spark, sf).select("case_id", "category", "channel", "time", "value", "observed", "reference_start", "incident_start")
-    reference = F.col("observed") & (F.col("time") >= F.col("reference_start")) & (F.col("time") < F.col("incident_start")) & (F.col("value") != 0)
-    keys = ["case_id", "category", "channel"]
-    found = s.groupBy(*keys).agg(F.max(F.col("time") >= F.col("incident_start")).alias("seen"), F.max(reference).alias("known"))
-    return found.where("seen and not known").select(*keys)
+    """Channels of an owner that occur in the incident, but hardly in the case's own reference."""
+    s = samples(spark, sf).select("case_id", "owner", "channel", "time", "observed", "reference_start", "incident_start")
+    return statistics.thin_references(s, ["case_id", "owner", "channel"], 20)
 
 
 @query(_BASE + """SELECT c.dataset_id, n.modality, count(*) AS records,

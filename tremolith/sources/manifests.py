@@ -236,3 +236,12 @@ def bound_search(manifest: Manifest, partition: Sequence[Mapping], seed: int) ->
 def run_identity(spark: SparkSession, names: Sequence[str] = ("spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")) -> dict:
     """The settings that results may depend on; compared before and after a run."""
     return {n: spark.conf.get(n, None) for n in names} | {"version": spark.version}
+
+
+def code_identity() -> str:
+    """SHA-256 over the names and contents of this package's modules, which a run records."""
+    import tremolith
+
+    root = os.path.dirname(os.path.abspath(tremolith.__file__))
+    found = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".py"))
+    return digest([[os.path.relpath(f, root), hashlib.sha256(open(f, "rb").read()).hexdigest()] for f in found])
