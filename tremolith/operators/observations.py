@@ -165,6 +165,18 @@ def bin_index(time: Column, start: Column, width: Column) -> Column:
     return F.floor((time - start) / width).cast("bigint")
 
 
+def rfc3339(c: Column) -> Column:
+    """Timestamp of an RFC 3339 text with an explicit offset, to the microsecond; null stays null, any other text fails."""
+    ok = c.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+    parsed = F.try_to_timestamp(F.regexp_replace(F.upper(c), r"(\.\d{6})\d+", "$1"))
+    return F.when(c.isNull(), F.lit(None)).when(ok & parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit("no RFC 3339 time")).cast("timestamp"))
+
+
+def shift_times(df: DataFrame, seconds: float, columns: Sequence[str] = ("time",)) -> DataFrame:
+    """Readings, records or windows with all their times moved by a number of seconds; null times stay null."""
+    return df.withColumns({c: F.col(c) + F.lit(float(seconds)) for c in columns})
+
+
 def shift_relation(df: DataFrame, seconds: float, columns: Sequence[str] = ("start_time", "end_time"), intervals: str = "active_intervals") -> DataFrame:
     """Moves times and active intervals by a number of seconds."""
     by = F.lit(float(seconds))

@@ -38,31 +38,32 @@ def _header(spark: SparkSession, path: str, required: Sequence[str]) -> list[str
     return names
 
 
-def _csv(spark: SparkSession, path: str, names: Sequence[str], mode: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, names: Sequence[str], mode: str, multiline: bool = True) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + ([T.StructField(CORRUPT, T.StringType())] if mode == "PERMISSIVE" else []))
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("quote", '"').option("escape", '"')
     return reader.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def strict_csv(spark: SparkSession, path: str, required: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+def strict_csv(spark: SparkSession, path: str, required: Sequence[str] = (), keep: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
     """All columns of CSV files of one header as text, with ``_source``; repeated or missing header names fail at once, rows of
     another width than the header when they are read. Label-bearing columns are refused, unless only the columns ``keep``
-    are taken. ``path`` may be a pattern; fields may span lines."""
+    are taken. ``path`` may be a pattern. Fields may span lines, so a file is read by one task; with ``multiline=False`` large
+    files are split, and a field that spans lines fails as a row of another width."""
     names = _header(spark, path, required)
-    df = _csv(spark, path, names, "FAILFAST").withColumn("_source", F.col("_metadata.file_path"))
+    df = _csv(spark, path, names, "FAILFAST", multiline).withColumn("_source", F.col("_metadata.file_path"))
     return reject_label_columns(df if keep is None else df.select(*keep, "_source"))
 
 
-def trace_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def trace_csv(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows of trace exports and their quarantine (``file``, ``row``, ``sha256``, ``reason``).
 
     Only the last row of a file that lacks its last field and its line end may be set aside; any other malformed row
     fails. ``path`` may be a pattern: each file is judged by itself, and only files with a malformed row are looked at
-    again, by their last bytes alone.
+    again, by their last bytes alone. No field of a trace spans lines, so large files are split (unless ``multiline``).
     """
     names = _header(spark, path, TRACE_COLUMNS)
     # parsed once and written, as Spark gives malformed rows of a file no plan of their own
-    rows = materialize(_csv(spark, path, names, "PERMISSIVE").withColumn("file", F.col("_metadata.file_path")), "trace-rows")
+    rows = materialize(_csv(spark, path, names, "PERMISSIVE", multiline).withColumn("file", F.col("_metadata.file_path")), "trace-rows")
     bad = rows.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("row"))
     torn = [r["file"] for r in bad.groupBy("file").agg(F.max(F.octet_length("row")).alias("n")).orderBy("file").limit(10_000).collect()]
     plain = F.lit(r'^(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")(?:,(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")){7}$')
