@@ -92,14 +92,15 @@ def release(spark: SparkSession) -> None:
     fs.delete(target, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The rows over at least as many partitions as there are cores.
 
     A table in fewer files than cores would leave cores idle through the costly part of a scan; larger tables have
-    partitions enough and stay as they are. Only the layout changes, never the rows.
+    partitions enough and stay as they are. Only the layout changes, never the rows. ``by`` names columns that the rows are
+    grouped by next, so that they needn't move again; their values should be many.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
 
 def ranges(written: DataFrame, order: Sequence[str], rows: int, label: str = "ranges") -> DataFrame:
