@@ -92,7 +92,7 @@ def p1_bounded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf: str, least: int) -> DataFrame:
-    logs = spread(table(spark, sf, "log_record").select("case_id", "owner", "log_id", "time", "text", "frequency")).withColumn("said", runs.message(F.col("text")))
+    logs = spread(table(spark, sf, "log_record").select("case_id", "owner", "log_id", "time", "text", "frequency"), by=["log_id"]).withColumn("said", runs.message(F.col("text")))
     return runs.collapse_runs(logs, ["case_id", "owner"], id="log_id", time="time", said="said", frequency="frequency", least=least)
 
 
