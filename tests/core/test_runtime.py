@@ -93,3 +93,22 @@ def test_thin_references_and_weighted_vectors(spark):
     assert rows(statistics.thin_references(df, ["k"], 1)) == [("b", 0)]
     vectors = spark.createDataFrame([("g", [1.0, 0.0], 1.0), ("g", [0.0, 4.0], 3.0), ("g", None, 9.0), ("z", [1.0, 1.0], 0.0)], "g string, v array<double>, w double")
     assert rows(statistics.weighted_mean_vectors(vectors, ["g"], "v", F.col("w"))) == [("g", [0.25, 3.0], 4.0), ("z", None, 0.0)]
+
+
+def test_positions_within_keys(spark):
+    data = [(k, i) for k, n in (("a", 400), ("b", 3)) for i in range(n)]
+    random.Random(3).shuffle(data)
+    got = runtime.numbered_within(spark.createDataFrame(data, "k string, i int"), ["k"], ["i"], rows=50)
+    assert rows(got.select("k", "i", "place")) == sorted(((k, i, i + 1) for k, i in data), key=repr)
+
+
+def test_parts_of_cases_that_do_not_fit(spark):
+    cases = spark.createDataFrame([("c", 0.0, 5.0, 9.0), ("d", 6.0, 5.0, 9.0)], "case_id string, reference_start double, incident_start double, incident_end double")
+    entities = spark.createDataFrame([("c", "a", "service", True), ("c", "a", "service", True), ("c", "b", "service", True), ("c", "b", "host", True)], "case_id string, id string, category string, candidate boolean")
+    relations = spark.createDataFrame([("c", "r", "a", "b", "call", 0.0, 9.0, [(1.0, 2.0)]), ("c", "s", "a", "x", "call", 0.0, 9.0, [(1.0, 12.0)]), ("c", "t", "a", "b", "call", 5.0, 4.0, None)], "case_id string, id string, source string, target string, kind string, start_time double, end_time double, active_intervals array<struct<a:double,b:double>>")
+    readings = spark.createDataFrame([(1, 0, "c", "metric", "a", 1.0), (1, 1, "c", "metric", "a", 0.5), (2, 0, "c", "trace", "r", 1.0), (3, 0, "c", "trace", "a", 1.0), (4, 0, "c", "metric", "q", 1.0)], "series_id bigint, seq bigint, case_id string, modality string, owner string, time double")
+    logs = spark.createDataFrame([(1, "c", "a", 1), (2, "c", None, 1), (3, "c", "y", 0)], "log_id bigint, case_id string, owner string, frequency bigint")
+    assert rows(observations.case_faults(cases, entities, readings, logs, relations)) == sorted([
+        ("d", "d", "windows out of order"), ("c", "b", "an id with several meanings"), ("c", "s", "an endpoint that isn't there"), ("c", "q", "a metric without its owner"), ("c", "a", "a trace without its relation"),
+        ("c", "y", "a record without its owner"), ("c", "3", "a frequency below one"), ("c", "t", "a relation that ends before it starts"), ("c", "s", "an interval outside its relation"), ("c", "1", "a series that runs backwards"),
+    ], key=repr)

@@ -261,3 +261,43 @@ def mask_logs(records: DataFrame, blocks: DataFrame, unit: Sequence[str] = ("cas
     of nodes, with the columns ``unit``; records without an owner are in no block."""
     hidden = blocks.select(*unit).distinct()
     return records.join(hidden, list(unit), "left_anti"), records.join(hidden, list(unit), "left_semi")
+
+
+def case_faults(cases: DataFrame, entities: DataFrame, readings: DataFrame, logs: DataFrame, relations: DataFrame) -> DataFrame:
+    """``case_id``, ``what``, ``fault`` of cases whose parts don't fit: ids that occur twice with other attributes, windows out of
+    order, owners and endpoints that aren't there, series that run backwards, records without a positive frequency, and
+    active intervals that run backwards or leave their relation's hull.
+
+    ``readings`` have ``series_id``, ``seq``, ``modality``, ``owner``, ``time``; metrics belong to entities, traces to relations.
+    Copies of one row are no fault.
+    """
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    def found(df: DataFrame, what: Column, fault: str) -> DataFrame:
+        return df.select("case_id", what.cast("string").alias("what"), F.lit(fault).alias("fault")).distinct()
+
+    def twice(df: DataFrame, *attributes: str) -> DataFrame:
+        versions = df.groupBy("case_id", "id").agg(F.countDistinct(F.struct(*attributes)).alias("__k")).where("__k > 1")
+        return found(versions, F.col("id"), "an id with several meanings")
+
+    known = entities.select("case_id", F.col("id").alias("owner")).distinct()
+    calls = relations.select("case_id", F.col("id").alias("owner")).distinct()
+    ends = relations.select("case_id", "id", F.explode(F.array("source", "target")).alias("owner")).distinct()
+    owned = readings.select("case_id", "modality", "owner").distinct()
+    step = F.lag("time").over(Window.partitionBy("series_id").orderBy("seq"))
+    spans = relations.select("case_id", "id", "start_time", "end_time", F.explode("active_intervals").alias("i"))
+    outside = (F.col("i.b") < F.col("i.a")) | (F.col("i.a") < F.col("start_time")) | (F.col("i.b") > F.col("end_time"))
+    return reduce(DataFrame.unionByName, [
+        found(cases.where("not (reference_start <= incident_start and incident_start < incident_end)"), F.col("case_id"), "windows out of order"),
+        twice(entities, "category", "candidate"), twice(relations, "source", "target", "kind"),
+        found(ends.join(known, ["case_id", "owner"], "left_anti"), F.col("id"), "an endpoint that isn't there"),
+        found(owned.where("modality = 'metric'").join(known, ["case_id", "owner"], "left_anti"), F.col("owner"), "a metric without its owner"),
+        found(owned.where("modality = 'trace'").join(calls, ["case_id", "owner"], "left_anti"), F.col("owner"), "a trace without its relation"),
+        found(logs.where("owner is not null").select("case_id", "owner").distinct().join(known, ["case_id", "owner"], "left_anti"), F.col("owner"), "a record without its owner"),
+        found(logs.where("frequency < 1"), F.col("log_id"), "a frequency below one"),
+        found(relations.where("end_time < start_time"), F.col("id"), "a relation that ends before it starts"),
+        found(spans.where(outside), F.col("id"), "an interval outside its relation"),
+        found(readings.withColumn("__before", step).where(F.col("time") < F.col("__before")), F.col("series_id"), "a series that runs backwards"),
+    ])

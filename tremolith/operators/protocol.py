@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolith.runtime import few, materialize, numbered
+from tremolith.runtime import few, materialize, numbered, numbered_within
 
 SCHEMA = "tremolith/partition/1"
 GENESIS = "0" * 64
@@ -58,6 +58,25 @@ def hamilton_quotas(strata: DataFrame, stratum: str, seats: int, dataset: str, s
     return rows.withColumn("place", place).select(stratum, "members", "base", "remainder", (F.col("base") + (F.col("place") <= F.col("left")).cast("bigint")).alias("quota"))
 
 
+def stratified_partition(cases: DataFrame, stratum: str, seats: int, dataset: str, seed: int) -> DataFrame:
+    """``case_id``, ``stratum``, ``role`` (selected or search), ``place``: a holdout of ``seats`` cases in proportion to the strata.
+
+    Each stratum gives its quota of largest remainders, the members of least hash first; the selected cases are presented,
+    and the others searched, in hash orders of their own. A case has one stratum (its least, should rows disagree).
+    """
+    once = cases.groupBy("case_id").agg(F.min(stratum).alias(stratum))
+    quotas = hamilton_quotas(once, stratum, seats, dataset, seed).select(stratum, "quota")
+    text = F.col(stratum).cast("string")
+    priority = F.sha2(json_text(case_id=F.col("case_id"), stratum_id=text, substream_seed=substream(dataset, "within-stratum", seed)), 256)
+    ranked = numbered_within(once.withColumn("priority", priority), [stratum], ["priority", "case_id"])
+    chosen = materialize(ranked.join(quotas, stratum).withColumn("role", F.when(F.col("place") <= F.col("quota"), "selected").otherwise("search")).select("case_id", stratum, "role"), "strata")
+    out = []
+    for role, purpose in (("selected", "semantic-presentation"), ("search", "demo-search")):
+        part = chosen.where(F.col("role") == role).withColumn("priority", hash_priority(F.col("case_id"), substream(dataset, purpose, seed)))
+        out.append(numbered(part, ["priority", "case_id"]).select("case_id", F.col(stratum).alias("stratum"), "role", "place"))
+    return out[0].unionByName(out[1])
+
+
 def record_hash(sequence: Column, previous: Column, payload: Column) -> Column:
     """Hash of one ledger record."""
     return F.sha2(F.concat_ws("|", sequence.cast("string"), previous, payload), 256)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tremolith.functions import sets, tables
 from tremolith.operators import annotations, curation, fragment_index, labels, ledger, protocol, schedule, statistics, topology
 from tremolith.operators import observations as obs
-from tremolith.plans.graphs import _FRAGMENTS, _RANKED, _eligible, _marked
+from tremolith.plans.graphs import _FRAGMENTS, _ORDERED, _RANKED, _STREAM, _eligible, _marked
 from tremolith.plans.reference import _BASE, DELTA, _scaled, cases, entities, logs, samples, single
 from tremolith.runtime import materialize, scratch_dir, table
 from tremolith.sources import documents, files
@@ -187,6 +187,40 @@ def label_record_issues(spark, sf):
     return curation.record_issues(materialize(records, "records"), windows, catalog)
 
 
+@query(f"""WITH c AS (SELECT case_id, min(dataset_id || '/' || substr(day, 6, 2)) AS stratum FROM incident_case GROUP BY case_id), n AS (SELECT stratum, count(*) AS members FROM c GROUP BY 1), t AS (SELECT sum(members) AS total FROM n),
+b AS (SELECT stratum, members, CAST(floor(12 * members / total) AS BIGINT) AS base, CAST((12 * members) % total AS BIGINT) AS remainder, sha256('{{"stratum_id":"' || stratum || '","substream_seed":"' || {_STREAM % 'stratum-tie'} || '"}}') AS tie FROM n, t),
+q AS (SELECT stratum, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, tie, stratum) <= 12 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS quota FROM b),
+m AS (SELECT c.*, row_number() OVER (PARTITION BY stratum ORDER BY sha256('{{"case_id":"' || case_id || '","stratum_id":"' || stratum || '","substream_seed":"' || {_STREAM % 'within-stratum'} || '"}}'), case_id) AS r FROM c),
+d AS (SELECT case_id, stratum, CASE WHEN r <= quota THEN 'selected' ELSE 'search' END AS role FROM m JOIN q USING (stratum))
+SELECT case_id, stratum, role, row_number() OVER (ORDER BY {_ORDERED % (_STREAM % 'semantic-presentation')}, case_id) AS place FROM d WHERE role = 'selected'
+UNION ALL SELECT case_id, stratum, role, row_number() OVER (ORDER BY {_ORDERED % (_STREAM % 'demo-search')}, case_id) FROM d WHERE role = 'search'""")
+def stratified_partition(spark, sf):
+    """Twelve cases held out in proportion to data set and month."""
+    strata = cases(spark, sf).select("case_id", F.concat_ws("/", "dataset_id", F.substring("day", 6, 2)).alias("s"))
+    return protocol.stratified_partition(strata, "s", 12, "incidents", 7)
+
+
+@query(_BASE.replace("SELECT DISTINCT case_id, id, category, candidate FROM entity_catalog", "SELECT DISTINCT case_id, id, category, candidate FROM entity_catalog WHERE candidate") + """, nr AS (SELECT DISTINCT series_id, seq, case_id, modality, owner, CASE WHEN seq % 50 = 49 THEN time - 10000 ELSE time END AS time FROM numeric_sample),
+tr AS (SELECT DISTINCT * REPLACE ((start_time + end_time) / 2 AS end_time) FROM topology_relation),
+iv AS (SELECT case_id, id, start_time, end_time, unnest(active_intervals) AS i FROM tr)
+SELECT case_id, id AS what, 'an id with several meanings' AS fault FROM ent GROUP BY case_id, id HAVING count(*) > 1
+UNION ALL SELECT case_id, id, 'an id with several meanings' FROM (SELECT DISTINCT case_id, id, source, target, kind FROM tr) GROUP BY case_id, id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT case_id, id, 'an endpoint that isn''t there' FROM (SELECT case_id, id, unnest([source, target]) AS x FROM tr) WHERE (case_id, x) NOT IN (SELECT (case_id, id) FROM ent)
+UNION ALL SELECT DISTINCT case_id, owner, 'a metric without its owner' FROM nr WHERE modality = 'metric' AND (case_id, owner) NOT IN (SELECT (case_id, id) FROM ent)
+UNION ALL SELECT DISTINCT case_id, owner, 'a trace without its relation' FROM nr WHERE modality = 'trace' AND (case_id, owner) NOT IN (SELECT (case_id, id) FROM tr)
+UNION ALL SELECT DISTINCT case_id, owner, 'a record without its owner' FROM logs WHERE owner IS NOT NULL AND (case_id, owner) NOT IN (SELECT (case_id, id) FROM ent)
+UNION ALL SELECT DISTINCT case_id, id, 'an interval outside its relation' FROM iv WHERE i.b < i.a OR i.a < start_time OR i.b > end_time
+UNION ALL SELECT DISTINCT case_id, id, 'a relation that ends before it starts' FROM tr WHERE end_time < start_time
+UNION ALL SELECT DISTINCT case_id, CAST(series_id AS VARCHAR), 'a series that runs backwards' FROM (SELECT *, lag(time) OVER (PARTITION BY series_id ORDER BY seq) AS p FROM nr) WHERE time < p""")
+def case_faults(spark, sf):
+    """Parts of cases that don't fit together, after three changes: the catalog is that of the candidates alone, relations end
+    halfway, and every fiftieth reading is too early."""
+    late = F.when(F.col("seq") % 50 == 49, F.col("time") - 10_000).otherwise(F.col("time")).alias("time")
+    n = table(spark, sf, "numeric_sample").select("series_id", "seq", "case_id", "modality", "owner", late).distinct()
+    r = table(spark, sf, "topology_relation").withColumn("end_time", (F.col("start_time") + F.col("end_time")) / 2).distinct()
+    return obs.case_faults(cases(spark, sf), table(spark, sf, "entity_catalog").where("candidate"), n, logs(spark, sf), r)
+
+
 @query("""WITH s AS (SELECT case_id, count(*) AS n, least(count(*), 3) AS k FROM (SELECT DISTINCT case_id, id FROM entity_catalog) GROUP BY case_id)
 SELECT case_id, k AS ranks, k AS different, true AS inside FROM s""")
 def sampled_rank_counts(spark, sf):

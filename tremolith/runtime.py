@@ -129,6 +129,18 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "place", rows: int
     return ranged.withColumn("__local", local).join(before, "part").withColumn(name, F.col("__before") + F.col("__local")).drop("part", "__before", "__local")
 
 
+def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place", rows: int = 1_000_000) -> DataFrame:
+    """Adds the 1-based position of every row among those of its key, in the order of ``order``; no key is one task, however
+    many rows it has. ``order`` should tell the rows of a key apart."""
+    from pyspark.sql import Window
+
+    ranged = ranges(materialize(df, "unnumbered"), [*keys, *order], rows)
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy(*keys, "part").agg(F.count("*").alias("__n")).select(*keys, "part", F.coalesce(before, F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))
+    return ranged.withColumn("__local", local).join(offsets, [*keys, "part"]).withColumn(name, F.col("__before") + F.col("__local")).drop("part", "__before", "__local")
+
+
 def few(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A written list of keys, marked for broadcast if counting shows that it is short; beyond that Spark joins it as it likes."""
     return F.broadcast(keys) if keys.count() <= limit else keys
