@@ -112,3 +112,12 @@ def test_parts_of_cases_that_do_not_fit(spark):
         ("d", "d", "windows out of order"), ("c", "b", "an id with several meanings"), ("c", "s", "an endpoint that isn't there"), ("c", "q", "a metric without its owner"), ("c", "a", "a trace without its relation"),
         ("c", "y", "a record without its owner"), ("c", "3", "a frequency below one"), ("c", "t", "a relation that ends before it starts"), ("c", "s", "an interval outside its relation"), ("c", "1", "a series that runs backwards"),
     ], key=repr)
+
+
+@pytest.mark.parametrize("rows_", [20, 10_000])
+def test_greatest_before(spark, rows_):
+    r = random.Random(5)
+    data = [(k, i, r.choice([None, r.randrange(100)])) for k, n in (("a", 150), ("b", 4)) for i in range(n)]
+    got = runtime.greatest_before(spark.createDataFrame(data, "k string, i int, v int"), ["k"], ["i"], F.col("v"), "m", rows_)
+    want = [(k, i, v, max((x for kk, j, x in data if kk == k and j < i and x is not None), default=None)) for k, i, v in data]
+    assert rows(got) == sorted(want, key=repr)

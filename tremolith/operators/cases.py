@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremolith.runtime import greatest_before, numbered_within
+
 
 def paired_windows(windows: DataFrame, day: str, kind: str) -> DataFrame:
     """Every fault window with the one normal window of its day; a day with none or several is an error."""
@@ -55,8 +57,7 @@ def _columns(names: str | Sequence[str]) -> list[str]:
 
 def retry_links(attempts: DataFrame, ledger: str | Sequence[str], order: str, case: str, failed: str) -> DataFrame:
     """Adds ``retry_of``: the latest failed attempt at the same case before this one."""
-    w = Window.partitionBy(*_columns(ledger), case).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return attempts.withColumn("retry_of", F.max(F.when(F.col(failed), F.col(order))).over(w))
+    return greatest_before(attempts, [*_columns(ledger), case], [order], F.when(F.col(failed), F.col(order)), "retry_of")
 
 
 def ledger_summary(attempts: DataFrame, ledger: str | Sequence[str], order: str, case: str, failed: str, hit: str) -> DataFrame:
@@ -70,12 +71,13 @@ def mask_blocks(blocks: DataFrame, case: str, block: Sequence[str], z: str, shar
     """The blocks to hide: a share of each case's blocks (none of fewer than two), half of them uniform, the rest from those
     with |z| > 1 as far as there are any, by an order that SHA-256 fixes."""
     key = F.concat_ws("|", F.lit(str(seed)), case, *(F.col(b).cast("string") for b in block))
-    mine = Window.partitionBy(case)
-    ranked = blocks.withColumns({"__o": F.sha2(key, 256), "__n": F.count("*").over(mine)}).where("__n >= 2")
-    ranked = ranked.withColumns({"__take": F.ceil(F.col("__n") * share), "__r": F.row_number().over(mine.orderBy("__o"))})
-    uniform = F.col("__r") <= F.floor(F.col("__take") / 2)
-    later = ranked.withColumn("__u", uniform).withColumn("__rest", F.row_number().over(mine.orderBy(F.col("__u").desc(), (F.abs(z) > 1).desc(), "__o")))
-    return later.where(F.col("__rest") <= F.col("__take")).select(case, *block, F.when(F.col("__u"), "uniform").when(F.abs(z) > 1, "response").otherwise("fill").alias("reason"))
+    sizes = blocks.groupBy(case).agg(F.count("*").alias("__n")).where("__n >= 2").withColumn("__take", F.ceil(F.col("__n") * share))
+    marked = blocks.select(case, *block, (F.abs(z) > 1).alias("__far"), F.sha2(key, 256).alias("__o")).join(sizes, case)
+    first = numbered_within(marked, [case], ["__o"], "__r").withColumn("__u", F.col("__r") <= F.floor(F.col("__take") / 2))
+    # uniform ones, then those far off, then the others
+    turn = F.when(F.col("__u"), 0).when(F.col("__far"), 1).otherwise(2)
+    later = numbered_within(first.withColumn("__turn", turn), [case], ["__turn", "__o"], "__rest").where(F.col("__rest") <= F.col("__take"))
+    return later.select(case, *block, F.when(F.col("__u"), "uniform").when(F.col("__far"), "response").otherwise("fill").alias("reason"))
 
 
 #: Draws of random source sets of a case; repeated ones are passed over.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolith.operators.observations import bin_index, is_active
-from tremolith.runtime import sharded
+from tremolith.runtime import greatest_before, sharded
 
 #: A series with more readings is cut by position where windows run over it.
 SHARD_ROWS = 200_000
@@ -51,10 +51,9 @@ def parent_links(spans: DataFrame, *, trace: str = "trace", span: str = "span",
 def clipped_references(faults: DataFrame, day: str, start: str, end: str, order: str, lookback: float) -> DataFrame:
     """Adds ``reference_start`` and ``evidence``: the reference reaches ``lookback`` before a fault's start, but not into
     an earlier fault of its day. As-of state is the running maximum of earlier ends."""
-    w = Window.partitionBy(day).orderBy(start, end, order).rowsBetween(Window.unboundedPreceding, -1)
     full = F.col(start) - F.lit(float(lookback))
     previous = F.col("previous_end")
-    return faults.withColumn("previous_end", F.max(end).over(w)).withColumns({
+    return greatest_before(faults, [day], [start, end, order], F.col(end), "previous_end").withColumns({
         "reference_start": F.least(F.col(start), F.greatest(full, previous)),
         "evidence": F.when(previous > F.col(start), "overlap").when(previous == F.col(start), "boundary").when(previous > full, "clipped").otherwise("full"),
     })

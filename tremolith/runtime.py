@@ -129,16 +129,46 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "place", rows: int
     return ranged.withColumn("__local", local).join(before, "part").withColumn(name, F.col("__before") + F.col("__local")).drop("part", "__before", "__local")
 
 
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary keys, and those of keys with more than ``rows`` rows in ranges (``part``), if there are any."""
+    hot = heavy_keys(df, keys, rows)
+    if hot is None:
+        return df, None
+    hot = few(hot)
+    return df.join(hot, list(keys), "left_anti"), ranges(materialize(df.join(hot, list(keys), "left_semi"), "heavy-rows"), [*keys, *order], rows)
+
+
 def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place", rows: int = 1_000_000) -> DataFrame:
-    """Adds the 1-based position of every row among those of its key, in the order of ``order``; no key is one task, however
-    many rows it has. ``order`` should tell the rows of a key apart."""
+    """Adds the 1-based position of every row among those of its key, in the order of ``order``, which should tell the rows of a
+    key apart. Keys of more than ``rows`` rows are numbered in ranges, moved by one summary row each."""
     from pyspark.sql import Window
 
-    ranged = ranges(materialize(df, "unnumbered"), [*keys, *order], rows)
+    whole, heavy = _cut(df, keys, order, rows)
+    out = whole.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    if heavy is None:
+        return out
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranged.groupBy(*keys, "part").agg(F.count("*").alias("__n")).select(*keys, "part", F.coalesce(before, F.lit(0)).alias("__before"))
+    offsets = heavy.groupBy(*keys, "part").agg(F.count("*").alias("__n")).select(*keys, "part", F.coalesce(before, F.lit(0)).alias("__before"))
     local = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))
-    return ranged.withColumn("__local", local).join(offsets, [*keys, "part"]).withColumn(name, F.col("__before") + F.col("__local")).drop("part", "__before", "__local")
+    numbered_ = heavy.withColumn("__local", local).join(offsets, [*keys, "part"]).withColumn(name, F.col("__before") + F.col("__local"))
+    return out.unionByName(numbered_.select(*out.columns))
+
+
+def greatest_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, name: str, rows: int = 1_000_000) -> DataFrame:
+    """Adds the greatest ``value`` of the rows before each row of its key in the order of ``order`` (null for none). Keys of more than
+    ``rows`` rows are cut into ranges, each with the greatest value of the ranges before."""
+    from pyspark.sql import Window
+
+    valued = df.withColumn("__value", value)
+    whole, heavy = _cut(valued, keys, order, rows)
+    earlier = lambda w: F.max("__value").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = whole.withColumn(name, earlier(Window.partitionBy(*keys).orderBy(*order)))
+    if heavy is not None:
+        reach = heavy.groupBy(*keys, "part").agg(F.max("__value").alias("__value"))
+        carried = reach.select(*keys, "part", earlier(Window.partitionBy(*keys).orderBy("part")).alias("__carried"))
+        local = heavy.withColumn("__local", earlier(Window.partitionBy(*keys, "part").orderBy(*order))).join(carried, [*keys, "part"])
+        out = out.unionByName(local.withColumn(name, F.greatest("__local", "__carried")).select(*out.columns))
+    return out.drop("__value")
 
 
 def few(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -160,20 +190,15 @@ def sharded(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
     bound is also given to the neighbour, where it isn't core. Results are kept for core rows only. ``order`` should tell
     the rows of a key apart.
     """
-    from pyspark.sql import Window
-
     hot = heavy_keys(df, keys, rows)
     plain = lambda d: d.withColumns({"__shard": F.lit(0).cast("bigint"), "__core": F.lit(True)})
     if hot is None:
         return plain(df)
-    ranged = ranges(materialize(df.join(few(hot), list(keys), "left_semi"), "heavy-rows"), [*keys, *order], rows)
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranged.groupBy(*keys, "part").agg(F.count("*").alias("__n")).select(*keys, "part", F.coalesce(before, F.lit(0)).alias("__offset"))
-    local = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)) - 1
-    placed = ranged.withColumn("__at", local).join(offsets, [*keys, "part"]).withColumn("__at", F.col("__at") + F.col("__offset"))
-    shard = lambda d: F.floor((F.col("__at") + d) / rows)
-    spread_ = placed.withColumn("__shard", F.explode(F.array_distinct(F.array(shard(-halo), shard(0), shard(halo))))).withColumn("__core", F.col("__shard") == shard(0))
-    return plain(df.join(few(hot), list(keys), "left_anti")).unionByName(spread_.drop("part", "__at", "__offset").select(*df.columns, "__shard", "__core"))
+    hot = few(hot)
+    placed = numbered_within(df.join(hot, list(keys), "left_semi"), keys, order, "__at", rows)
+    shard = lambda d: F.floor((F.col("__at") - 1 + d) / rows)
+    cut = placed.withColumn("__shard", F.explode(F.array_distinct(F.array(shard(-halo), shard(0), shard(halo))))).withColumn("__core", F.col("__shard") == shard(0))
+    return plain(df.join(hot, list(keys), "left_anti")).unionByName(cut.select(*df.columns, "__shard", "__core"))
 
 
 def before_and_total(df: DataFrame, order: Sequence[str], values: Sequence[str], rows: int = 1_000_000) -> DataFrame:
