@@ -31,3 +31,17 @@ def test_counts_equal_the_enumeration(spark, seed, events, entities, edges):
 
 def test_no_links(spark):
     assert rows(fragment_index.counts(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_samples_are_audited_and_replayed(spark):
+    def audit(data, cap):
+        links = spark.createDataFrame(data, SCHEMA)
+        kept = fragments.balanced_sample(fragments.anchor_sample(fragments.fragments(links), cap=cap), cap=6)
+        return fragments.sample_audit(links, kept, fragment_index.counts(links))
+
+    data = [("c", k, f"e{k % 4}", f"e{(k + 1) % 4}", f"n{k % 4}", f"n{(k + 1) % 4}") for k in range(6)] + [("d", 0, "a", "b", "A", "B")]
+    first = audit(data, 8)
+    assert {(r.case_id, r.family): (r.population, r.taken) for r in first.collect()}["d", "chain"] == (1, 1)
+    assert rows(fragments.replay_faults(first, audit(data[::-1], 8))) == []
+    assert rows(fragments.replay_faults(first, audit(data, 1))) in ([("c", "other numbers")], [("c", "other fragments")])
+    assert rows(fragments.replay_faults(first, audit(data[:-1] + [("d", 0, "b", "a", "B", "A")], 8))) == [("d", "other links")]

@@ -109,3 +109,28 @@ def balanced_sample(found: DataFrame, cap: int, seed: int = 0) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("case_id", "family").orderBy("order", "key"))
     ranked = found.withColumns({"order": order, "key": F.concat_ws(",", F.transform("edges", lambda e: e.cast("string")))}).withColumn("turn", turn).where(F.col("turn") <= cap)
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("turn", "family"))).where(F.col("place") <= cap).select("case_id", "edges", "family", "turn", "place")
+
+
+def sample_audit(links: DataFrame, sampled: DataFrame, counts: DataFrame) -> DataFrame:
+    """``case_id``, ``family``, ``population``, ``taken``, ``inventory``, ``sample``: what a sample was drawn from and what it is.
+
+    ``counts`` are those of :func:`tremolith.operators.fragment_index.counts` for the same links, ``sampled`` the fragments
+    kept (case_id, edges, family). ``inventory`` is a digest of all links of the case that doesn't depend on their order,
+    ``sample`` the SHA-256 of the kept fragments' edges, which the cap of the sample bounds.
+    """
+    whole = counts.where("anchor is null").groupBy("case_id", "family").agg(F.sum("fragments").alias("population"))
+    taken = sampled.groupBy("case_id", "family").agg(F.count("*").alias("taken"))
+    key = F.concat_ws(",", F.transform("edges", lambda e: e.cast("string")))
+    digest = sampled.groupBy("case_id").agg(F.sha2(F.concat_ws(";", F.array_sort(F.collect_list(key))), 256).alias("sample"))
+    inventory = links.groupBy("case_id").agg(F.bit_xor(F.xxhash64("edge", "source", "target", "source_entity", "target_entity")).alias("inventory"))
+    out = whole.join(taken, ["case_id", "family"], "left").join(digest, "case_id", "left").join(inventory, "case_id")
+    return out.select("case_id", "family", "population", F.coalesce("taken", F.lit(0)).alias("taken"), "inventory", "sample")
+
+
+def replay_faults(audit: DataFrame, again: DataFrame) -> DataFrame:
+    """``case_id``, ``fault`` where a sample that was drawn again differs from its audit: other links, numbers or fragments."""
+    side = lambda df, p: df.select("case_id", "family", *(F.col(c).alias(f"{p}_{c}") for c in ("population", "taken", "inventory", "sample")))
+    both = side(audit, "a").join(side(again, "b"), ["case_id", "family"], "full_outer")
+    differs = lambda c: ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    fault = F.when(differs("inventory"), "other links").when(differs("population") | differs("taken"), "other numbers").when(differs("sample"), "other fragments")
+    return both.select("case_id", fault.alias("fault")).where("fault is not null").distinct()

@@ -105,19 +105,35 @@ def anchor_family_counts(spark, sf):
     return found.groupBy("case_id", "anchor", "family").agg(F.sum("fragments").alias("fragments"))
 
 
-@query(_FRAGMENTS + """, a AS (SELECT DISTINCT k.case_id, k.family, e.entity AS anchor, array_to_string(k.es, ',') AS key FROM k JOIN e USING (case_id, es)),
+_SAMPLED = _FRAGMENTS + """, a AS (SELECT DISTINCT k.case_id, k.family, e.entity AS anchor, array_to_string(k.es, ',') AS key FROM k JOIN e USING (case_id, es)),
 b AS (SELECT *, row_number() OVER (PARTITION BY case_id, anchor, family ORDER BY sha256('0|' || case_id || '|' || anchor || '|' || key), key) AS turn FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY case_id, anchor ORDER BY turn, sha256('0|' || case_id || '|' || anchor || '|' || turn || '|' || family), family) AS place FROM b WHERE turn <= 8),
 kept AS (SELECT DISTINCT case_id, family, key FROM c WHERE place <= 8),
 h AS (SELECT *, row_number() OVER (PARTITION BY case_id, family ORDER BY sha256('0:' || case_id || ':' || key), key) AS turn FROM kept),
 q AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY turn, family) AS place FROM h WHERE turn <= 128)
-SELECT case_id, key AS edges, family, turn, place FROM q WHERE place <= 128""")
+"""
+
+
+def _sampled(links):
+    return fragments.balanced_sample(fragments.anchor_sample(fragments.fragments(links)), cap=128)
+
+
+@query(_SAMPLED + "SELECT case_id, key AS edges, family, turn, place FROM q WHERE place <= 128")
 def fragment_balanced_sample(spark, sf):
-    found = fragments.balanced_sample(fragments.anchor_sample(fragments.fragments(_eligible(spark, sf))), cap=128)
+    found = _sampled(_eligible(spark, sf))
     edges = F.concat_ws(",", F.transform("edges", lambda e: e.cast("string"))).alias("edges")
     return found.select("case_id", edges, "family", F.col("turn").cast("bigint").alias("turn"), F.col("place").cast("bigint").alias("place"))
 
 
+@query(_SAMPLED + """, z1 AS (SELECT case_id, family, count(*) AS population FROM k GROUP BY ALL), z2 AS (SELECT case_id, family, count(*) AS taken FROM q WHERE place <= 128 GROUP BY ALL),
+z3 AS (SELECT case_id, sha256(string_agg(key, ';' ORDER BY key)) AS sample FROM q WHERE place <= 128 GROUP BY case_id)
+SELECT case_id, family, population, coalesce(taken, 0) AS taken, sample FROM z1 LEFT JOIN z2 USING (case_id, family) LEFT JOIN z3 USING (case_id)""")
+def fragment_sample_audit(spark, sf):
+    """What each case's sample of fragments was drawn from and what it is."""
+    links = _eligible(spark, sf)
+    return fragments.sample_audit(links, materialize(_sampled(links), "sample"), fragment_index.counts(links)).drop("inventory")
+
+
 # --- vectors and selection -------------------------------------------------------------------------------------------
 
 #: The query set of similarities is the tokens whose number is divisible by this; all tokens are candidates.

@@ -59,12 +59,13 @@ def trace_csv(spark: SparkSession, path: str, multiline: bool = False) -> tuple[
 
     Only the last row of a file that lacks its last field and its line end may be set aside; any other malformed row
     fails. ``path`` may be a pattern: each file is judged by itself, and only files with a malformed row are looked at
-    again, by their last bytes alone. No field of a trace spans lines, so large files are split (unless ``multiline``).
+    again, by their last bytes alone (the read fails if there are more than 10,000 such files). No field of a trace spans lines, so large files are split (unless ``multiline``).
     """
     names = _header(spark, path, TRACE_COLUMNS)
     # parsed once and written, as Spark gives malformed rows of a file no plan of their own
     rows = materialize(_csv(spark, path, names, "PERMISSIVE", multiline).withColumn("file", F.col("_metadata.file_path")), "trace-rows")
     bad = rows.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("row"))
+    # files beyond the limit have no known end, so their rows fail below
     torn = [r["file"] for r in bad.groupBy("file").agg(F.max(F.octet_length("row")).alias("n")).orderBy("file").limit(10_000).collect()]
     plain = F.lit(r'^(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")(?:,(?:[^,"\r\n]*|"(?:[^"\r\n]|"")*")){7}$')
     ends = spark.createDataFrame([(f, _tail(spark, f)) for f in torn], "file string, tail string")
