@@ -11,7 +11,7 @@ from tremolith.operators import annotations, curation, fragment_index, labels, l
 from tremolith.operators import observations as obs
 from tremolith.plans.graphs import _FRAGMENTS, _ORDERED, _RANKED, _STREAM, _eligible, _marked
 from tremolith.plans.reference import _BASE, DELTA, _scaled, cases, entities, logs, samples, single
-from tremolith.runtime import materialize, scratch_dir, table
+from tremolith.runtime import many, materialize, scratch_dir, table
 from tremolith.sources import documents, files
 from tremolith.streaming import ingest
 
@@ -88,7 +88,7 @@ def case_cache_rows(spark, sf):
 def _annotations(spark, sf):
     """An annotation per case: its catalog as reported (some entities twice), its relations, an event per log record."""
     at = lambda c: F.timestamp_micros(F.rint(F.col(c) * 1e6).cast("bigint"))
-    gather = lambda df, name, item: df.groupBy("case_id").agg(F.collect_list(item).alias(name))
+    gather = lambda df, name, item: many(df.groupBy("case_id").agg(F.collect_list(item).alias(name)))
     nothing = F.array().cast("array<string>")
     ents = gather(table(spark, sf, "entity_catalog"), "entities", F.struct("id", "candidate", F.lit("unknown").alias("root_role"), F.lit("unknown").alias("observation_state"), nothing.alias("evidence_refs")))
     text = lambda c: F.lit(None).cast("string").alias(c)

@@ -176,6 +176,12 @@ def few(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def many(rows: DataFrame) -> DataFrame:
+    """A side of a join that is sorted and merged at any size, never broadcast. For lists and their items: Spark takes their size
+    from the compressed file and counts one item a list, so it would broadcast more of them than a driver holds."""
+    return rows.hint("merge")
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
     """The keys that have more than ``rows`` rows, written, or None if there are none."""
     found = materialize(df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > rows).select(*keys), "heavy")
